@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrakey.llm.common import SPACE_RUN, cut, words_of
@@ -49,36 +49,81 @@ def quality(
     docs: DataFrame,
     text: str = "text",
     host: str = "source",
-    max_docs: int = 100,
-    min_share: float = 0.3,
+    min_docs: int = 20,
+    max_share: float = 0.05,
+    min_left: float = 0.3,
     min_words: int = 50,
 ) -> DataFrame:
     """Adds base counts, line-frequency counts and a verdict to every row of ``docs``.
 
     Lines are normalised and hashed; for each host and line the distinct documents are counted, where equal texts of a
-    host count as one document (copies are the business of deduplication, not of this rule). A line in more than
-    ``max_docs`` documents of a host counts as removed there. A document is depleted, and so not kept, when less than
-    ``min_share`` of its words are left. ``base_failed`` documents are never kept.
+    host count as one document (copies are the business of deduplication, not of this rule). A line is above the limit
+    if it is in more than ``min_docs`` documents of a host and in more than ``max_share`` of them; it counts as removed
+    there. A document is depleted, and so not kept, when less than ``min_left`` of its words are left. ``base_failed``
+    documents are never kept.
 
     A null or empty text has no words and fails the base rule. A null host is a host of its own. Repeated rows get equal
     results. Other columns pass through, save those with the names of the results, which are replaced.
 
-    Words of removed lines are summed by host and content, never by document id, so ids may be null or repeat. Both
-    aggregations combine before they shuffle; a line shared by a third of all rows arrives as one row per task.
+    Words of removed lines are summed by host and content, never by document id, so ids may be null or repeat. The
+    aggregations combine before they shuffle; a line shared by a third of all rows arrives as one row per task. The sums
+    are joined back from a written table, so that Spark can split the rows of a content that has very many copies.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept"]
     keep = [c for c in docs.columns if c not in own]
-    keys = {"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_k1": F.xxhash64(F.col(text)), "_k2": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))}
-    lines = docs.select(*(c.alias(k) for k, c in keys.items()), F.explode(_line_rows(F.col(text))).alias("x")).select("_host", "_k1", "_k2", "x.h", "x.w")
+    # A null host is a host of its own, not the host with the empty name.
+    host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("-"))
+    keys = {"_k1": F.xxhash64(host_key, F.col(text)), "_k2": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))}
+    named = [c.alias(k) for k, c in keys.items()]
+    lines = docs.select(host_key.alias("_host"), *named, F.explode(_line_rows(F.col(text))).alias("x")).select("_host", "_k1", "_k2", "x.h", "x.w")
     # One row for each host, content and line; copies of a content add equal parts, so every sum is divided by them.
     seen = cut(lines.groupBy("_host", "_k1", "_k2", "h").agg(F.sum("w").alias("w")), "lines")
-    frequent = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > max_docs).drop("_docs")
-    removed = seen.join(frequent, ["_host", "h"], "left_semi").groupBy("_host", "_k1", "_k2").agg(F.sum("w").alias("_gone"))
-    copies = docs.select(*(c.alias(k) for k, c in keys.items())).groupBy("_host", "_k1", "_k2").agg(F.count(F.lit(1)).alias("_copies"))
-    removed = removed.join(copies, ["_host", "_k1", "_k2"]).withColumn("_gone", F.expr("_gone div _copies")).drop("_copies")
-    removed = removed.select(*(F.col(c).alias(f"_r{c}") for c in ("_host", "_k1", "_k2")), "_gone")
-    out = _text_features(docs.select(*keep, *(c.alias(k) for k, c in keys.items())), text)
-    out = out.join(removed, (F.col("_host") == F.col("_r_host")) & (F.col("_k1") == F.col("_r_k1")) & (F.col("_k2") == F.col("_r_k2")), "left")
+    copies = cut(docs.select(host_key.alias("_host"), *named).groupBy("_host", "_k1", "_k2").agg(F.count(F.lit(1)).alias("_copies")), "copies")
+    hosts = cut(copies.groupBy("_host").agg(F.count(F.lit(1)).alias("_all")), "hosts")
+    frequent = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_docs)
+    frequent = cut(frequent.join(hosts, "_host").where(F.col("_docs") > max_share * F.col("_all")).select("_host", "h"), "frequent")
+    removed = seen.join(frequent, ["_host", "h"], "left_semi").groupBy("_k1", "_k2").agg(F.sum("w").alias("_sum"))
+    removed = removed.join(copies.select("_k1", "_k2", "_copies"), ["_k1", "_k2"])
+    removed = cut(removed.select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.expr("_sum div _copies").alias("_gone")), "removed")
+    out = _text_features(docs.select(*keep, *named), text)
+    out = out.join(removed, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left")
     n, gone = F.col("n_words"), F.coalesce(F.col("_gone"), F.lit(0))
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > 50 * n)
-    return out.withColumns({"base_failed": failed, "n_removed_words": gone.cast("long")}).withColumn("kept", ~F.col("base_failed") & (n - F.col("n_removed_words") >= min_share * n)).select(*keep, *own)
+    out = out.withColumns({"base_failed": failed, "n_removed_words": gone.cast("long")})
+    return out.withColumn("kept", ~F.col("base_failed") & (n - F.col("n_removed_words") >= min_left * n)).select(*keep, *own)
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality verdicts of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce('h' || source, '-') AS host,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+ln AS (SELECT doc_id, host, t, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS x FROM d, LATERAL (SELECT unnest(ls) AS x)),
+sizes AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
+freq AS (SELECT host, x, count(DISTINCT t) AS n FROM ln GROUP BY host, x),
+bad AS (SELECT f.host, f.x FROM freq f JOIN sizes s USING (host) WHERE f.n > 20 AND f.n > 0.05 * s.n),
+gone AS (SELECT doc_id, sum(len(string_split(x, ' '))) AS n FROM ln JOIN bad USING (host, x) GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
+  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept,
+       n_removed_words
+FROM base
+"""

@@ -26,8 +26,10 @@ def _signature_rows(k: int, size: int):
                 sig, keys = signatures(hashes, counts, size)
                 flat = pa.array(sig.view(np.int32).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * size), flat)
+                prints = np.ascontiguousarray((sig & 0xFF).astype(np.uint8)).view(np.int64)
                 columns = [doc.slice(a, b - a), loc.slice(a, b - a), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "loc", "key", "n", "sig"])
+                columns += [pa.array(prints[:, j]) for j in range(size // 8)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "loc", "key", "n", "sig", *_prints(size)])
 
     return run
 
@@ -47,46 +49,68 @@ def _set_rows(k: int):
     return run
 
 
-def _collisions(x: str, y: str) -> Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
+def _prints(size: int, of: str = "p") -> list[str]:
+    return [f"{of}{j}" for j in range(size // 8)]
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity, as a written table."""
+def _collisions(size: int, x: str, y: str) -> Column:
+    """Equal coordinates of two signatures by their fingerprints of 8 bits each: as many as the full values have, or more."""
+    differing = F.lit(0)
+    for a, b in zip(_prints(size, x), _prints(size, y), strict=True):
+        d = F.col(a).bitwiseXOR(F.col(b))
+        for shift in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
+        differing = differing + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(size) - differing
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity, as a written table.
+
+    The sets are taken from the texts of the nodes in question; a short list of nodes is broadcast by Spark, a long one
+    is joined by shuffles.
+    """
+    pairs = cut(pairs, "pairs")
+    either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = cut(either.join(nodes.select("key", "loc"), "key"), "wanted")
+    found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>")
+    sets = cut(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
     sa = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
     return cut(both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, size: int = 16, matches: int = 6, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, size: int = 24, matches: int = 11, rounds: int = 4) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Each text has its set of distinct ``k``-word shingles; two texts are linked if ``100 * |A & B| >= percent * |A | B|``.
 
-    *Posting.* Rows with equal sets become one node. A node has a MinHash signature of ``size`` coordinates and is posted
-    under each (coordinate, value) pair. Pairs with at least ``matches`` collisions are wanted; at similarity 0.8 a pair
-    misses 6 of 16 with probability 3e-5. With all pairs (coordinate, value) ordered from rare to frequent, two nodes with
-    that many collisions share one of their ``size - matches + 1`` rarest (prefix), so only these are joined; a node
-    with fewer than ``matches`` values that anyone shares is skipped.
+    *Posting.* Rows with equal sets become one node. A node has a MinHash signature of ``size`` coordinates (a multiple
+    of 8) and is posted under each (coordinate, value) pair. Pairs with at least ``matches`` collisions are wanted; at
+    similarity 0.8 a pair misses 11 of 24 with probability 6e-5. With all pairs (coordinate, value) ordered from rare to
+    frequent, two nodes with that many collisions share one of their ``size - matches + 1`` rarest (prefix), so only
+    these are joined; a node with fewer than ``matches`` values that anyone shares is skipped.
 
     *Linking.* Within a list, every node first meets the list's most central node, then random ones, for up to
-    ``rounds`` rounds or as long as that finds links; what is linked is confirmed on the full sets and forms components. Then
-    all pairs of a list that still lie in different components and have enough collisions are confirmed too, in blocks,
-    so no link between different components is lost and no pairs within a component are made.
+    ``rounds`` rounds or as long as that finds links and much is left to compare; what is linked is confirmed on the full
+    sets and forms components. Then all pairs of a list that still lie in different components and have enough
+    collisions are confirmed too, in blocks, so no link between different components is lost and no pairs within a
+    component are made.
 
     ``component_id`` is the smallest id that can be reached, ``kept`` is true for it. Null and empty texts have no
     shingles and are linked with nothing: ``component_id`` is their own id. A null id is ignored when the smallest is
-    sought; if a component has no other, ``component_id`` is null and ``kept`` false. Repeated rows give repeated results. Other columns are
-    not used, whatever their names. An empty table gives an empty result.
+    sought; if a component has no other, ``component_id`` is null and ``kept`` false. Repeated rows give repeated
+    results. Other columns are not used, whatever their names. An empty table gives an empty result.
     """
+    prints = _prints(size)
     ids = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ids = ids.select("doc", F.coalesce("doc", F.xxhash64("text")).alias("loc"), "text")
-    rows = cut(ids.mapInArrow(_signature_rows(k, size), "doc long, loc long, key binary, n long, sig array<int>"), "signatures")
-    nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("low"), F.min("loc").alias("loc"), F.first("sig").alias("sig"))
-    nodes = cut(nodes, "nodes")
+    schema = "doc long, loc long, key binary, n long, sig array<int>, " + ", ".join(f"{p} long" for p in prints)
+    rows = cut(ids.mapInArrow(_signature_rows(k, size), schema), "signatures")
+    one = [F.first(c).alias(c) for c in ("sig", *prints)]
+    nodes = cut(rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("low"), F.min("loc").alias("loc"), *one), "nodes")
     posted = nodes.select("key", F.posexplode("sig").alias("c", "v"))
     freq = cut(posted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "values")
     shared = posted.join(freq, ["c", "v"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "c", "v"))).alias("p"))
@@ -94,38 +118,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Values of one node alone are the rarest and take places of the prefix first.
     prefix = F.slice("p", 1, F.size("p") - matches + 1)
     central = F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["f"])
-    cand = cut(shared.select("key", prefix.alias("prefix"), central.alias("central")).join(nodes.select("key", "loc", "sig"), "key"), "candidates")
-    wanted = cand.select("key", "loc")
-    found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>")
-    sets = cut(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
-    posts = cut(cand.select("key", "sig", "central", F.explode("prefix").alias("x")).select("key", "sig", "central", "x.c", "x.v"), "posts")
-    links = None
+    shared = shared.select("key", prefix.alias("prefix"), central.alias("central")).join(nodes.select("key", *prints), "key")
+    posts = cut(shared.select("key", *prints, "central", F.explode("prefix").alias("x")).select("key", *prints, "central", "x.c", "x.v"), "posts")
     n_posts = posts.count()
-    comps = None
+    links = comps = None
     for turn in range(rounds):
         here = _with_component(posts, comps)
         if turn:
-            mixed = here.groupBy("c", "v").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("c", "v", "nn")
-            mixed = cut(mixed, "mixed")
-            left = mixed.agg(F.coalesce(F.sum(F.col("nn") * (F.col("nn") - 1) / 2), F.lit(0.0)).alias("s")).first()["s"]
+            mixed, left = _mixed(here)
             if left <= 5 * n_posts:
                 break
             here = here.join(mixed.select("c", "v"), ["c", "v"], "left_semi")
         rank = F.col("central") if turn == 0 else F.xxhash64("key", "c", F.lit(turn))
-        leaders = here.groupBy("c", "v").agg(F.max(F.struct(rank.alias("r"), F.col("key"), F.col("comp"), F.col("sig"))).alias("lead"))
-        leaders = cut(leaders.select("c", "v", F.col("lead.key").alias("b"), F.col("lead.comp").alias("cb"), F.col("lead.sig").alias("sb")), "leaders")
-        pairs = here.join(leaders, ["c", "v"]).where((F.col("comp") != F.col("cb")) & (_collisions("sig", "sb") >= matches))
-        pairs = pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-        new = _confirmed(pairs, sets, percent)
-        gained = new.limit(1).count()
-        links = new if links is None else links.union(new)
-        if gained:
-            comps = components(links)
-        else:
+        leaders = here.groupBy("c", "v").agg(F.max(F.struct(rank.alias("r"), F.col("key"), F.col("comp"), *prints)).alias("lead"))
+        leaders = leaders.select("c", "v", F.col("lead.key").alias("b"), F.col("lead.comp").alias("cb"), *(F.col(f"lead.{p}").alias(q) for p, q in zip(prints, _prints(size, "q"), strict=True)))
+        pairs = here.join(cut(leaders, "leaders"), ["c", "v"]).where((F.col("comp") != F.col("cb")) & (_collisions(size, "p", "q") >= matches))
+        new = _confirmed(pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), nodes, ids, k, percent)
+        if not new.limit(1).count():
             break
-    rest = _confirmed(_all_pairs(_with_component(posts, comps), matches), sets, percent)
+        links = new if links is None else links.union(new)
+        comps = components(links)
+    rest = _confirmed(_all_pairs(_with_component(posts, comps), size, matches), nodes, ids, k, percent)
     if rest.limit(1).count():
-        comps = components(links.union(rest))
+        links = rest if links is None else links.union(rest)
+        comps = components(links)
     low = nodes.select("key", "low")
     if comps is not None:
         named = comps.join(low, comps["node"] == low["key"]).select("node", "comp", "low")
@@ -146,17 +162,24 @@ def _with_component(posts: DataFrame, comps: DataFrame | None) -> DataFrame:
     return posts.join(named, "key", "left").select(*posts.columns, F.coalesce("cc", "key").alias("comp"))
 
 
-def _all_pairs(posts: DataFrame, matches: int) -> DataFrame:
+def _mixed(posts: DataFrame) -> tuple[DataFrame, float]:
+    """Lists that hold more than one component, with their lengths, and the number of their pairs."""
+    sizes = posts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = cut(sizes.where("lo <> hi").select("c", "v", "nn"), "mixed")
+    return mixed, mixed.agg(F.coalesce(F.sum(F.col("nn") * (F.col("nn") - 1) / 2), F.lit(0.0)).alias("s")).first()["s"]
+
+
+def _all_pairs(posts: DataFrame, size: int, matches: int) -> DataFrame:
     """Pairs of different components that share a list and collide often enough; long lists meet block by block."""
-    posts = cut(posts, "left")
-    mixed = posts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = cut(mixed.select("c", "v", F.ceil(F.col("nn") / BLOCK).cast("int").alias("nb")), "mixed")
-    here = posts.join(mixed, ["c", "v"]).withColumn("i", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")).select("key", "comp", "sig", "c", "v", "nb", "i")
-    here = cut(here, "blocks")
-    one = here.select("c", "v", F.col("key").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"), "i", F.explode(F.sequence("i", F.col("nb") - 1)).alias("j"))
-    two = here.select("c", "v", F.col("key").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
-    cond = (F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & (_collisions("sa", "sb") >= matches)
-    met = one.join(two, ["c", "v", "i", "j"]).where(cond)
+    mixed, _ = _mixed(posts)
+    blocks = F.ceil(F.col("nn") / BLOCK).cast("int")
+    here = posts.join(mixed.select("c", "v", blocks.alias("nb")), ["c", "v"]).withColumn("i", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    here = cut(here.drop("central"), "blocks")
+    prints = _prints(size)
+    one = here.select("c", "v", F.col("key").alias("a"), F.col("comp").alias("ca"), *prints, "i", F.explode(F.sequence("i", F.col("nb") - 1)).alias("j"))
+    two = here.select("c", "v", F.col("key").alias("b"), F.col("comp").alias("cb"), *(F.col(p).alias(q) for p, q in zip(prints, _prints(size, "q"), strict=True)), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
+    met = one.join(two, ["c", "v", "i", "j"]).where(apart & (_collisions(size, "p", "q") >= matches))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

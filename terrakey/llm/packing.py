@@ -20,7 +20,7 @@ from terrakey.llm.wordhash import chunks
 #: Pieces or open sequences that one task packs.
 GROUP = 20_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Characters below U+0180 that neither normalisation nor white-space rules of the vocabulary treat specially; any other
@@ -44,7 +44,9 @@ class WordCoder:
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        # Words used of late, and those used before that; what the older ones know moves up when it is met again.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,10 +69,12 @@ class WordCoder:
         for x in parts:
             if x:
                 new.update(x)
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         new.difference_update(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {y for x in parts if x for y in x}
+        again = new.intersection(self.older)
+        self.known.update((x, self.older[x]) for x in again)
+        new -= again
         if new:
             self._learn(list(new))
         for text, x in zip(texts, parts, strict=True):
@@ -150,6 +154,15 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
+def _level(level: int, capacity: int):
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["fill", "top"], ascending=[False, True])
+        bins, offsets = sum_of_squares(pdf["fill"].to_numpy(), capacity)
+        return pd.DataFrame({"old": pdf["top"], "shift": offsets, "new": (level << 56) | (pdf["_g"].to_numpy() << 32) | bins})
+
+    return again
+
+
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (columns of ``token_pieces``), with as few sequences as it can.
 
@@ -181,13 +194,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         n = tops.count()
         fewer = max(1, -(-n // GROUP))
 
-        def again(pdf: pd.DataFrame, level: int = level) -> pd.DataFrame:
-            pdf = pdf.sort_values(["fill", "top"], ascending=[False, True])
-            bins, offsets = sum_of_squares(pdf["fill"].to_numpy(), capacity)
-            return pd.DataFrame({"old": pdf["top"], "shift": offsets, "new": (level << 56) | (pdf["_g"].to_numpy() << 32) | bins})
-
         tops = tops.withColumn("_g", F.pmod(F.xxhash64("top", F.lit(level)), F.lit(fewer)))
-        moved = cut(tops.groupBy("_g").applyInPandas(again, "old long, shift long, new long"), "moved")
+        moved = cut(tops.groupBy("_g").applyInPandas(_level(level, capacity), "old long, shift long, new long"), "moved")
         places = places.join(moved, places["top"] == moved["old"], "left")
         places = cut(places.select("bin", (F.col("at") + F.coalesce("shift", F.lit(0))).alias("at"), F.coalesce("new", "top").alias("top"), "fill"), "bins")
         groups = fewer if fewer < groups else 1

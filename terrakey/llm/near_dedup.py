@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrakey.llm.common import cut
@@ -64,25 +64,40 @@ def _collisions(size: int, x: str, y: str) -> Column:
     return F.lit(size) - differing
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity, as a written table.
+def _sets(wanted: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Full shingle sets, sorted, of nodes (key, loc). A short list of nodes is broadcast by Spark, a long one shuffled."""
+    found = ids.join(cut(wanted, "wanted"), "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>")
+    return cut(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
 
-    The sets are taken from the texts of the nodes in question; a short list of nodes is broadcast by Spark, a long one
-    is joined by shuffles.
-    """
-    pairs = cut(pairs, "pairs")
-    either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = cut(either.join(nodes.select("key", "loc"), "key"), "wanted")
-    found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>")
-    sets = cut(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intersections of pairs of sorted sets; for pivots also which of the pivot's shingles the node has, bit by bit."""
+    for batch in batches:
+        a, b, pivot, sa, sb = batch.columns
+        inter, bits, sizes = [], [], []
+        for i, is_pivot in enumerate(pivot.to_pylist()):
+            x, y = sa[i].values.to_numpy(), sb[i].values.to_numpy()
+            has = x[np.minimum(np.searchsorted(x, y), x.size - 1)] == y
+            inter.append(int(has.sum()))
+            sizes.append((x.size, y.size))
+            packed = np.packbits(has)
+            bits.append(np.concatenate([packed, np.zeros(-packed.size % 8, np.uint8)]).view(np.int64) if is_pivot else None)
+        na, nb = zip(*sizes, strict=True) if sizes else ((), ())
+        yield pa.RecordBatch.from_arrays([a, b, pivot, pa.array(inter, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["a", "b", "pivot", "i", "na", "nb", "bits"])
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sa = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(sa, "a").join(sb, "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    return cut(both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"), "links")
+    return pairs.join(sa, "a").join(sb, "b")
+
+
+def _similar(i: Column, both: Column, percent: int) -> Column:
+    """Whether an intersection of ``i`` of sets with ``both`` elements between them reaches the similarity."""
+    return (100 + percent) * i >= percent * both
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, size: int = 24, matches: int = 11, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, size: int = 24, matches: int = 11) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Each text has its set of distinct ``k``-word shingles; two texts are linked if ``100 * |A & B| >= percent * |A | B|``.
@@ -93,11 +108,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent, two nodes with that many collisions share one of their ``size - matches + 1`` rarest (prefix), so only
     these are joined; a node with fewer than ``matches`` values that anyone shares is skipped.
 
-    *Linking.* Within a list, every node first meets the list's most central node, then random ones, for up to
-    ``rounds`` rounds or as long as that finds links and much is left to compare; what is linked is confirmed on the full
-    sets and forms components. Then all pairs of a list that still lie in different components and have enough
-    collisions are confirmed too, in blocks, so no link between different components is lost and no pairs within a
-    component are made.
+    *Linking.* Within a list, every node first meets the list's most central node; the pair is measured on the full sets.
+    Links make components. The most central of the nodes that a node has met is its pivot, and the node keeps a bit for each of the
+    pivot's shingles. Then all pairs of a list that lie in different components and have enough collisions are
+    compared, in blocks: sizes and, for nodes of one pivot, the bits bound the intersection from above, so families of
+    copies whose members are less alike than the limit do not give all their pairs. What is left is confirmed on the full sets.
+    No link between different components is lost and no pairs within a component are made.
 
     ``component_id`` is the smallest id that can be reached, ``kept`` is true for it. Null and empty texts have no
     shingles and are linked with nothing: ``component_id`` is their own id. A null id is ignored when the smallest is
@@ -109,7 +125,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = ids.select("doc", F.coalesce("doc", F.xxhash64("text")).alias("loc"), "text")
     schema = "doc long, loc long, key binary, n long, sig array<int>, " + ", ".join(f"{p} long" for p in prints)
     rows = cut(ids.mapInArrow(_signature_rows(k, size), schema), "signatures")
-    one = [F.first(c).alias(c) for c in ("sig", *prints)]
+    one = [F.first(c).alias(c) for c in ("n", "sig", *prints)]
     nodes = cut(rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("low"), F.min("loc").alias("loc"), *one), "nodes")
     posted = nodes.select("key", F.posexplode("sig").alias("c", "v"))
     freq = cut(posted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "values")
@@ -118,69 +134,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Values of one node alone are the rarest and take places of the prefix first.
     prefix = F.slice("p", 1, F.size("p") - matches + 1)
     central = F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["f"])
-    shared = shared.select("key", prefix.alias("prefix"), central.alias("central")).join(nodes.select("key", *prints), "key")
-    posts = cut(shared.select("key", *prints, "central", F.explode("prefix").alias("x")).select("key", *prints, "central", "x.c", "x.v"), "posts")
-    n_posts = posts.count()
-    links = comps = None
-    for turn in range(rounds):
-        here = _with_component(posts, comps)
-        if turn:
-            mixed, left = _mixed(here)
-            if left <= 5 * n_posts:
-                break
-            here = here.join(mixed.select("c", "v"), ["c", "v"], "left_semi")
-        rank = F.col("central") if turn == 0 else F.xxhash64("key", "c", F.lit(turn))
-        leaders = here.groupBy("c", "v").agg(F.max(F.struct(rank.alias("r"), F.col("key"), F.col("comp"), *prints)).alias("lead"))
-        leaders = leaders.select("c", "v", F.col("lead.key").alias("b"), F.col("lead.comp").alias("cb"), *(F.col(f"lead.{p}").alias(q) for p, q in zip(prints, _prints(size, "q"), strict=True)))
-        pairs = here.join(cut(leaders, "leaders"), ["c", "v"]).where((F.col("comp") != F.col("cb")) & (_collisions(size, "p", "q") >= matches))
-        new = _confirmed(pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), nodes, ids, k, percent)
-        if not new.limit(1).count():
-            break
-        links = new if links is None else links.union(new)
-        comps = components(links)
-    rest = _confirmed(_all_pairs(_with_component(posts, comps), size, matches), nodes, ids, k, percent)
+    own = ["key", "n", *prints, "central"]
+    shared = shared.select("key", prefix.alias("prefix"), central.alias("central")).join(nodes.select("key", "n", *prints), "key")
+    posts = cut(shared.select(*own, F.explode("prefix").alias("x")).select(*own, "x.c", "x.v"), "posts")
+
+    leaders = posts.groupBy("c", "v").agg(F.max(F.struct("central", "key", *prints)).alias("lead"), F.count(F.lit(1)).alias("nn")).where("nn > 1")
+    leaders = leaders.select("c", "v", F.col("lead.key").alias("b"), F.col("lead.central").alias("cb"), *(F.col(f"lead.{p}").alias(q) for p, q in zip(prints, _prints(size, "q"), strict=True)))
+    # A leader meets itself too: it may be its own pivot.
+    met = posts.join(cut(leaders, "leaders"), ["c", "v"]).where(_collisions(size, "p", "q") >= matches).select(F.col("key").alias("a"), "b", "cb").distinct()
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cb"), "b")) == 1
+    pairs = cut(met.select("a", "b", best.alias("pivot")).where("a <> b or pivot"), "pairs")
+    either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = _sets(either.join(nodes.select("key", "loc"), "key"), ids, k)
+    measured = _with_sets(pairs, sets).select("a", "b", "pivot", "sa", "sb").mapInArrow(_measure, "a binary, b binary, pivot boolean, i long, na long, nb long, bits array<long>")
+    measured = cut(measured, "measured")
+    links = measured.where((F.col("a") != F.col("b")) & _similar(F.col("i"), F.col("na") + F.col("nb"), percent)).select("a", "b")
+    comps = components(links)
+
+    pairs = cut(_all_pairs(posts, comps, measured, size, matches, percent), "pairs")
+    either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    more = _sets(either.join(sets.select("key"), "key", "left_anti").join(nodes.select("key", "loc"), "key"), ids, k)
+    both = _with_sets(pairs, sets.union(more)).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+    rest = cut(both.where(_similar(F.col("i"), F.col("n"), percent)).select("a", "b"), "links")
     if rest.limit(1).count():
-        links = rest if links is None else links.union(rest)
-        comps = components(links)
+        comps = components(links.union(rest))
     low = nodes.select("key", "low")
-    if comps is not None:
-        named = comps.join(low, comps["node"] == low["key"]).select("node", "comp", "low")
-        least = cut(named.groupBy("comp").agg(F.min("low").alias("first")), "least")
-        joined = cut(comps.join(least, "comp").select(F.col("node").alias("key"), "first"), "joined")
-        low = low.join(joined, "key", "left").select("key", F.coalesce("first", "low").alias("low"))
-    low = cut(low, "components")
+    named = comps.join(low, comps["node"] == low["key"]).select("node", "comp", "low")
+    least = cut(named.groupBy("comp").agg(F.min("low").alias("first")), "least")
+    joined = cut(comps.join(least, "comp").select(F.col("node").alias("key"), "first"), "joined")
+    low = cut(low.join(joined, "key", "left").select("key", F.coalesce("first", "low").alias("low")), "components")
     out = rows.select("doc", "n", "key").join(low, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("low"))
     out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _with_component(posts: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return posts.withColumn("comp", F.col("key"))
+def _all_pairs(posts: DataFrame, comps: DataFrame, measured: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
+    """Pairs of different components that share a list, collide often enough and may be alike; long lists meet block by block."""
     named = comps.select(F.col("node").alias("key"), F.col("comp").alias("cc"))
-    return posts.join(named, "key", "left").select(*posts.columns, F.coalesce("cc", "key").alias("comp"))
-
-
-def _mixed(posts: DataFrame) -> tuple[DataFrame, float]:
-    """Lists that hold more than one component, with their lengths, and the number of their pairs."""
-    sizes = posts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = cut(sizes.where("lo <> hi").select("c", "v", "nn"), "mixed")
-    return mixed, mixed.agg(F.coalesce(F.sum(F.col("nn") * (F.col("nn") - 1) / 2), F.lit(0.0)).alias("s")).first()["s"]
-
-
-def _all_pairs(posts: DataFrame, size: int, matches: int) -> DataFrame:
-    """Pairs of different components that share a list and collide often enough; long lists meet block by block."""
-    mixed, _ = _mixed(posts)
-    blocks = F.ceil(F.col("nn") / BLOCK).cast("int")
-    here = posts.join(mixed.select("c", "v", blocks.alias("nb")), ["c", "v"]).withColumn("i", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    here = cut(here.drop("central"), "blocks")
+    pivots = measured.where("pivot").select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("i"), "bits")
     prints = _prints(size)
-    one = here.select("c", "v", F.col("key").alias("a"), F.col("comp").alias("ca"), *prints, "i", F.explode(F.sequence("i", F.col("nb") - 1)).alias("j"))
-    two = here.select("c", "v", F.col("key").alias("b"), F.col("comp").alias("cb"), *(F.col(p).alias(q) for p, q in zip(prints, _prints(size, "q"), strict=True)), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
-    met = one.join(two, ["c", "v", "i", "j"]).where(apart & (_collisions(size, "p", "q") >= matches))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    here = posts.join(named, "key", "left").join(pivots, "key", "left")
+    here = cut(here.select("key", "n", "c", "v", *prints, F.coalesce("cc", "key").alias("comp"), "pivot", "i", "bits"), "left")
+    sizes = here.groupBy("c", "v").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = cut(sizes.where("lo <> hi").select("c", "v", F.ceil(F.col("nn") / BLOCK).cast("int").alias("nb")), "mixed")
+    here = here.join(mixed, ["c", "v"]).withColumn("at", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    here = cut(here, "blocks")
+
+    def side(s: str, q: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "comp", "pivot", "i", "bits", "at")] + [F.col(p).alias(x) for p, x in zip(prints, _prints(size, q), strict=True)]
+
+    one = here.select("c", "v", *side("a", "p"), F.explode(F.sequence("at", F.col("nb") - 1)).alias("y"), F.col("at").alias("x"))
+    two = here.select("c", "v", *side("b", "q"), F.explode(F.sequence(F.lit(0), "at")).alias("x"), F.col("at").alias("y"))
+    apart = (F.col("comp_a") != F.col("comp_b")) & ((F.col("at_a") != F.col("at_b")) | (F.col("key_a") < F.col("key_b")))
+    both = F.col("n_a") + F.col("n_b")
+    shared = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda acc, x: acc + x)
+    most = F.when(F.col("pivot_a") == F.col("pivot_b"), shared + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))).otherwise(F.least("n_a", "n_b"))
+    near = apart & (_collisions(size, "p", "q") >= matches) & _similar(F.least("n_a", "n_b"), both, percent)
+    met = one.join(two, ["c", "v", "x", "y"]).where(near & _similar(most, both, percent))
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from terrakey.llm.wordhash import chunks, shingle_sets, signatures, words
 
 #: Rows of a posting list that meet in one task when all its pairs are wanted.
 BLOCK = 400
+#: Leaders that a node is measured against at first, the most central ones; all others are left to the comparison of all pairs.
+LEADERS = 3
 
 
 def _signature_rows(k: int, size: int):
@@ -108,9 +110,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent, two nodes with that many collisions share one of their ``size - matches + 1`` rarest (prefix), so only
     these are joined; a node with fewer than ``matches`` values that anyone shares is skipped.
 
-    *Linking.* Within a list, every node first meets the list's most central node; the pair is measured on the full sets.
-    Links make components. The most central of the nodes that a node has met is its pivot, and the node keeps a bit for each of the
-    pivot's shingles. Then all pairs of a list that lie in different components and have enough collisions are
+    *Linking.* Within a list, every node first meets the list's most central node; a node's LEADERS most central ones of
+    these are measured on the full sets. Links make components. The most central of them is the node's pivot, and the node keeps a bit for each
+    of the pivot's shingles. Then all pairs of a list that lie in different components and have enough collisions are
     compared, in blocks: sizes and, for nodes of one pivot, the bits bound the intersection from above, so families of
     copies whose members are less alike than the limit do not give all their pairs. What is left is confirmed on the full sets.
     No link between different components is lost and no pairs within a component are made.
@@ -134,16 +136,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Values of one node alone are the rarest and take places of the prefix first.
     prefix = F.slice("p", 1, F.size("p") - matches + 1)
     central = F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["f"])
-    own = ["key", "n", *prints, "central"]
+    own = ["key", "n", *prints, "central", "prefix"]
     shared = shared.select("key", prefix.alias("prefix"), central.alias("central")).join(nodes.select("key", "n", *prints), "key")
-    posts = cut(shared.select(*own, F.explode("prefix").alias("x")).select(*own, "x.c", "x.v"), "posts")
+    shared = cut(shared.withColumn("prefix", F.transform("prefix", lambda x: F.struct(x["c"], x["v"]))).select(own), "posts")
+    posts = shared.select(*own, F.explode("prefix").alias("x")).select(*own, "x.c", "x.v")
 
     leaders = posts.groupBy("c", "v").agg(F.max(F.struct("central", "key", *prints)).alias("lead"), F.count(F.lit(1)).alias("nn")).where("nn > 1")
     leaders = leaders.select("c", "v", F.col("lead.key").alias("b"), F.col("lead.central").alias("cb"), *(F.col(f"lead.{p}").alias(q) for p, q in zip(prints, _prints(size, "q"), strict=True)))
-    # A leader meets itself too: it may be its own pivot.
-    met = posts.join(cut(leaders, "leaders"), ["c", "v"]).where(_collisions(size, "p", "q") >= matches).select(F.col("key").alias("a"), "b", "cb").distinct()
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cb"), "b")) == 1
-    pairs = cut(met.select("a", "b", best.alias("pivot")).where("a <> b or pivot"), "pairs")
+    met = posts.join(cut(leaders, "leaders"), ["c", "v"]).where((F.col("key") != F.col("b")) & (_collisions(size, "p", "q") >= matches)).select(F.col("key").alias("a"), "b", "cb").distinct()
+    # A leader that is met meets itself too: it may be its own pivot.
+    met = cut(met, "met")
+    met = met.union(met.select(F.col("b").alias("a"), "b", "cb").distinct())
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cb"), "b"))
+    pairs = met.select("a", "b", rank.alias("r")).where(F.col("r") <= LEADERS).select("a", "b", (F.col("r") == 1).alias("pivot"))
+    pairs = cut(pairs.where("a <> b or pivot"), "pairs")
     either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _sets(either.join(nodes.select("key", "loc"), "key"), ids, k)
     measured = _with_sets(pairs, sets).select("a", "b", "pivot", "sa", "sb").mapInArrow(_measure, "a binary, b binary, pivot boolean, i long, na long, nb long, bits array<long>")
@@ -175,14 +181,14 @@ def _all_pairs(posts: DataFrame, comps: DataFrame, measured: DataFrame, size: in
     pivots = measured.where("pivot").select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("i"), "bits")
     prints = _prints(size)
     here = posts.join(named, "key", "left").join(pivots, "key", "left")
-    here = cut(here.select("key", "n", "c", "v", *prints, F.coalesce("cc", "key").alias("comp"), "pivot", "i", "bits"), "left")
+    here = cut(here.select("key", "n", "c", "v", "prefix", *prints, F.coalesce("cc", "key").alias("comp"), "pivot", "i", "bits"), "left")
     sizes = here.groupBy("c", "v").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = cut(sizes.where("lo <> hi").select("c", "v", F.ceil(F.col("nn") / BLOCK).cast("int").alias("nb")), "mixed")
     here = here.join(mixed, ["c", "v"]).withColumn("at", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
     here = cut(here, "blocks")
 
     def side(s: str, q: str) -> list[Column]:
-        return [F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "comp", "pivot", "i", "bits", "at")] + [F.col(p).alias(x) for p, x in zip(prints, _prints(size, q), strict=True)]
+        return [F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "comp", "pivot", "i", "bits", "at", "prefix")] + [F.col(p).alias(x) for p, x in zip(prints, _prints(size, q), strict=True)]
 
     one = here.select("c", "v", *side("a", "p"), F.explode(F.sequence("at", F.col("nb") - 1)).alias("y"), F.col("at").alias("x"))
     two = here.select("c", "v", *side("b", "q"), F.explode(F.sequence(F.lit(0), "at")).alias("x"), F.col("at").alias("y"))
@@ -191,8 +197,10 @@ def _all_pairs(posts: DataFrame, comps: DataFrame, measured: DataFrame, size: in
     shared = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda acc, x: acc + x)
     most = F.when(F.col("pivot_a") == F.col("pivot_b"), shared + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))).otherwise(F.least("n_a", "n_b"))
     near = apart & (_collisions(size, "p", "q") >= matches) & _similar(F.least("n_a", "n_b"), both, percent)
-    met = one.join(two, ["c", "v", "x", "y"]).where(near & _similar(most, both, percent))
-    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    # Of the lists that a pair shares, the first alone gives the pair.
+    earlier = F.exists(F.array_intersect("prefix_a", "prefix_b"), lambda x: x["c"] < F.col("c"))
+    met = one.join(two, ["c", "v", "x", "y"]).where(near & _similar(most, both, percent) & ~earlier)
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from terrakey.llm.wordhash import chunks
 #: Pieces or open sequences that one task packs.
 GROUP = 20_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Characters below U+0180 that neither normalisation nor white-space rules of the vocabulary treat specially; any other
@@ -154,10 +154,29 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
+def packed_well(sizes: np.ndarray, capacity: int, turns: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """``sum_of_squares`` of sizes in falling order, then again of what lies in bins that are not full.
+
+    In a further turn the items of open bins are placed anew in a shuffled order (the same each time), which mixes
+    large and small ones; the turn counts if it takes fewer bins.
+    """
+    bins, offsets = sum_of_squares(sizes, capacity)
+    for turn in range(turns):
+        loose = np.flatnonzero((np.bincount(bins, sizes) < capacity)[bins])
+        order = np.random.default_rng(turn).permutation(loose)
+        again, at = sum_of_squares(sizes[order], capacity)
+        if not order.size or again.max() + 1 >= np.unique(bins[order]).size:
+            continue
+        offsets[order] = at
+        bins[order] = bins.max() + 1 + again
+        bins = np.unique(bins, return_inverse=True)[1]
+    return bins, offsets
+
+
 def _level(level: int, capacity: int):
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fill", "top"], ascending=[False, True])
-        bins, offsets = sum_of_squares(pdf["fill"].to_numpy(), capacity)
+        bins, offsets = packed_well(pdf["fill"].to_numpy(), capacity)
         return pd.DataFrame({"old": pdf["top"], "shift": offsets, "new": (level << 56) | (pdf["_g"].to_numpy() << 32) | bins})
 
     return again
@@ -166,7 +185,7 @@ def _level(level: int, capacity: int):
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (columns of ``token_pieces``), with as few sequences as it can.
 
-    Groups of about GROUP pieces, dealt by hash, are packed in parallel, longest pieces first. What a group leaves open
+    Groups of about GROUP pieces, dealt by hash, are packed in parallel (``packed_well``). What a group leaves open
     is packed again as one item, level by level, until one group holds all of it; so hardly more than one sequence in
     the whole stays open for want of partners. A piece longer than ``capacity`` is an error; an empty table gives none.
     """
@@ -179,7 +198,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", *order], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
+        bins, offsets = packed_well(pdf["length"].to_numpy(), capacity)
         return pdf.assign(bin=(pdf["_g"].to_numpy() << 32) | bins, at=offsets).drop(columns="_g")
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", bin long, at long"

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 #: Pixel types by name.
@@ -79,3 +80,9 @@ class RasterSource(DataSource):
 
     def reader(self, schema: object) -> RasterReader:
         return RasterReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``flat_raster`` known to a session and lets filters on tile columns reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(RasterSource)

@@ -66,31 +66,31 @@ def quality(
     results. Other columns pass through, save those with the names of the results, which are replaced.
 
     Words of removed lines are summed by host and content, never by document id, so ids may be null or repeat. The
-    aggregations combine before they shuffle; a line shared by a third of all rows arrives as one row per task. The sums
+    aggregations combine before they shuffle; a line shared by a third of all rows arrives as one row per task. Verdicts
     are joined back from a written table, so that Spark can split the rows of a content that has very many copies.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept"]
     keep = [c for c in docs.columns if c not in own]
     # A null host is a host of its own, not the host with the empty name.
     host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("-"))
-    keys = {"_k1": F.xxhash64(host_key, F.col(text)), "_k2": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))}
-    named = [c.alias(k) for k, c in keys.items()]
+    named = [F.xxhash64(host_key, F.col(text)).alias("_k1"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_k2")]
     lines = docs.select(host_key.alias("_host"), *named, F.explode(_line_rows(F.col(text))).alias("x")).select("_host", "_k1", "_k2", "x.h", "x.w")
     # One row for each host, content and line; copies of a content add equal parts, so every sum is divided by them.
     seen = cut(lines.groupBy("_host", "_k1", "_k2", "h").agg(F.sum("w").alias("w")), "lines")
-    copies = cut(docs.select(host_key.alias("_host"), *named).groupBy("_host", "_k1", "_k2").agg(F.count(F.lit(1)).alias("_copies")), "copies")
-    hosts = cut(copies.groupBy("_host").agg(F.count(F.lit(1)).alias("_all")), "hosts")
+    counts = own[:5]
+    contents = _text_features(docs.select(host_key.alias("_host"), *named, F.col(text).alias("_text")), "_text")
+    contents = cut(contents.groupBy("_host", "_k1", "_k2").agg(F.count(F.lit(1)).alias("_copies"), *(F.max(c).alias(c) for c in counts)), "contents")
+    hosts = cut(contents.groupBy("_host").agg(F.count(F.lit(1)).alias("_all")), "hosts")
     frequent = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_docs)
     frequent = cut(frequent.join(hosts, "_host").where(F.col("_docs") > max_share * F.col("_all")).select("_host", "h"), "frequent")
     removed = seen.join(frequent, ["_host", "h"], "left_semi").groupBy("_k1", "_k2").agg(F.sum("w").alias("_sum"))
-    removed = removed.join(copies.select("_k1", "_k2", "_copies"), ["_k1", "_k2"])
-    removed = cut(removed.select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.expr("_sum div _copies").alias("_gone")), "removed")
-    out = _text_features(docs.select(*keep, *named), text)
-    out = out.join(removed, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left")
-    n, gone = F.col("n_words"), F.coalesce(F.col("_gone"), F.lit(0))
-    failed = (n < min_words) | (100 * F.col("n_repeat_words") > 50 * n)
-    out = out.withColumns({"base_failed": failed, "n_removed_words": gone.cast("long")})
-    return out.withColumn("kept", ~F.col("base_failed") & (n - F.col("n_removed_words") >= min_left * n)).select(*keep, *own)
+    n, gone = F.col("n_words"), F.coalesce(F.expr("_sum div _copies"), F.lit(0)).cast("long")
+    judged = contents.join(removed, ["_k1", "_k2"], "left").withColumn("n_removed_words", gone)
+    judged = judged.withColumn("base_failed", (n < min_words) | (100 * F.col("n_repeat_words") > 50 * n))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (n - F.col("n_removed_words") >= min_left * n))
+    judged = cut(judged.select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), *own), "judged")
+    out = docs.select(*keep, *named).join(judged, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")))
+    return out.select(*keep, *own)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from terrakey.llm.common import cut
 from terrakey.llm.wordhash import chunks
@@ -20,7 +20,7 @@ from terrakey.llm.wordhash import chunks
 #: Pieces or open sequences that one task packs.
 GROUP = 20_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Characters below U+0180 that neither normalisation nor white-space rules of the vocabulary treat specially; any other
@@ -44,6 +44,9 @@ class WordCoder:
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        # Its merges alone, for words that are split already.
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         # Words used of late, and those used before that; what the older ones know moves up when it is met again.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -52,7 +55,8 @@ class WordCoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        lines = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
+        ids = np.array([x for e in self.merges.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(new):
             raw, at = ids.tobytes(), 0

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrakey.llm.common import cut
@@ -15,8 +15,8 @@ from terrakey.llm.wordhash import chunks, shingle_sets, signatures, words
 
 #: Rows of a posting list that meet in one task when all its pairs are wanted.
 BLOCK = 400
-#: Leaders that a node is measured against at first, the most central ones; all others are left to the comparison of all pairs.
-LEADERS = 3
+#: Nodes, of 24 bytes each, that are broadcast at most.
+BROADCAST = 500_000
 
 
 def _signature_rows(k: int, size: int):
@@ -67,8 +67,11 @@ def _collisions(size: int, x: str, y: str) -> Column:
 
 
 def _sets(wanted: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets, sorted, of nodes (key, loc). A short list of nodes is broadcast by Spark, a long one shuffled."""
-    found = ids.join(cut(wanted, "wanted"), "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>")
+    """Full shingle sets, sorted, of nodes (key, loc). A list of up to BROADCAST nodes is broadcast, a longer one shuffled."""
+    wanted = cut(wanted, "wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>")
     return cut(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
 
 
@@ -110,9 +113,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent, two nodes with that many collisions share one of their ``size - matches + 1`` rarest (prefix), so only
     these are joined; a node with fewer than ``matches`` values that anyone shares is skipped.
 
-    *Linking.* Within a list, every node first meets the list's most central node; a node's LEADERS most central ones of
-    these are measured on the full sets. Links make components. The most central of them is the node's pivot, and the node keeps a bit for each
-    of the pivot's shingles. Then all pairs of a list that lie in different components and have enough collisions are
+    *Linking.* Within a list, every node first meets the list's most central node; the most central one of all
+    its lists is its pivot, and both are measured on the full sets. Links make components, and the node keeps a bit for each of the pivot's shingles. Then all pairs of a list that lie in different components and have enough collisions are
     compared, in blocks: sizes and, for nodes of one pivot, the bits bound the intersection from above, so families of
     copies whose members are less alike than the limit do not give all their pairs. What is left is confirmed on the full sets.
     No link between different components is lost and no pairs within a component are made.
@@ -147,9 +149,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A leader that is met meets itself too: it may be its own pivot.
     met = cut(met, "met")
     met = met.union(met.select(F.col("b").alias("a"), "b", "cb").distinct())
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cb"), "b"))
-    pairs = met.select("a", "b", rank.alias("r")).where(F.col("r") <= LEADERS).select("a", "b", (F.col("r") == 1).alias("pivot"))
-    pairs = cut(pairs.where("a <> b or pivot"), "pairs")
+    pivot = met.groupBy("a").agg(F.max(F.struct("cb", "b")).alias("m")).select("a", "m.b")
+    pairs = pivot.select("a", "b", F.lit(True).alias("pivot"))
+    pairs = cut(pairs, "pairs")
     either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _sets(either.join(nodes.select("key", "loc"), "key"), ids, k)
     measured = _with_sets(pairs, sets).select("a", "b", "pivot", "sa", "sb").mapInArrow(_measure, "a binary, b binary, pivot boolean, i long, na long, nb long, bits array<long>")

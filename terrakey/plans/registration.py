@@ -129,7 +129,7 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _XML = (
     '<?xml version="1.0"?><p:Product xmlns:p="urn:p"><logical_identifier>urn:{key}</logical_identifier><start_date_time>2020-01-02T03:04:05Z</start_date_time>'
-    "<Observing_System_Component><name>Chandrayaan-2 Orbiter</name><type>Spacecraft</type></Observing_System_Component>"
+    "<Observing_System_Component><name>Orbiter</name><type>Spacecraft</type></Observing_System_Component>"
     "<Observing_System_Component><name>TMC-2</name><type>Instrument</type></Observing_System_Component><p:sun_azimuth>{az}</p:sun_azimuth><p:sun_elevation>n/a</p:sun_elevation>"
     "<upper_left_latitude>{lat}</upper_left_latitude><upper_left_longitude> 5.5 </upper_left_longitude><upper_right_latitude></upper_right_latitude><lower_left_latitude>1.5</lower_left_latitude>"
     "<Axis_Array><axis_name>Line</axis_name><elements>{lines}</elements></Axis_Array><Axis_Array><axis_name>Sample</axis_name><elements>0</elements></Axis_Array></p:Product>"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakey.llm.common import cut
+from terrakey.llm.common import cut, small_batches
 from terrakey.llm.decontamination import contamination
 from terrakey.llm.near_dedup import near_duplicates
 from terrakey.llm.packing import pack_documents
@@ -37,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark. What is found is keyed by id and text, so null ids do no harm."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = cut(found.select(F.col("text_hash").alias("_h"), F.col("doc_id").alias("_d")).distinct(), "contaminated")
+    with small_batches(spark):
+        found = cut(found.select(F.col("text_hash").alias("_h"), F.col("doc_id").alias("_d")).distinct(), "contaminated")
     return docs.select(COLUMNS).join(found, F.xxhash64("text").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(COLUMNS)
 
 

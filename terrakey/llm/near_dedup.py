@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakey.llm.common import cut
+from terrakey.llm.common import cut, small_batches
 from terrakey.llm.components import components
 from terrakey.llm.wordhash import chunks, shingle_sets, signatures, words
 
@@ -72,7 +72,8 @@ def _sets(wanted: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
     found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>")
-    return cut(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+    with small_batches(ids.sparkSession):
+        return cut(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ids = ids.select("doc", F.coalesce("doc", F.xxhash64("text")).alias("loc"), "text")
     schema = "doc long, loc long, key binary, n long, sig array<int>, " + ", ".join(f"{p} long" for p in prints)
-    rows = cut(ids.mapInArrow(_signature_rows(k, size), schema), "signatures")
+    with small_batches(docs.sparkSession):
+        rows = cut(ids.mapInArrow(_signature_rows(k, size), schema), "signatures")
     one = [F.first(c).alias(c) for c in ("n", "sig", *prints)]
     nodes = cut(rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("low"), F.min("loc").alias("loc"), *one), "nodes")
     posted = nodes.select("key", F.posexplode("sig").alias("c", "v"))
@@ -155,7 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _sets(either.join(nodes.select("key", "loc"), "key"), ids, k)
     measured = _with_sets(pairs, sets).select("a", "b", "pivot", "sa", "sb").mapInArrow(_measure, "a binary, b binary, pivot boolean, i long, na long, nb long, bits array<long>")
-    measured = cut(measured, "measured")
+    with small_batches(docs.sparkSession):
+        measured = cut(measured, "measured")
     links = measured.where((F.col("a") != F.col("b")) & _similar(F.col("i"), F.col("na") + F.col("nb"), percent)).select("a", "b")
     comps = components(links)
 

@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from terrakey.llm.common import cut
+from terrakey.llm.common import cut, small_batches
 from terrakey.llm.wordhash import chunks
 
 #: Pieces or open sequences that one task packs.
 GROUP = 20_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Characters below U+0180 that neither normalisation nor white-space rules of the vocabulary treat specially; any other
@@ -193,7 +193,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     is packed again as one item, level by level, until one group holds all of it; so hardly more than one sequence in
     the whole stays open for want of partners. A piece longer than ``capacity`` is an error; an empty table gives none.
     """
-    pieces = cut(pieces, "pieces")
+    with small_batches(pieces.sparkSession):
+        pieces = cut(pieces, "pieces")
     n, low = pieces.agg(F.count(F.lit(1)), F.max("length")).first()
     if n and low > capacity:
         raise ValueError(f"a piece of {low} tokens is longer than {capacity}")

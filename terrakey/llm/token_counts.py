@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
-from terrakey.llm.common import cut, fresh_dir
+from terrakey.llm.common import cut, fresh_dir, small_batches
 from terrakey.llm.wordhash import chunks
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -70,7 +70,8 @@ def token_counts(docs: DataFrame, cache: str, path: str, limit: int = 4096, id_c
     found = rows.select("digest", "at", "text").join(wanted, ["digest", "at"]).select("digest", "text")
     # Rows that repeat an id with its text are encoded twice at worst and counted once.
     new = found.mapInArrow(_counts(path), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    with small_batches(spark):
+        new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     known = cut(_cached(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     sizes = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     out = sizes.join(known, "digest")

@@ -18,7 +18,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Shingle hashes keep this many bits, so that a text's number in its chunk fits beside them in one sortable word.
 HASH_BITS = 52
 MAX_TEXTS = 1 << (64 - HASH_BITS)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -162,13 +162,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = measured.where((F.col("a") != F.col("b")) & _similar(F.col("i"), F.col("na") + F.col("nb"), percent)).select("a", "b")
     comps = components(links)
 
-    pairs = cut(_all_pairs(posts, comps, measured, size, matches, percent), "pairs")
-    either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    more = _sets(either.join(sets.select("key"), "key", "left_anti").join(nodes.select("key", "loc"), "key"), ids, k)
-    both = _with_sets(pairs, sets.union(more)).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    rest = cut(both.where(_similar(F.col("i"), F.col("n"), percent)).select("a", "b"), "links")
-    if rest.limit(1).count():
-        comps = components(links.union(rest))
+    # Families of copies that are less like their pivot than like each other: another leader for each list first.
+    for find in (_list_leaders, _all_pairs):
+        pairs = cut(find(posts, comps, measured, size, matches, percent), "pairs")
+        either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        more = _sets(either.join(sets.select("key"), "key", "left_anti").join(nodes.select("key", "loc"), "key"), ids, k)
+        sets = sets.union(more)
+        both = _with_sets(pairs, sets).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+        found = cut(both.where(_similar(F.col("i"), F.col("n"), percent)).select("a", "b"), "links")
+        if found.limit(1).count():
+            links = links.union(found)
+            comps = components(links)
     low = nodes.select("key", "low")
     named = comps.join(low, comps["node"] == low["key"]).select("node", "comp", "low")
     least = cut(named.groupBy("comp").agg(F.min("low").alias("first")), "least")
@@ -180,6 +184,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _list_leaders(posts: DataFrame, comps: DataFrame, measured: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
+    """Pairs of each node with a member of each of its lists, drawn by hash, that lies in another component and may be alike."""
+    prints, others = _prints(size), _prints(size, "q")
+    named = comps.select(F.col("node").alias("key"), F.col("comp").alias("cc"))
+    here = posts.join(named, "key", "left").select("key", "n", "c", "v", *prints, F.coalesce("cc", "key").alias("comp"))
+    here = cut(here, "members")
+    drawn = F.max(F.struct(F.xxhash64("key", "c", "v").alias("r"), "key", "n", "comp", *prints)).alias("lead")
+    lead = here.groupBy("c", "v").agg(drawn, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    lead = lead.select("c", "v", F.col("lead.key").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.comp").alias("cb"), *(F.col(f"lead.{x}").alias(y) for x, y in zip(prints, others, strict=True)))
+    met = here.join(cut(lead, "leaders"), ["c", "v"]).where((F.col("comp") != F.col("cb")) & (_collisions(size, "p", "q") >= matches))
+    met = met.where(_similar(F.least("n", "nb"), F.col("n") + F.col("nb"), percent))
+    return met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+
 def _all_pairs(posts: DataFrame, comps: DataFrame, measured: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
     """Pairs of different components that share a list, collide often enough and may be alike; long lists meet block by block."""
     named = comps.select(F.col("node").alias("key"), F.col("comp").alias("cc"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from terrakey.llm.wordhash import chunks
 #: Pieces or open sequences that one task packs.
 GROUP = 20_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 80_000
+REMEMBERED = 250_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Characters below U+0180 that neither normalisation nor white-space rules of the vocabulary treat specially; any other
@@ -40,6 +41,7 @@ class WordCoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)

@@ -183,6 +183,33 @@ def test_license_differences_and_edges(spark):
     assert scan_licenses(docs.limit(0)).collect() == []
 
 
+def test_license_layouts_repeats_and_many(spark):
+    """Paragraphs, wrapped lines and comment signs, four or more wordings in a block, equal ones in a row."""
+    import textwrap
+
+    def laid_out(text):
+        yield re.sub(r"(?<=[.:]) ", "\n\n", text)
+        yield textwrap.fill(text, 30, break_long_words=False)  # an address is not broken
+        yield textwrap.fill(text, 40, initial_indent=" * ", subsequent_indent=" * ")
+        yield "\n\n".join(text.split(" "))
+
+    other = "Some other prose about the weather and the sea. " * 40
+    docs, want = [], []
+    for k, t in TEMPLATES.items():
+        for x in laid_out(t):
+            want.append((len(docs), k, 1.0))
+            docs.append((len(docs), f"{other}\n\n{x}\n\n{other}"))
+    many = list(TEMPLATES) + ["MIT-line"] * 3 + ["BSD-2-Clause"] * 2
+    for glue in ("\n", "\n\n", f"\n{other}\n"):
+        want += [(len(docs), k, 1.0) for k in many]
+        docs.append((len(docs), glue.join(TEMPLATES[k] for k in many)))
+    got = scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.license, r.share) for r in got) == Counter(want)
+    changed = f"the {other} the {TEMPLATES['GPL-3.0'].replace('useful', 'helpful')} {other} license and the warranty"
+    (found,) = scan_block(changed, TEMPLATES)
+    assert found[0] == "GPL-3.0" and found[5] == ["replace:useful>helpful"]
+
+
 def test_html_against_the_article(spark):
     """On pages that mark their article, the result is the article's text, found here by plain string work."""
     import html

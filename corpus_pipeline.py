@@ -18,8 +18,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+    """Documents that the quality rules keep, without the lines above the limits; n_chars is counted anew where lines went."""
+    out = quality(docs.select(COLUMNS)).where("kept")
+    n_chars = F.when(F.col("n_removed_words") > 0, F.length("cleaned").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

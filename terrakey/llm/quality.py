@@ -39,9 +39,13 @@ def _text_features(docs: DataFrame, text: str) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(F.size("_p") > 0, covered).otherwise(0).cast("long")).drop("_p")
 
 
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+
+
 def _line_rows(text: Column) -> Column:
     """(hash, words) of each line with a word, normalised: lower case, white space runs as one space, trimmed."""
-    clean = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " ")))
+    clean = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _normal)
     return F.transform(F.filter(clean, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
 
 
@@ -54,12 +58,12 @@ def quality(
     min_left: float = 0.3,
     min_words: int = 50,
 ) -> DataFrame:
-    """Adds base counts, line-frequency counts and a verdict to every row of ``docs``.
+    """Adds base counts, line-frequency counts, a verdict and the text without common lines to every row of ``docs``.
 
     Lines are normalised and hashed; for each host and line the distinct documents are counted, where equal texts of a
     host count as one document (copies are the business of deduplication, not of this rule). A line is above the limit
-    if it is in more than ``min_docs`` documents of a host and in more than ``max_share`` of them; it counts as removed
-    there. A document is depleted, and so not kept, when less than ``min_left`` of its words are left. ``base_failed``
+    if it is in more than ``min_docs`` documents of a host and in more than ``max_share`` of them; it is removed there:
+    ``cleaned`` is the text without those lines, all others as they are. A document is depleted, and so not kept, when less than ``min_left`` of its words are left. ``base_failed``
     documents are never kept.
 
     A null or empty text has no words and fails the base rule. A null host is a host of its own. Repeated rows get equal
@@ -70,7 +74,7 @@ def quality(
     are joined back from a written table, so that Spark can split the rows of a content that has very many copies.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept"]
-    keep = [c for c in docs.columns if c not in own]
+    keep = [c for c in docs.columns if c not in (*own, "cleaned")]
     # A null host is a host of its own, not the host with the empty name.
     host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("-"))
     named = [F.xxhash64(host_key, F.col(text)).alias("_k1"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_k2")]
@@ -83,14 +87,16 @@ def quality(
     hosts = cut(contents.groupBy("_host").agg(F.count(F.lit(1)).alias("_all")), "hosts")
     frequent = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_docs)
     frequent = cut(frequent.join(hosts, "_host").where(F.col("_docs") > max_share * F.col("_all")).select("_host", "h"), "frequent")
-    removed = seen.join(frequent, ["_host", "h"], "left_semi").groupBy("_k1", "_k2").agg(F.sum("w").alias("_sum"))
+    removed = seen.join(frequent, ["_host", "h"], "left_semi").groupBy("_k1", "_k2").agg(F.sum("w").alias("_sum"), F.collect_list("h").alias("_gone"))
     n, gone = F.col("n_words"), F.coalesce(F.expr("_sum div _copies"), F.lit(0)).cast("long")
     judged = contents.join(removed, ["_k1", "_k2"], "left").withColumn("n_removed_words", gone)
     judged = judged.withColumn("base_failed", (n < min_words) | (100 * F.col("n_repeat_words") > 50 * n))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (n - F.col("n_removed_words") >= min_left * n))
-    judged = cut(judged.select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), *own), "judged")
-    out = docs.select(*keep, *named).join(judged, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")))
-    return out.select(*keep, *own)
+    judged = cut(judged.select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), *own, "_gone"), "judged")
+    out = docs.select(*keep, *named, F.col(text).alias("_text")).join(judged, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")))
+    left = F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x))))
+    cleaned = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
+    return out.select(*keep, *own, cleaned.alias("cleaned"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,19 @@ def test_quality_rejects_documents_of_common_lines(spark):
     assert out[0].n_removed_words == 60 and out[200].n_removed_words == 0  # copies of one text are one document
 
 
+def test_quality_removes_common_lines_from_texts(spark):
+    import corpus_pipeline
+
+    own = [" ".join(f"d{i}w{j}" for j in range(80)) for i in range(30)]
+    rows = [(i, f"Menu  ONE two\n{t}\n\nmenu one TWO \nx y", "en", "h", 9) for i, t in enumerate(own)] + [(50, f"menu one two\n{own[0]}", "en", "other", 9), (51, None, "en", "h", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in quality(docs).collect()}
+    assert all(out[i].cleaned == f"{t}\n" and out[i].n_removed_words == 8 for i, t in enumerate(own))
+    assert out[50].cleaned == rows[30][1] and out[51].cleaned is None
+    kept = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, docs, DATA).collect()}
+    assert {i: (r.text, r.n_chars) for i, r in kept.items()} == {**{i: (f"{t}\n", len(t) + 1) for i, t in enumerate(own)}, 50: (rows[30][1], 9)}
+
+
 def test_quality_edges(spark):
     out = quality(edge_docs(spark)).collect()
     assert len(out) == len(EDGES) and all(r.key == "x" for r in out)

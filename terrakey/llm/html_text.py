@@ -113,7 +113,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of a page's best region, joined by line ends."""
     items = list(tokens(page))
-    scores = [(0.0 if x.outside else float(len(x.text.split()))) if not x.tag else weights.get(x.tag, weights.get(x.tag.split(".")[0], -1.0)) for x in items]
+    scores = [0.0 if x.outside else float(len(x.text.split())) if not x.tag else -0.01 if x.marked else weights.get(x.tag, weights.get(x.tag.split(".")[0], -1.0)) for x in items]
     start, end = best_region(scores)
     blocks: list[list[str]] = [[]]
     for x in items[start:end]:
@@ -132,10 +132,11 @@ def _tag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in batch.column(0).to_pylist():
             items = list(tokens(page))
             if any(x.marked and not x.tag and not x.outside and x.text.strip() for x in items):
+                total[""] += 1
                 for x in items:
-                    if x.tag:
+                    if x.tag and not x.outside:
                         total[x.tag] += 1
-                        inside[x.tag] += x.marked and not x.outside
+                        inside[x.tag] += x.marked
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([inside[k] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["tag", "inside", "total"])
 
 
@@ -144,7 +145,9 @@ def fit(pages: DataFrame, page_col: str = "html") -> dict[str, float]:
 
     The fit takes a bounded sample, the LABELLED_PAGES pages with the smallest hashes of their html, and keeps the
     KNOWN_TAGS most frequent tags. A tag (with its first class) costs next to nothing if it lies in labelled content at
-    least as often as not, and up to PENALTY words otherwise; tags never seen cost one word.
+    least as often as not, and up to PENALTY words otherwise, by the share in which it lies there and by how often a page
+    has it; so the number of pages makes no difference. Tags never seen cost one word. Elements that are left out anyway
+    are not counted.
     """
     n = pages.count()
     share = min(1.0, 1.2 * LABELLED_PAGES / max(n, 1) + 100 / max(n, 1))
@@ -153,17 +156,20 @@ def fit(pages: DataFrame, page_col: str = "html") -> dict[str, float]:
     rows = rows.orderBy("h").limit(LABELLED_PAGES).select("html")
     seen = rows.mapInArrow(_tag_rows, "tag string, inside long, total long").groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total"))
     out = {}
-    for r in seen.orderBy(F.desc("total"), "tag").limit(KNOWN_TAGS).collect():
-        share_in = (r.inside + 0.5) / (r.total + 1)
-        out[r.tag] = -0.01 if share_in >= 0.5 or r.tag.lstrip("/").split(".")[0] in ("article", "main") else -max(0.01, min(PENALTY, PENALTY * (1 - 2 * share_in) * math.log2(2 + r.total) / 4))
+    found = seen.orderBy(F.col("tag") != "", F.desc("total"), "tag").limit(KNOWN_TAGS + 1).collect()
+    labelled = found[0].total if found else 0
+    for r in found[1:]:
+        share_in = r.inside / r.total
+        out[r.tag] = -0.01 if share_in >= 0.5 or r.tag.lstrip("/").split(".")[0] in ("article", "main") else -max(1.0, PENALTY * (1 - 2 * share_in) * min(1.0, r.total / labelled))
     return out
 
 
 def extract(pages: DataFrame, weights: dict[str, float], page_col: str = "html") -> DataFrame:
     """Adds ``text`` and ``n_chars`` (code points) to every row of ``pages`` in place of the html.
 
-    Words score one each, tags their (negative) weights; the region with the largest sum is the content. Words in menus,
-    forms, adverts and the like score nothing and are left out within the region too. White space in a block becomes
+    Words score one each, tags their (negative) weights, or next to nothing in content that the page itself labels; the
+    region with the largest sum is the content. Words and tags in menus, forms, adverts and the like score nothing and are
+    left out within the region too. White space in a block becomes
     one space, blocks are joined by line ends. A null or empty page has an empty text. Repeated rows
     give repeated results; columns named like the results are replaced. An empty table gives an empty result.
     """

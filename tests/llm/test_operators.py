@@ -257,6 +257,22 @@ def test_html_by_hand(spark):
         assert sum(x[a:b]) == max(0, max(sum(x[i:j]) for i in range(12) for j in range(i + 1, 13)))
 
 
+def test_html_adverts_lists_links_and_tables(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    weights = fit_pages(pages)
+    assert fit_pages(pages.union(pages).union(pages)) == weights  # the same pages, more of them
+    said = lambda i: f"Part {i} of the text has a few words."
+    advert = '<div class="ad"><ul><li><a href="/x">Buy</a></li></ul></div><aside><div>side</div></aside><form><div><p>Sign up</p></div></form>'
+    listed = "<ul>" + "".join(f'<li>Item {i} is linked to <a href="/i">this</a> page</li>' for i in range(8)) + "</ul>"
+    table = "<table>" + "".join(f"<tr><td>Row {i} has the name</td><td>and the value {i}</td></tr>" for i in range(6)) + "</table>"
+    inner = f"<p>{said(1)}</p>{advert}<p>{said(2)}</p>{listed}<p>{said(3)}</p>{advert}{table}"
+    want = [said(1), said(2), *(f"Item {i} is linked to this page" for i in range(8)), said(3)]
+    want += [x for i in range(6) for x in (f"Row {i} has the name", f"and the value {i}")]
+    for start, end in (("<article>", "</article>"), ('<div id="content">', "</div>")):
+        page = f'<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>{start}{inner}{end}<footer>foot</footer></body></html>'
+        assert main_text(page, weights).split("\n") == want
+
+
 def test_secrets_by_hand(spark):
     key, token = "AKIA" + "ABCDEFGHIJ234567", "ab12" * 10
     rows = [(1, f'é token = "{token}" {key} secret:abc PassWord=hunter22', "own"), (2, f"{key} only", "a"), (3, f"{key} only here", "b"), (4, f"{key} and", "c"), (5, "Zq9" * 12, "own"), (6, "secret: token = abcdefgh", "x")]

@@ -17,21 +17,23 @@ from terrakey.llm.wordhash import chunks, shingle_sets, signatures, words
 BLOCK = 400
 #: Nodes, of 24 bytes each, that are broadcast at most.
 BROADCAST = 500_000
+#: Words of 64 bits that a difference's parities take.
+PARITY = 8
 
 
 def _signature_rows(k: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, loc, text = batch.columns
+            doc, loc, text_hash, text = batch.columns
             for a, b, data, offsets in chunks(text):
                 hashes, counts = shingle_sets(words(data, offsets), k)
                 sig, keys = signatures(hashes, counts, size)
                 flat = pa.array(sig.view(np.int32).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * size), flat)
                 prints = np.ascontiguousarray((sig & 0xFF).astype(np.uint8)).view(np.int64)
-                columns = [doc.slice(a, b - a), loc.slice(a, b - a), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), lists]
+                columns = [x.slice(a, b - a) for x in (doc, loc, text_hash)] + [pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), lists]
                 columns += [pa.array(prints[:, j]) for j in range(size // 8)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "loc", "key", "n", "sig", *_prints(size)])
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "loc", "text_hash", "key", "n", "sig", *_prints(size)])
 
     return run
 
@@ -55,15 +57,15 @@ def _prints(size: int, of: str = "p") -> list[str]:
     return [f"{of}{j}" for j in range(size // 8)]
 
 
-def _collisions(size: int, x: str, y: str) -> Column:
+def _collisions(x: list[str], y: list[str]) -> Column:
     """Equal coordinates of two signatures by their fingerprints of 8 bits each: as many as the full values have, or more."""
     differing = F.lit(0)
-    for a, b in zip(_prints(size, x), _prints(size, y), strict=True):
+    for a, b in zip(x, y, strict=True):
         d = F.col(a).bitwiseXOR(F.col(b))
         for shift in (4, 2, 1):
             d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
         differing = differing + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(size) - differing
+    return F.lit(8 * len(x)) - differing
 
 
 def _sets(wanted: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -77,19 +79,19 @@ def _sets(wanted: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intersections of pairs of sorted sets; for pivots also which of the pivot's shingles the node has, bit by bit."""
+    """Sizes and intersections of pairs of sorted sets; for roots also the elements that only one of both has."""
     for batch in batches:
-        a, b, pivot, sa, sb = batch.columns
-        inter, bits, sizes = [], [], []
-        for i, is_pivot in enumerate(pivot.to_pylist()):
+        a, b, root, sa, sb = batch.columns
+        inter, deltas, na, nb = [], [], [], []
+        for i, is_root in enumerate(root.to_pylist()):
             x, y = sa[i].values.to_numpy(), sb[i].values.to_numpy()
-            has = x[np.minimum(np.searchsorted(x, y), x.size - 1)] == y
-            inter.append(int(has.sum()))
-            sizes.append((x.size, y.size))
-            packed = np.packbits(has)
-            bits.append(np.concatenate([packed, np.zeros(-packed.size % 8, np.uint8)]).view(np.int64) if is_pivot else None)
-        na, nb = zip(*sizes, strict=True) if sizes else ((), ())
-        yield pa.RecordBatch.from_arrays([a, b, pivot, pa.array(inter, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["a", "b", "pivot", "i", "na", "nb", "bits"])
+            differing = np.setxor1d(x, y, assume_unique=True)
+            inter.append((x.size + y.size - differing.size) // 2)
+            na.append(x.size)
+            nb.append(y.size)
+            deltas.append(differing if is_root else None)
+        counts = [pa.array(x, pa.int64()) for x in (inter, na, nb)]
+        yield pa.RecordBatch.from_arrays([a, b, root, *counts, pa.array(deltas, pa.list_(pa.int64()))], ["a", "b", "root", "i", "na", "nb", "delta"])
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -103,8 +105,8 @@ def _similar(i: Column, both: Column, percent: int) -> Column:
     return (100 + percent) * i >= percent * both
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, size: int = 24, matches: int = 11) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, size: int = 24, matches: int = 11) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``text_hash``, ``component``.
 
     Each text has its set of distinct ``k``-word shingles; two texts are linked if ``100 * |A & B| >= percent * |A | B|``.
 
@@ -114,21 +116,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent, two nodes with that many collisions share one of their ``size - matches + 1`` rarest (prefix), so only
     these are joined; a node with fewer than ``matches`` values that anyone shares is skipped.
 
-    *Linking.* Within a list, every node first meets the list's most central node; the most central one of all
-    its lists is its pivot, and both are measured on the full sets. Links make components, and the node keeps a bit for each of the pivot's shingles. Then all pairs of a list that lie in different components and have enough collisions are
-    compared, in blocks: sizes and, for nodes of one pivot, the bits bound the intersection from above, so families of
-    copies whose members are less alike than the limit do not give all their pairs. What is left is confirmed on the full sets.
-    No link between different components is lost and no pairs within a component are made.
+    *Linking.* Within a list, every node first meets the list's most central node; the most central one of all its
+    lists is its pivot, and up to four pivots further up is its root. Both are measured on the full sets; the node keeps
+    its difference to the root. Links make components.
+
+    *Families.* Two nodes of one root differ by what their differences to the root do not share, so the links between
+    components of a family come from an inverted join of these differences (``_family_links``). Copies that were edited
+    apart from each other share no rare element and never meet, however many there are.
+
+    *Across.* Nodes of a list under different roots are paired, block by block, where collisions and sizes allow a link,
+    and confirmed on the full sets. No link between different components is lost; no pairs within one are made.
 
     ``component_id`` is the smallest id that can be reached, ``kept`` is true for it. Null and empty texts have no
     shingles and are linked with nothing: ``component_id`` is their own id. A null id is ignored when the smallest is
     sought; if a component has no other, ``component_id`` is null and ``kept`` false. Repeated rows give repeated
-    results. Other columns are not used, whatever their names. An empty table gives an empty result.
+    results. ``component`` is a key of the component, null for texts without shingles; with ``text_hash`` (xxhash64) it tells
+    rows apart whose ids are null or repeated. Other columns are not used, whatever their names. An empty table gives an
+    empty result.
     """
     prints = _prints(size)
     ids = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    ids = ids.select("doc", F.coalesce("doc", F.xxhash64("text")).alias("loc"), "text")
-    schema = "doc long, loc long, key binary, n long, sig array<int>, " + ", ".join(f"{p} long" for p in prints)
+    ids = ids.select("doc", F.coalesce("doc", F.xxhash64("text")).alias("loc"), F.xxhash64("text").alias("text_hash"), "text")
+    schema = "doc long, loc long, text_hash long, key binary, n long, sig array<int>, " + ", ".join(f"{p} long" for p in prints)
     with small_batches(docs.sparkSession):
         rows = cut(ids.mapInArrow(_signature_rows(k, size), schema), "signatures")
     one = [F.first(c).alias(c) for c in ("n", "sig", *prints)]
@@ -147,83 +156,180 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     leaders = posts.groupBy("c", "v").agg(F.max(F.struct("central", "key", *prints)).alias("lead"), F.count(F.lit(1)).alias("nn")).where("nn > 1")
     leaders = leaders.select("c", "v", F.col("lead.key").alias("b"), F.col("lead.central").alias("cb"), *(F.col(f"lead.{p}").alias(q) for p, q in zip(prints, _prints(size, "q"), strict=True)))
-    met = posts.join(cut(leaders, "leaders"), ["c", "v"]).where((F.col("key") != F.col("b")) & (_collisions(size, "p", "q") >= matches)).select(F.col("key").alias("a"), "b", "cb").distinct()
+    met = posts.join(cut(leaders, "leaders"), ["c", "v"]).where((F.col("key") != F.col("b")) & (_collisions(prints, _prints(size, "q")) >= matches)).select(F.col("key").alias("a"), "b", "cb").distinct()
     # A leader that is met meets itself too: it may be its own pivot.
     met = cut(met, "met")
     met = met.union(met.select(F.col("b").alias("a"), "b", "cb").distinct())
     pivot = met.groupBy("a").agg(F.max(F.struct("cb", "b")).alias("m")).select("a", "m.b")
-    pairs = pivot.select("a", "b", F.lit(True).alias("pivot"))
-    pairs = cut(pairs, "pairs")
+    pivots = cut(pivot, "pivots")
+    roots = _step(_step(pivots))
+    pairs = pivots.join(roots, "a").select("a", F.explode(F.array_distinct(F.array("b", "root"))).alias("b"), F.col("root").alias("r"))
+    pairs = cut(pairs.select("a", "b", (F.col("b") == F.col("r")).alias("root")), "pairs")
     either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _sets(either.join(nodes.select("key", "loc"), "key"), ids, k)
-    measured = _with_sets(pairs, sets).select("a", "b", "pivot", "sa", "sb").mapInArrow(_measure, "a binary, b binary, pivot boolean, i long, na long, nb long, bits array<long>")
+    measured = _with_sets(pairs, sets).select("a", "b", "root", "sa", "sb").mapInArrow(_measure, "a binary, b binary, root boolean, i long, na long, nb long, delta array<long>")
     with small_batches(docs.sparkSession):
         measured = cut(measured, "measured")
-    links = measured.where((F.col("a") != F.col("b")) & _similar(F.col("i"), F.col("na") + F.col("nb"), percent)).select("a", "b")
-    comps = components(links)
-
-    # Families of copies that are less like their pivot than like each other: another leader for each list first.
-    for find in (_list_leaders, _all_pairs):
-        pairs = cut(find(posts, comps, measured, size, matches, percent), "pairs")
-        either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        more = _sets(either.join(sets.select("key"), "key", "left_anti").join(nodes.select("key", "loc"), "key"), ids, k)
-        sets = sets.union(more)
-        both = _with_sets(pairs, sets).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-        found = cut(both.where(_similar(F.col("i"), F.col("n"), percent)).select("a", "b"), "links")
-        if found.limit(1).count():
-            links = links.union(found)
-            comps = components(links)
+    comps = components(measured.where((F.col("a") != F.col("b")) & _similar(F.col("i"), F.col("na") + F.col("nb"), percent)).select("a", "b"))
+    comps = _family_links(measured.where("root"), comps, percent)
+
+    roots = measured.where("root").select(F.col("a").alias("key"), F.col("b").alias("root"))
+    pairs = cut(_across(shared, comps, roots, size, matches, percent), "pairs")
+    either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = sets.union(_sets(either.join(sets.select("key"), "key", "left_anti").join(nodes.select("key", "loc"), "key"), ids, k))
+    both = _with_sets(pairs, sets).select("ca", "cb", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+    comps, _ = _merged(comps, both.where(_similar(F.col("i"), F.col("n"), percent)).select("ca", "cb"))
     low = nodes.select("key", "low")
     named = comps.join(low, comps["node"] == low["key"]).select("node", "comp", "low")
     least = cut(named.groupBy("comp").agg(F.min("low").alias("first")), "least")
-    joined = cut(comps.join(least, "comp").select(F.col("node").alias("key"), "first"), "joined")
-    low = cut(low.join(joined, "key", "left").select("key", F.coalesce("first", "low").alias("low")), "components")
-    out = rows.select("doc", "n", "key").join(low, "key", "left")
+    joined = cut(comps.join(least, "comp").select(F.col("node").alias("key"), "first", "comp"), "joined")
+    low = cut(low.join(joined, "key", "left").select("key", F.coalesce("first", "low").alias("low"), F.coalesce("comp", "key").alias("comp")), "components")
+    out = rows.select("doc", "n", "key", "text_hash").join(low, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("low"))
-    out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-
-
-def _list_leaders(posts: DataFrame, comps: DataFrame, measured: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
-    """Pairs of each node with a member of each of its lists, drawn by hash, that lies in another component and may be alike."""
-    prints, others = _prints(size), _prints(size, "q")
-    named = comps.select(F.col("node").alias("key"), F.col("comp").alias("cc"))
-    here = posts.join(named, "key", "left").select("key", "n", "c", "v", *prints, F.coalesce("cc", "key").alias("comp"))
-    here = cut(here, "members")
-    drawn = F.max(F.struct(F.xxhash64("key", "c", "v").alias("r"), "key", "n", "comp", *prints)).alias("lead")
-    lead = here.groupBy("c", "v").agg(drawn, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    lead = lead.select("c", "v", F.col("lead.key").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.comp").alias("cb"), *(F.col(f"lead.{x}").alias(y) for x, y in zip(prints, others, strict=True)))
-    met = here.join(cut(lead, "leaders"), ["c", "v"]).where((F.col("comp") != F.col("cb")) & (_collisions(size, "p", "q") >= matches))
-    met = met.where(_similar(F.least("n", "nb"), F.col("n") + F.col("nb"), percent))
-    return met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-
-
-def _all_pairs(posts: DataFrame, comps: DataFrame, measured: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
-    """Pairs of different components that share a list, collide often enough and may be alike; long lists meet block by block."""
-    named = comps.select(F.col("node").alias("key"), F.col("comp").alias("cc"))
-    pivots = measured.where("pivot").select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("i"), "bits")
+    kept = F.coalesce(F.col("doc") == component, F.lit(False))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "text_hash", F.col("comp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``near_groups`` without the keys: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
+    return near_groups(docs, id_col, text_col, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _step(up: DataFrame) -> DataFrame:
+    """Each node's pointer, followed twice: (a, root)."""
+    up = up.toDF("a", "to")
+    far = up.toDF("_a", "root")
+    return cut(up.join(far, up["to"] == far["_a"]).select("a", "root"), "roots")
+
+
+def _merged(comps: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``comps`` with the components (ca, cb) of each found link made one, and the new names of those that changed."""
+    found = cut(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    if not found.limit(1).count():
+        return comps, None
+    names = components(found).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    known = comps.join(names, comps["comp"] == names["old"], "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    alone = names.join(comps.select("node"), names["old"] == comps["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return cut(known.union(alone), "comps"), names
+
+
+def _renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    return cut(rows.join(names, rows["comp"] == names["old"], "left").withColumn("comp", F.coalesce("new", "comp")).select(*rows.columns), "renamed")
+
+
+def _blocks(rows: DataFrame, by: list[str], lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of ``lists`` (by, nn) twice, so that each two rows of a list meet in one block (by, x, y) of about BLOCK rows a side."""
+    lists = lists.withColumn("nb", F.ceil(F.col("nn") / BLOCK).cast("int")).drop("nn")
+    rows = rows.join(lists, by).withColumn("at", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    one = rows.withColumn("x", F.col("at")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb", "at")
+    two = rows.withColumn("y", F.col("at")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb", "at")
+    return one, two
+
+
+def _sides(one: DataFrame, two: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    on = [*by, "x", "y"]
+    a = one.select(*on, *(F.col(c).alias(f"{c}_a") for c in columns))
+    return a.join(two.select(*on, *(F.col(c).alias(f"{c}_b") for c in columns)), on)
+
+
+def _centred(roots: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of roots with several components (key, root, comp, n, delta), and how often elements differ (root, e, f > 1).
+
+    ``delta`` becomes the difference to the family's centre, which has what most of its nodes have, in place of that to the root.
+    """
+    named = comps.select(F.col("node").alias("key"), "comp")
+    here = roots.select(F.col("a").alias("key"), F.col("b").alias("root"), F.col("na").alias("n"), "delta").join(named, "key", "left")
+    here = here.withColumn("comp", F.coalesce("comp", "key"))
+    mixed = here.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("nodes")).where("lo <> hi").select("root", "nodes")
+    here = cut(here.join(mixed, "root"), "families")
+    often = here.select("root", "nodes", F.explode("delta").alias("e")).groupBy("root", "e").agg(F.count(F.lit(1)).alias("f"), F.first("nodes").alias("nodes"))
+    often = cut(often.where("f > 1"), "often")
+    centre = often.where("2 * f > nodes").groupBy("root").agg(F.collect_list("e").alias("m"))
+    here = here.join(centre, "root", "left").withColumn("m", F.coalesce("m", F.array().cast("array<long>")))
+    here = here.withColumn("delta", F.concat(F.array_except("delta", "m"), F.array_except("m", "delta"))).drop("m", "nodes")
+    often = often.select("root", "e", F.when(F.expr("2 * f > nodes"), F.col("nodes") - F.col("f")).otherwise(F.col("f")).alias("f")).where("f > 1")
+    return cut(here, "centred"), often
+
+
+def _family_links(roots: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """``comps`` with all links between nodes (a, of size na) of one root (b), from their differences delta to the root.
+
+    With p = percent and c = (100 - p) / (100 + p), A and B are linked if |A ^ B| <= c (|A| + |B|), and A ^ B is what their
+    differences dA and dB to any third set, here the centre of ``_centred``, do not share. So they are linked if they share at
+    least (tA + tB) / 2 elements of their differences, where t = |d| - c |A|. The node with the least t, the innermost, is linked
+    with all nodes that need not share any; of two nodes in different components, at most one is among them. So one that is
+    shares at least (t - least t) / 2 with a node of another component, one that is not (t + least t) / 2, and two such
+    nodes meet under one of their |d| - share + 1 rarest elements. Elements of one node alone are the rarest; they take
+    the first places and are not posted.
+
+    Every list first meets one member, at first the innermost, then others by hash, until this links nothing more: tight
+    groups of copies become one component so. Then members of different components meet. ``els`` are all elements of
+    a node that others have too; ``m0`` and on the parities of their numbers in 64 * PARITY classes. Each element that only
+    one of two nodes has changes one parity, so the parities that differ are never more than such elements.
+    """
+    here, often = _centred(roots, comps)
+    size, columns = 100 + percent, ["key", "comp", "d", "t", "els", *(f"m{j}" for j in range(PARITY))]
+    here = here.withColumn("d", F.size("delta")).withColumn("t", size * F.col("d") - (100 - percent) * F.col("n"))
+    inner = here.groupBy("root").agg(F.min(F.struct("t", "key", "comp")).alias("least"))
+    inner = cut(inner.select("root", F.col("least.t").alias("t0"), F.col("least.comp").alias("comp0")), "inner")
+    here = here.join(inner, "root").withColumn("in", F.col("t") + F.col("t0") <= 0)
+    comps, names = _merged(comps, here.where("in and comp <> comp0").select(F.col("comp").alias("ca"), F.col("comp0").alias("cb")))
+    here = here.select("root", "key", "comp", "d", "t", "delta", F.when(F.col("in"), F.col("t") - F.col("t0")).otherwise(F.col("t") + F.col("t0")).alias("share"))
+    if names is not None:
+        here = _renamed(here, names)
+    els = here.select("key", "root", F.explode("delta").alias("e")).join(often, ["root", "e"])
+    els = els.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("els"))
+    here = here.withColumn("share", F.greatest(F.lit(1), F.ceil(F.col("share") / (2 * size))).cast("int")).drop("delta").join(els, "key")
+    prefix = F.slice("els", 1, F.greatest(F.lit(0), F.size("els") - F.col("share") + 1))
+    here = here.withColumn("prefix", F.transform(prefix, lambda x: x["e"])).withColumn("els", F.transform("els", lambda x: x["e"]))
+    parity = "aggregate(els, 0L, (acc, x) -> acc ^ if(x % {n} = {j}, shiftleft(1L, cast(x div {n} % 64 as int)), 0L)) as m{j}"
+    here = here.select("root", "prefix", "key", "comp", "d", "t", "els", *(F.expr(parity.format(n=PARITY, j=j)) for j in range(PARITY)))
+    posts = cut(here.select("root", F.explode("prefix").alias("e"), *columns), "posts")
+
+    def near(s: str, t: str) -> Column:
+        both = F.col(f"t{s}") + F.col(f"t{t}")
+        differing = sum((F.bit_count(F.col(f"m{j}{s}").bitwiseXOR(F.col(f"m{j}{t}"))) for j in range(PARITY)), F.lit(0))
+        shared = F.size(F.array_intersect(f"els{s}", f"els{t}"))
+        most = F.size(f"els{s}") + F.size(f"els{t}") - differing
+        return (F.col(f"comp{s}") != F.col(f"comp{t}")) & (both <= size * most) & (both <= 2 * size * shared)
+
+    turn = 0
+    while True:
+        rank = F.col("t").cast("long") if turn == 0 else F.xxhash64("key", "e", F.lit(turn))
+        lists = posts.groupBy("root", "e").agg(F.min(F.struct(rank.alias("rank"), *columns)).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        lists = lists.where("lo <> hi").select("root", "e", *(F.col(f"lead.{c}").alias(f"{c}_b") for c in columns))
+        met = posts.select("root", "e", *(F.col(c).alias(f"{c}_a") for c in columns)).join(cut(lists, "leaders"), ["root", "e"])
+        comps, names = _merged(comps, met.where(near("_a", "_b")).select(F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb")))
+        if names is None:
+            break
+        posts, turn = _renamed(posts, names), turn + 1
+    lists = posts.groupBy("root", "e").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    met = _sides(*_blocks(posts, ["root", "e"], cut(lists, "mixed")), ["root", "e"], columns)
+    met = met.where((F.col("key_a") < F.col("key_b")) & near("_a", "_b"))
+    return _merged(comps, met.select(F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb")))[0]
+
+
+def _across(posts: DataFrame, comps: DataFrame, roots: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
+    """Pairs (a, b, and their components ca, cb) of different roots and components that share a list, collide often enough and may be alike.
+
+    One side leaves out the root that most nodes of the list have, as its nodes need not meet each other.
+    """
     prints = _prints(size)
-    here = posts.join(named, "key", "left").join(pivots, "key", "left")
-    here = cut(here.select("key", "n", "c", "v", "prefix", *prints, F.coalesce("cc", "key").alias("comp"), "pivot", "i", "bits"), "left")
-    sizes = here.groupBy("c", "v").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = cut(sizes.where("lo <> hi").select("c", "v", F.ceil(F.col("nn") / BLOCK).cast("int").alias("nb")), "mixed")
-    here = here.join(mixed, ["c", "v"]).withColumn("at", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    here = cut(here, "blocks")
-
-    def side(s: str, q: str) -> list[Column]:
-        return [F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "comp", "pivot", "i", "bits", "at", "prefix")] + [F.col(p).alias(x) for p, x in zip(prints, _prints(size, q), strict=True)]
-
-    one = here.select("c", "v", *side("a", "p"), F.explode(F.sequence("at", F.col("nb") - 1)).alias("y"), F.col("at").alias("x"))
-    two = here.select("c", "v", *side("b", "q"), F.explode(F.sequence(F.lit(0), "at")).alias("x"), F.col("at").alias("y"))
-    apart = (F.col("comp_a") != F.col("comp_b")) & ((F.col("at_a") != F.col("at_b")) | (F.col("key_a") < F.col("key_b")))
-    both = F.col("n_a") + F.col("n_b")
-    shared = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda acc, x: acc + x)
-    most = F.when(F.col("pivot_a") == F.col("pivot_b"), shared + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))).otherwise(F.least("n_a", "n_b"))
-    near = apart & (_collisions(size, "p", "q") >= matches) & _similar(F.least("n_a", "n_b"), both, percent)
+    own = ["key", "n", "prefix", *prints, "comp", "root"]
+    named = comps.select(F.col("node").alias("key"), "comp")
+    posts = posts.join(named, "key", "left").join(roots, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "root": F.coalesce("root", "key")})
+    posts = cut(posts.select(*own, F.explode("prefix").alias("p")).select("p.c", "p.v", *own), "across")
+    tops = posts.groupBy("c", "v", "root").agg(F.count(F.lit(1)).alias("nr"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lists = tops.groupBy("c", "v").agg(F.sum("nr").alias("nn"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("nr", "root")).alias("top"))
+    lists = cut(lists.where((F.col("lo") != F.col("hi")) & (F.col("nn") > F.col("top.nr"))).select("c", "v", "nn", F.col("top.root").alias("top")), "mixed")
+    one, two = _blocks(posts, ["c", "v"], lists)
+    met = _sides(one.where(F.col("root") != F.col("top")), two, ["c", "v"], [*own, "top"])
+    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top_b")) | (F.col("key_a") < F.col("key_b")))
+    enough = _collisions([f"{p}_a" for p in prints], [f"{p}_b" for p in prints]) >= matches
     # Of the lists that a pair shares, the first alone gives the pair.
     earlier = F.exists(F.array_intersect("prefix_a", "prefix_b"), lambda x: x["c"] < F.col("c"))
-    met = one.join(two, ["c", "v", "x", "y"]).where(near & _similar(most, both, percent) & ~earlier)
-    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    met = met.where(apart & enough & _similar(F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b"), percent) & ~earlier)
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from terrakey.llm.near_dedup import near_duplicates
 
 DATA = "/root/testdata/sf0.01"
@@ -56,3 +59,26 @@ def test_chain_of_near_copies(spark):
     rows = [(i, " ".join(base[: 100 - 3 * j] + [f"n{x}" for x in range(3 * j)])) for j, i in enumerate((9, 4, 6, 2, 8))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in near_duplicates(docs, k=2).collect()} == brute(rows, 2)
+
+
+@pytest.mark.parametrize(("k", "most"), [(1, 22), (2, 10)])
+def test_families_with_members_beyond_the_limit(spark, k, most):
+    """Copies edited apart from each other, tight groups among them, and copies of a second text that shares half of the first."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for start in (base, base[:60] + [f"v{i}" for i in range(60)]):
+        for _ in range(60):
+            w = list(start)
+            for at in rng.sample(range(120), rng.randint(2, most)):
+                w[at] = f"n{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(w)))
+            for _ in range(rng.choice([0, 0, 0, 3])):
+                near = list(w)
+                near[rng.randrange(120)] = "x"
+                rows.append((len(rows), " ".join(near)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, k)
+    assert 10 < sum(kept for *_, kept in want) < len(rows) / 2
+    assert {tuple(r) for r in near_duplicates(docs, k=k).collect()} == want

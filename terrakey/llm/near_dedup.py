@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from terrakey.llm.common import cut, small_batches
 from terrakey.llm.components import components
-from terrakey.llm.wordhash import chunks, shingle_sets, signatures, words
+from terrakey.llm.wordhash import U64, chunks, shingle_sets, signatures, words
 
 #: Rows of a posting list that meet in one task when all its pairs are wanted.
 BLOCK = 400
 #: Nodes, of 24 bytes each, that are broadcast at most.
 BROADCAST = 500_000
-#: Words of 64 bits that a difference's parities take.
+#: Words of 64 bits for the parities of a set: of the numbers of its elements in 64 * PARITY classes.
 PARITY = 8
 
 
@@ -47,7 +47,11 @@ def _set_rows(k: int):
                 _, keys = signatures(hashes, counts, 1)
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(hashes.astype(np.int64)))
-                out = pa.RecordBatch.from_arrays([key.slice(a, b - a), lists, pa.array(keys, pa.binary())], ["key", "shingles", "own"])
+                bits = 64 * PARITY
+                place = np.repeat(np.arange(b - a), counts) * bits + (hashes % U64(bits)).astype(np.int64)
+                odd = np.packbits((np.bincount(place, minlength=(b - a) * bits) & 1).astype(bool)).view(np.int64).reshape(b - a, PARITY)
+                columns = [key.slice(a, b - a), lists, pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(odd[:, j])) for j in range(PARITY))]
+                out = pa.RecordBatch.from_arrays(columns, ["key", "shingles", "own", *_parities()])
                 yield out.filter(pa.compute.equal(out["key"], out["own"])).drop_columns(["own"])
 
     return run
@@ -57,6 +61,15 @@ def _prints(size: int, of: str = "p") -> list[str]:
     return [f"{of}{j}" for j in range(size // 8)]
 
 
+def _parities(of: str = "") -> list[str]:
+    return [f"m{j}{of}" for j in range(PARITY)]
+
+
+def _odd(s: str, t: str) -> Column:
+    """Parities that differ between two sets: never more than the elements that only one of both has."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_parities(s), _parities(t), strict=True)), F.lit(0))
+
+
 def _collisions(x: list[str], y: list[str]) -> Column:
     """Equal coordinates of two signatures by their fingerprints of 8 bits each: as many as the full values have, or more."""
     differing = F.lit(0)
@@ -73,9 +86,9 @@ def _sets(wanted: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     wanted = cut(wanted, "wanted")
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>")
+    found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>, " + ", ".join(f"{m} long" for m in _parities()))
     with small_batches(ids.sparkSession):
-        return cut(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+        return cut(found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("shingles", *_parities()))), "sets")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +109,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sa = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+    sb = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi")
     return pairs.join(sa, "a").join(sb, "b")
 
 
@@ -177,6 +190,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = cut(_across(shared, comps, roots, size, matches, percent), "pairs")
     either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = sets.union(_sets(either.join(sets.select("key"), "key", "left_anti").join(nodes.select("key", "loc"), "key"), ids, k))
+    # The parities of both sets leave few pairs.
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("key").alias(x), *(F.col(m).alias(f"{m}_{x}") for m in _parities())), x)
+    pairs = pairs.where((100 + percent) * _odd("_a", "_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    pairs = cut(pairs.select("a", "b", "ca", "cb"), "close")
     both = _with_sets(pairs, sets).select("ca", "cb", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
     comps, _ = _merged(comps, both.where(_similar(F.col("i"), F.col("n"), percent)).select("ca", "cb"))
     low = nodes.select("key", "low")
@@ -263,12 +281,11 @@ def _family_links(roots: DataFrame, comps: DataFrame, percent: int) -> DataFrame
     the first places and are not posted.
 
     Every list first meets one member, at first the innermost, then others by hash, until this links nothing more: tight
-    groups of copies become one component so. Then members of different components meet. ``els`` are all elements of
-    a node that others have too; ``m0`` and on the parities of their numbers in 64 * PARITY classes. Each element that only
-    one of two nodes has changes one parity, so the parities that differ are never more than such elements.
+    groups of copies become one component so. Then what is left of the lists meets, if components differ. ``els`` are all elements of
+    a node that others have too; ``m0`` and on are their parities.
     """
     here, often = _centred(roots, comps)
-    size, columns = 100 + percent, ["key", "comp", "d", "t", "els", *(f"m{j}" for j in range(PARITY))]
+    size, columns = 100 + percent, ["key", "comp", "d", "t", "els", *_parities()]
     here = here.withColumn("d", F.size("delta")).withColumn("t", size * F.col("d") - (100 - percent) * F.col("n"))
     inner = here.groupBy("root").agg(F.min(F.struct("t", "key", "comp")).alias("least"))
     inner = cut(inner.select("root", F.col("least.t").alias("t0"), F.col("least.comp").alias("comp0")), "inner")
@@ -288,21 +305,22 @@ def _family_links(roots: DataFrame, comps: DataFrame, percent: int) -> DataFrame
 
     def near(s: str, t: str) -> Column:
         both = F.col(f"t{s}") + F.col(f"t{t}")
-        differing = sum((F.bit_count(F.col(f"m{j}{s}").bitwiseXOR(F.col(f"m{j}{t}"))) for j in range(PARITY)), F.lit(0))
         shared = F.size(F.array_intersect(f"els{s}", f"els{t}"))
-        most = F.size(f"els{s}") + F.size(f"els{t}") - differing
+        most = F.size(f"els{s}") + F.size(f"els{t}") - _odd(s, t)
         return (F.col(f"comp{s}") != F.col(f"comp{t}")) & (both <= size * most) & (both <= 2 * size * shared)
 
-    turn = 0
-    while True:
+    names, turn = comps, 0
+    while names is not None:
         rank = F.col("t").cast("long") if turn == 0 else F.xxhash64("key", "e", F.lit(turn))
         lists = posts.groupBy("root", "e").agg(F.min(F.struct(rank.alias("rank"), *columns)).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         lists = lists.where("lo <> hi").select("root", "e", *(F.col(f"lead.{c}").alias(f"{c}_b") for c in columns))
-        met = posts.select("root", "e", *(F.col(c).alias(f"{c}_a") for c in columns)).join(cut(lists, "leaders"), ["root", "e"])
-        comps, names = _merged(comps, met.where(near("_a", "_b")).select(F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb")))
-        if names is None:
-            break
-        posts, turn = _renamed(posts, names), turn + 1
+        met = posts.select("root", "e", *(F.col(c).alias(f"{c}_a") for c in columns)).join(cut(lists, "leaders"), ["root", "e"]).where("key_a <> key_b")
+        met = cut(met.select("root", "e", *(F.col(f"{c}_a").alias(c) for c in columns), "comp_b", near("_a", "_b").alias("linked")), "met")
+        comps, names = _merged(comps, met.where("linked").select(F.col("comp").alias("ca"), F.col("comp_b").alias("cb")))
+        # A list's member that has met all others leaves it.
+        posts, turn = met.select("root", "e", *columns), turn + 1
+        if names is not None:
+            posts = _renamed(posts, names)
     lists = posts.groupBy("root", "e").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
     met = _sides(*_blocks(posts, ["root", "e"], cut(lists, "mixed")), ["root", "e"], columns)
     met = met.where((F.col("key_a") < F.col("key_b")) & near("_a", "_b"))
@@ -329,7 +347,7 @@ def _across(posts: DataFrame, comps: DataFrame, roots: DataFrame, size: int, mat
     # Of the lists that a pair shares, the first alone gives the pair.
     earlier = F.exists(F.array_intersect("prefix_a", "prefix_b"), lambda x: x["c"] < F.col("c"))
     met = met.where(apart & enough & _similar(F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b"), percent) & ~earlier)
-    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"))
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"), "n_a", "n_b")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

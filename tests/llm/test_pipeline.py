@@ -1,5 +1,3 @@
-import hashlib  # noqa: F401
-
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -42,4 +40,14 @@ def test_edges(spark):
             assert stage(spark, d, DATA).columns == corpus_pipeline.COLUMNS
             stage(spark, d, DATA).collect()
     kept = corpus_pipeline.near_dedup(spark, docs, DATA).collect()
-    assert len(kept) == len(rows)
+    assert sorted(map(str, kept)) == sorted(map(str, docs.select(corpus_pipeline.COLUMNS).distinct().collect()))
+
+
+def test_near_dedup_keeps_one_row_of_each_group_and_every_other_text(spark):
+    """Ids that stand for several texts, null ids and repeated rows."""
+    t, u, v, w = (" ".join(f"{c}{i}" for i in range(60)) for c in "tuvw")
+    rows = [(1, t, "a"), (4, t, "a"), (4, u, "b"), (4, u, "a"), (4, u, "a"), (None, v, "a"), (None, v, "a"), (None, u + " x", "a"), (None, w, None), (None, w, "a"), (7, None, "a"), (7, None, "a"), (8, " ", "a")]
+    docs = spark.createDataFrame([(i, x, "en", s, 1) for i, x, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text, r.source) for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()), key=str)
+    want = [(1, t, "a"), (4, u, "a"), (None, v, "a"), (None, w, None), (7, None, "a"), (7, None, "a"), (8, " ", "a")]
+    assert got == sorted(want, key=str)

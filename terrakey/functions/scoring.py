@@ -13,13 +13,13 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     scale = 1 + F.try_divide(F.lit(zz), n)
     mid = (p + F.try_divide(F.lit(zz), 2 * n)) / scale
     half = z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(zz), 4 * n * n)) / scale
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)), F.when(n > 0, F.least(F.lit(1.0), mid + half))
 
 
 def verdict_gt(has_model: Column, degenerate: Column, n_inliers: Column, err: Column) -> Column:
-    """Verdict where the true map is known; a missing error is no success."""
-    sound = has_model & ~degenerate
-    return F.when(sound & (n_inliers >= 15) & (err <= 2), "SUCCESS").when(sound & (n_inliers >= 8) & (err <= 10), "MARGINAL").otherwise("FAILURE")
+    """Verdict where the true map is known; a missing error is no success, a degenerate fit at most marginal."""
+    success = has_model & ~degenerate & (n_inliers >= 15) & (err <= 2)
+    return F.when(success, "SUCCESS").when(has_model & (n_inliers >= 8) & (err <= 10), "MARGINAL").otherwise("FAILURE")
 
 
 def confirmed_by(agree_px: Column, other_usable: Column, ncc_gain: Column) -> Column:
@@ -27,15 +27,21 @@ def confirmed_by(agree_px: Column, other_usable: Column, ncc_gain: Column) -> Co
     return F.when((agree_px <= 3) & other_usable, "agreement").when((ncc_gain >= 0.05) & ~other_usable, "ncc")
 
 
-def verdict_real(has_model: Column, degenerate: Column, n_inliers: Column, heldout: Column, confirmed: Column) -> Column:
-    sound = has_model & ~degenerate
-    return F.when(sound & (n_inliers >= 15) & (heldout <= 2) & confirmed.isNotNull(), "SUCCESS").when(sound & (n_inliers >= 8) & (heldout <= 5), "MARGINAL").otherwise("FAILURE")
+def verdict_real(has_model: Column, n_inliers: Column, heldout: Column, confirmed: Column) -> Column:
+    """Verdict without known truth, by the error on held-out matches and what confirms the map."""
+    success = has_model & (n_inliers >= 15) & (heldout <= 2) & confirmed.isNotNull()
+    return F.when(success, "SUCCESS").when(has_model & (n_inliers >= 8) & (heldout <= 5), "MARGINAL").otherwise("FAILURE")
 
 
 def usable_arm(has_model: Column, degenerate: Column, n_inliers: Column) -> Column:
     return has_model & ~degenerate & (n_inliers >= 8)
 
 
+def accepted_arm(degenerate: Column, n_inliers: Column, err: Column) -> Column:
+    """Whether a policy may take an arm: it has a known error, enough inliers and a sound fit."""
+    return err.isNotNull() & (n_inliers >= 15) & ~degenerate
+
+
 def coverage_class(density: Column) -> Column:
     return F.when(density > 0.40, "high").when(density > 0.12, "medium").otherwise("low")
 

@@ -11,33 +11,45 @@ def sensor_name(name: Column) -> Column:
     low = F.lower(name)
     return (
         F.when(F.coalesce(name, F.lit("")) == "", "UNKNOWN")
-        .when(low.contains("ohrc") | low.contains("high resolution camera"), "OHRC")
+        .when(low.contains("ohrc") | low.contains("high resolution"), "OHRC")
         .when(low.contains("tmc") | low.contains("terrain mapping"), "TMC-2")
         .when(low.contains("iirs") | low.contains("infrared"), "IIRS")
         .otherwise(F.upper(name))
     )
 
 
-def clean_text(text: Column, cap: int) -> Column:
-    """Without marks of formatting and beyond-plane characters, white space as one space, at most ``cap`` characters."""
-    plain = F.regexp_replace(text, r"```[^`]*```", " ")
-    plain = F.regexp_replace(plain, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    plain = F.regexp_replace(plain, r"[*_#`>|~]", "")
-    plain = F.regexp_replace(plain, r"[\x{10000}-\x{10FFFF}]", "")
-    return F.substring(F.trim(F.regexp_replace(plain, r"[ \t\r\n]+", " ")), 1, cap)
-
-
-def command(text: Column, word: str) -> Column:
-    """True for an utterance of at most three words with ``word`` as one of them."""
-    plain = F.trim(F.regexp_replace(F.lower(F.trim(text)), r"[.!?]+", ""))
-    words = F.split(plain, r" +")
-    return (F.size(words) <= 3) & F.array_contains(words, word)
-
-
-def intent(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """The first intent whose pattern occurs in the lower-case text."""
-    out = None
-    for name, pattern in rules:
-        hit = F.lower(text).rlike(pattern)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(default)
+#: White space of scripts, marks of formatting, the commands with their words and the intents with theirs.
+WHITE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+MARKS = "[*_`#>]"
+COMMANDS = {"run": ["run", "execute", "go"], "next": ["next", "forward"], "back": ["back", "previous"], "play": ["play"], "stop": ["stop", "pause", "halt"]}
+INTENTS = {
+    "accuracy": ["rmse", "accurate", "accuracy", "error", "precision"],
+    "matches": ["inlier", "match", "keypoint", "feature", "consensus"],
+    "provenance": ["provenance", "real", "synthetic", "derived", "simulated"],
+}
+
+
+def clean_text(text: Column, cap: int = 600) -> Column:
+    """Text to be spoken: no code fences, marks of formatting or link targets, white space as one blank, at most ``cap`` characters."""
+    plain = F.regexp_replace(text, r"(?s)```.*?```", "")
+    plain = F.regexp_replace(plain, MARKS, "")
+    plain = F.regexp_replace(plain, r"\[(.*?)\]\(.*?\)", "$1")
+    return F.substring(F.trim(F.regexp_replace(plain, WHITE, " ")), 1, cap)
+
+
+def command(text: Column) -> Column:
+    """The first command with a word of its own in an utterance of at most three words; null for none."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, f"^{WHITE}|{WHITE}$", "")), r"[.!?]+$", "")
+    out = F.lit(None).cast("string")
+    for name, words in reversed(COMMANDS.items()):
+        out = F.when(plain.rlike(rf"(^|[^a-z0-9_])({'|'.join(words)})($|[^a-z0-9_])"), name).otherwise(out)
+    return F.when(F.size(F.split(plain, WHITE)) <= 3, out)
+
+
+def intent(text: Column) -> Column:
+    """The first intent of which a word occurs anywhere in the lower-case text, else a summary; null text is empty."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit("summary")
+    for name, words in reversed(INTENTS.items()):
+        out = F.when(low.rlike("|".join(words)), name).otherwise(out)
+    return out

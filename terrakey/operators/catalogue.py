@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: what an identifier may look like.
 IDENTIFIER = r"^[A-Za-z0-9_.-]{1,128}$"
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def cell(x: Column, size: float, grid: int) -> Column:
-    """Cell number of a coordinate; cells have a whole number of pixels, so the last takes what is left over."""
-    return F.least(F.floor(x / (size // grid)), F.lit(grid - 1)).cast("int")
+    """Cell number of a coordinate among ``grid`` equal cells; what lies outside counts for the outermost."""
+    return F.greatest(F.least(F.floor(x / size * grid), F.lit(grid - 1)), F.lit(0)).cast("int")
 
 
 def cell_counts(points: DataFrame, by: list[str], width: float, height: float, grid: int) -> DataFrame:
@@ -32,6 +32,47 @@ def uniformity_cells(points: DataFrame, by: list[str], width: float, height: flo
     return cell_counts(points, by, width, height, grid).groupBy(*by).agg((F.count(F.lit(1)) / grid**2).alias("unif_cells"))
 
 
+def blur(field: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur by rows and columns; the kernel reaches four sigma, borders mirror without repeating the edge."""
+    reach = (int(round(8 * sigma + 1)) | 1) // 2
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    for _ in range(2):
+        wide = np.pad(field, ((reach, reach), (0, 0)), mode="reflect") if field.shape[0] > 1 else np.repeat(field, 2 * reach + 1, axis=0)
+        # One weighted sum of shifted rows per tap, then the other axis.
+        field = sum(k * wide[i : i + field.shape[0]] for i, k in enumerate(kernel)).T
+    return field
+
+
+def density_cells(points: DataFrame, by: str, width: int, height: int, grid: int = 8, sigma_share: float = 0.04) -> DataFrame:
+    """Mean point density of each of grid x grid cells: (``by``, row, col, x, y, w, h, density).
+
+    Weights (0.5 where null) are summed by pixel, coordinates cut to whole pixels within the image, then blurred with a sigma of
+    ``sigma_share`` of the longer side, at least 3 pixels, and divided by the highest value. Cells have a whole number of
+    pixels; what is left over at the right and lower edges counts for none. Sums of pixels come before the shuffle, so that a
+    task holds at most one image of a run, however many points it has.
+    """
+    pixel = lambda c, size: F.greatest(F.least(F.col(c), F.lit(float(size - 1))), F.lit(0.0)).cast("int")
+    pixels = points.groupBy(by, pixel("x", width).alias("px"), pixel("y", height).alias("py")).agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(0.5))).alias("v"))
+    w, h = max(1, width // grid), max(1, height // grid)
+
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        field = np.zeros((height, width))
+        field[pdf["py"], pdf["px"]] = pdf["v"]
+        field = blur(field, max(3.0, sigma_share * max(width, height)))
+        peak = field.max()
+        field = field / peak if peak > 0 else field
+        rows = []
+        for row in range(grid):
+            for col in range(grid):
+                patch = field[row * h : (row + 1) * h, col * w : (col + 1) * w]
+                rows.append((pdf[by].iloc[0], row, col, col * w, row * h, w, h, float(patch.mean()) if patch.size else 0.0))
+        return pd.DataFrame(rows, columns=[by, "row", "col", "x", "y", "w", "h", "density"])
+
+    kind = points.schema[by].dataType.simpleString()
+    return pixels.groupBy(by).applyInPandas(cells, f"{by} {kind}, row int, col int, x int, y int, w int, h int, density double")
+
+
 def _outline(p: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise."""
     p = np.unique(p, axis=0)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrakey.functions.scoring import usable_arm, wilson
+from terrakey.functions.scoring import accepted_arm, wilson
+from terrakey.operators.matching import knn
 
 VERDICTS = ["SUCCESS", "MARGINAL", "FAILURE", "NO_LOCK"]
 
@@ -22,25 +23,33 @@ def other_arm(runs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def terrain_tertiles(runs: DataFrame) -> DataFrame:
-    """Adds ``terrain``: low, mid or high texture within the family, by thirds of the usable instances; null under three."""
-    limits = runs.where("status = 'OK'").groupBy("family").agg(F.percentile("texture", 1 / 3).alias("q1"), F.percentile("texture", 2 / 3).alias("q2"), F.count("texture").alias("m"))
+    """Adds ``terrain``: low, mid or high texture within the family, by thirds of the usable instances; null under three.
+
+    An instance counts once however many arms it has.
+    """
+    instances = runs.where("status = 'OK'").groupBy("family", "id").agg(F.max("texture").alias("texture"))
+    limits = instances.groupBy("family").agg(F.percentile("texture", 1 / 3).alias("q1"), F.percentile("texture", 2 / 3).alias("q2"), F.count("texture").alias("m"))
     band = F.when(F.col("texture") < F.col("q1"), "low").when(F.col("texture") < F.col("q2"), "mid").when(F.col("texture").isNotNull(), "high")
-    return runs.join(limits, "family", "left").withColumn("terrain", F.when(F.col("m") >= 3, band)).drop("q1", "q2", "m")
+    return runs.join(limits, "family", "left").withColumn("terrain", F.when((F.col("status") == "OK") & (F.col("m") >= 3), band)).drop("q1", "q2", "m")
 
 
 def summary(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of verdicts, medians over runs with a lock, and the success rate with its interval.
+    """Counts of verdicts, medians over runs with a lock, and the shares of successes and sub-pixel successes with their intervals.
 
-    Excluded rows count nowhere; rows without a lock count in ``n`` but not in the medians. ``n_with_model`` stands beside the medians,
-    as those cover only runs that have an error.
+    Excluded rows count nowhere; rows without a lock count in ``n`` but not in the medians nor in ``n_uniform``, whose share
+    is of ``n_locked``. ``n_with_model`` stands beside the medians, as those cover only runs that have an error.
     """
     runs = runs.where(~F.col("verdict").startswith("EXCLUDED"))
     locked = F.col("verdict") != "NO_LOCK"
     counts = [F.count_if(F.col("verdict") == v).alias(f"n_{v.lower()}") for v in VERDICTS]
-    medians = [F.median(F.when(locked, F.col("err"))).alias("median_err"), F.median(F.when(locked, F.col("n_inliers"))).alias("median_inliers"), F.count(F.when(locked, F.col("err"))).alias("n_with_model")]
+    counts += [F.count_if("subpixel").alias("n_subpixel"), F.count_if(locked).alias("n_locked"), F.count_if(locked & F.col("uniform")).alias("n_uniform")]
+    medians = [F.median(F.when(locked, F.col(c))).alias(f"median_{c}") for c in ("err", "n_inliers", "total_ms")] + [F.count(F.when(locked, F.col("err"))).alias("n_with_model")]
     out = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts, *medians)
-    lo, hi = wilson(F.col("n_success"), F.col("n"))
-    return out.withColumns({"rate": F.try_divide(F.col("n_success").cast("double"), F.col("n")), "ci_low": lo, "ci_high": hi})
+    shares = {"rate": ("n_success", "n"), "subpixel": ("n_subpixel", "n"), "uniform": ("n_uniform", "n_locked")}
+    for name, (k, n) in shares.items():
+        lo, hi = wilson(F.col(k), F.col(n))
+        out = out.withColumns({name: F.try_divide(F.col(k).cast("double"), F.col(n)), f"{name}_low": lo, f"{name}_high": hi})
+    return out
 
 
 def trust_gates(runs: DataFrame, gates: dict[str, Column], correct: Column) -> DataFrame:
@@ -51,37 +60,68 @@ def trust_gates(runs: DataFrame, gates: dict[str, Column], correct: Column) -> D
     for k, g in gates.items():
         ok = F.coalesce(g, F.lit(False))
         sums += [F.count_if(ok).alias(f"{k}_a"), F.count_if(ok & ~right).alias(f"{k}_w"), F.count_if(~ok & right).alias(f"{k}_r")]
-    row = run.agg(*sums, F.count_if(~right).alias("wrong_total"))
+    row = run.agg(*sums, F.count_if(~right).alias("wrong_total"), F.count(F.lit(1)).alias("with_model"))
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("gate"), F.col(f"{k}_a").alias("accepted"), F.col(f"{k}_w").alias("accepted_but_wrong"), F.col(f"{k}_r").alias("right_but_rejected")) for k in gates)))
-    out = row.select(rows.alias("g"), "wrong_total").select("g.*", "wrong_total")
+    out = row.select(rows.alias("g"), "wrong_total", "with_model").select("g.*", "wrong_total", "with_model")
     return out.withColumn("precision", F.round(F.try_divide((F.col("accepted") - F.col("accepted_but_wrong")).cast("double"), F.col("accepted")), 4))
 
 
-def policy(runs: DataFrame) -> DataFrame:
-    """One row per instance: the status of its two arms and the arm chosen.
+def policy(runs: DataFrame, arms: list[str]) -> DataFrame:
+    """Per instance, what two arms together and each of ``arms`` alone would do: (id, family, split, policy, policy_status, arm, err).
 
-    Arms that agree within 3 px are CONFIRMED if both are usable, else one usable arm alone is UNCONFIRMED, two usable
-    arms that differ DISAGREE, none is REJECT. The arm with the most inliers is chosen, the first of equals.
+    An arm is accepted with a known error, 15 inliers and a sound fit. Two accepted arms whose maps agree within 3 px are
+    CONFIRMED, one accepted arm alone is UNCONFIRMED, two that differ DISAGREE, none is REJECT; the one with the most inliers is
+    taken, the first by name of equals. An arm alone is ACCEPT or REJECT. ``arm`` and ``err`` are null where nothing is taken.
     """
-    ok = usable_arm(F.col("has_model"), F.col("degenerate"), F.col("n_inliers"))
-    best = F.max(F.when(ok, F.struct("n_inliers", (-F.col("rank")).alias("first"), "arm", "err")))
-    ranked = runs.withColumn("rank", F.when(F.col("arm") == "A", 0).otherwise(1))
-    rows = ranked.groupBy("id", "family", "split").agg(F.count_if(ok).alias("usable"), F.min("agree_px").alias("agree"), best.alias("b"))
-    status = F.when((F.col("usable") >= 2) & (F.col("agree") <= 3), "CONFIRMED").when(F.col("usable") >= 2, "DISAGREE").when(F.col("usable") == 1, "UNCONFIRMED").otherwise("REJECT")
-    return rows.select("id", "family", "split", status.alias("policy_status"), F.col("b.arm").alias("arm"), F.col("b.err").alias("err"))
-
-
-def residual_coherence(points: DataFrame, by: str, k: int = 8, cell: float = 32.0) -> DataFrame:
+    ok = accepted_arm(F.col("degenerate"), F.col("n_inliers"), F.col("err"))
+    alone = [F.max(F.when(ok & (F.col("arm") == a), F.struct("arm", "err"))).alias(f"b{i}") for i, a in enumerate(arms)]
+    best = F.min(F.when(ok, F.struct((-F.col("n_inliers")).alias("few"), "arm", "err"))).alias("best")
+    maps = F.count_if("has_model")
+    rows = runs.groupBy("id", "family", "split").agg(F.count_if(ok).alias("accepted"), F.when(maps >= 2, F.min("agree_px")).alias("agree"), best, *alone)
+    status = F.when((F.col("accepted") >= 2) & (F.col("agree") <= 3), "CONFIRMED").when(F.col("accepted") == 1, "UNCONFIRMED").when(F.col("accepted") >= 2, "DISAGREE").otherwise("REJECT")
+    each = [F.struct(F.lit("both").alias("policy"), status.alias("policy_status"), F.col("best.arm").alias("arm"), F.col("best.err").alias("err"))]
+    for i, a in enumerate(arms):
+        each.append(F.struct(F.lit(f"only_{a}").alias("policy"), F.when(F.col(f"b{i}").isNull(), "REJECT").otherwise("ACCEPT").alias("policy_status"), F.col(f"b{i}.arm").alias("arm"), F.col(f"b{i}.err").alias("err")))
+    return rows.select("id", "family", "split", F.explode(F.array(*each)).alias("p")).select("id", "family", "split", "p.*")
+
+
+def residual_coherence(points: DataFrame, by: str, k: int = 8, leaf: int = 12) -> DataFrame:
     """Correlation of each residual with the mean of its ``k`` nearest neighbours, averaged over x and y.
 
-    Points (``by``, idx, x, y, rx, ry) meet those of their own and the eight cells around; so a neighbour counts if it lies within
-    a cell's width. Groups of fewer than 40 points are left out.
+    Points are (``by``, idx, x, y, rx, ry), idx being unique over all runs. Neighbours are exact, at any distance, ties by idx. A run's square is cut into cells
+    on levels of twice the side each. A point takes the finest level on which its own cell holds more than ``k`` and
+    ``leaf`` points: its k nearest lie within the cell's diagonal, so within the 3 x 3 cells of the next level, whatever the
+    density around it. These blocks meet in ``knn``. Groups of fewer than 40 points are left out.
     """
-    enough = points.groupBy(by).agg(F.count(F.lit(1)).alias("m")).where("m >= 40")
-    p = points.join(enough, by, "left_semi").withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    at = ["c0x", "c0y"]
+    spread = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    edges = points.groupBy(by).agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.when(spread > 0, spread).otherwise(1.0).alias("side")).where("m >= 40")
+    # Evenly spread points would be leaf / 8 in a cell of level 0; the top level is one cell.
+    edges = edges.select(by, "x0", "y0", "side", F.ceil(F.greatest(F.lit(0.0), F.log2(8.0 * F.col("m") / leaf) / 2)).cast("int").alias("top"))
+    cell = lambda x, x0: F.least(F.floor((F.col(x) - F.col(x0)) / F.col("side") * F.pow(2.0, "top")), F.pow(2.0, "top") - 1).cast("long")
+    up = lambda c, level: F.floor(F.col(c) / F.pow(2.0, level)).cast("long")
+    p = points.join(edges, by).select(by, "idx", "x", "y", "top", cell("x", "x0").alias("c0x"), cell("y", "y0").alias("c0y"))
+    cells = p.groupBy(by, "top", *at).agg(F.count(F.lit(1)).alias("n"))
+    above = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top")))).withColumns({"cx": up("c0x", "level"), "cy": up("c0y", "level")})
+    full = above.groupBy(by, "level", "cx", "cy").agg(F.sum("n").alias("held")).where(F.col("held") > max(k, leaf)).drop("held")
+    own = above.join(full, [by, "level", "cx", "cy"]).groupBy(by, "top", *at).agg(F.min("level").alias("level"), F.first("n").alias("n"))
+    own = own.select(by, *at, "n", F.least(F.col("level") + 1, "top").alias("level")).withColumns({"cx": up("c0x", "level"), "cy": up("c0y", "level")})
+    block = F.concat_ws(":", "level", "cx", "cy", by).alias("run")
+    desc = F.array("x", "y").alias("desc")
+    a = p.join(own, [by, *at]).select(block, "idx", desc)
+    levels = own.groupBy(by).agg(F.collect_set("level").alias("levels"))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    q = p.withColumn("d", around).select(by, F.col("idx").alias("idx2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("rx").alias("rx2"), F.col("ry").alias("ry2"), (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    met = p.join(q, [by, "cx", "cy"]).where("idx <> idx2").withColumn("dist", F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)).where(F.col("dist") <= cell * cell)
-    rank = F.row_number().over(Window.partitionBy(by, "idx").orderBy("dist", "idx2"))
-    near = met.withColumn("r", rank).where(F.col("r") <= k).groupBy(by, "idx", "rx", "ry").agg(F.avg("rx2").alias("mx"), F.avg("ry2").alias("my"))
-    return near.groupBy(by).agg(((F.corr("rx", "mx") + F.corr("ry", "my")) / 2).alias("coherence"), F.count(F.lit(1)).alias("n"))
+    others = cells.join(levels, by).select(by, *at, "n", F.explode("levels").alias("level")).withColumn("d", around)
+    others = others.select(by, *at, "n", "level", (up("c0x", "level") + F.col("d.i")).alias("cx"), (up("c0y", "level") + F.col("d.j")).alias("cy"))
+    others = others.join(own.select(by, "level", "cx", "cy").distinct(), [by, "level", "cx", "cy"], "left_semi")
+    b = p.join(others, [by, *at]).select(block, "idx", desc)
+    # One neighbour more, as a point may meet itself among them.
+    sizes = own.groupBy(block).agg(F.sum("n").alias("na")).join(others.groupBy(block).agg(F.sum("n").alias("nb")), "run")
+    found = knn(a, b, k + 1, sizes=sizes).select(F.col("idx_a").alias("idx"), F.col("idx_b").alias("idx2"), "rank")
+    theirs = points.select(F.col("idx").alias("idx2"), F.col("rx").alias("rx2"), F.col("ry").alias("ry2"))
+    own_row = F.col("idx") == F.col("idx2")
+    sums = [F.sum(F.when(~own_row & (F.col("rank") <= k), F.col(c))).alias(f"{c}_s") for c in ("rx2", "ry2")] + [F.max(F.when(~own_row & (F.col("rank") > k), F.col(c))).alias(f"{c}_e") for c in ("rx2", "ry2")]
+    near = found.join(theirs, "idx2").groupBy("idx").agg(F.max(own_row).alias("met"), *sums)
+    mean = lambda c: (F.col(f"{c}_s") + F.when(F.col("met"), F.coalesce(F.col(f"{c}_e"), F.lit(0.0))).otherwise(0.0)) / k
+    near = near.select("idx", mean("rx2").alias("mx"), mean("ry2").alias("my"))
+    return points.select(by, "idx", "rx", "ry").join(near, "idx").groupBy(by).agg(((F.corr("rx", "mx") + F.corr("ry", "my")) / 2).alias("coherence"), F.count(F.lit(1)).alias("n"))

@@ -8,21 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def knn(a: DataFrame, b: DataFrame, k: int = 2, block: int = 2048) -> DataFrame:
+def knn(a: DataFrame, b: DataFrame, k: int = 2, block: int = 2048, sizes: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``b`` for each row of ``a`` within a run, by Euclidean distance.
 
     Both sides have ``run``, ``idx`` and ``desc`` (array of doubles). Runs are cut into blocks of about ``block`` rows on
     either side; a task holds one pair of blocks and multiplies matrices, then the best of all blocks are merged by rank. Ties
-    go to the smaller index of ``b``. Rows without descriptor take no part.
+    go to the smaller index of ``b``. Rows without descriptor take no part. ``sizes`` (run, na, nb), if known, are the rows of
+    either side, and save counting them.
 
     (run, idx_a, idx_b, dist, rank from 1).
     """
 
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        return df.where(F.col("run").isNotNull() & F.col("desc").isNotNull()).groupBy("run").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.where(F.col("run").isNotNull() & F.col("desc").isNotNull()).groupBy("run").agg(F.count(F.lit(1)).alias(name))
 
-    na, nb = sizes(a, "na"), sizes(b, "nb")
-    both = na.join(nb, "run")
+    if sizes is None:
+        sizes = counted(a, "na").join(counted(b, "nb"), "run")
+    both = sizes.select("run", *(F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("na", "nb")))
 
     def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         df = df.where("desc is not null").alias("one").join(both.alias("two"), F.col("one.run") == F.col("two.run")).select("one.*", "na", "nb").withColumn(mine, F.pmod(F.xxhash64("idx"), F.col(own)).cast("int"))
@@ -37,11 +39,25 @@ def knn(a: DataFrame, b: DataFrame, k: int = 2, block: int = 2048) -> DataFrame:
         p, q = np.stack(x["desc"].to_numpy()).astype(float), np.stack(y["desc_r"].to_numpy()).astype(float)
         order = np.argsort(y["idx_r"].to_numpy(), kind="stable")
         q, at = q[order], y["idx_r"].to_numpy()[order]
-        rough = (p * p).sum(axis=1)[:, None] - 2 * p @ q.T + (q * q).sum(axis=1)
         m = min(k + 4, len(q))
+        if p.shape[1] <= 4:  # exact at once, coordinate by coordinate
+            rough = sum((p[:, None, j] - q[:, j]) ** 2 for j in range(p.shape[1]))
+        else:
+            rough = (p * p).sum(axis=1)[:, None] - 2 * p @ q.T + (q * q).sum(axis=1)
         near = np.sort(np.argpartition(rough, m - 1, axis=1)[:, :m], axis=1)
         exact = np.sqrt(((p[:, None, :] - q[near]) ** 2).sum(axis=2))
         pick = np.argsort(exact, axis=1, kind="stable")[:, :k]
+        # Where the last of these ties with what was left out, all of them are sorted.
+        last = np.take_along_axis(near, np.argmax(np.take_along_axis(rough, near, axis=1), axis=1)[:, None], axis=1)
+        worst, kth = np.take_along_axis(rough, last, axis=1), np.take_along_axis(rough, np.take_along_axis(near, pick[:, -1:], axis=1), axis=1)
+        tied = np.flatnonzero((kth >= worst)[:, 0]) if m < len(q) else []
+        if len(tied):
+            near, exact = near.copy(), exact.copy()
+            for i in tied:
+                d = np.sqrt(((p[i] - q) ** 2).sum(axis=1))
+                near[i] = np.argsort(d, kind="stable")[:m]
+                exact[i] = d[near[i]]
+            pick[tied] = np.arange(pick.shape[1])
         rows = np.repeat(np.arange(len(p)), pick.shape[1])
         return pd.DataFrame({"run": x["run"].iloc[0], "idx_a": x["idx"].to_numpy()[rows], "idx_b": at[np.take_along_axis(near, pick, axis=1).ravel()], "dist": np.take_along_axis(exact, pick, axis=1).ravel()})
 

@@ -13,7 +13,7 @@ query = Registry()
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, arm, family, err, n_inliers, texture, rmse, agree_px, heldout, ncc_gain, has_model, degenerate, status, split)."""
+    """(id, arm, family, err, n_inliers, texture, rmse, agree_px, heldout, ncc_gain, has_model, degenerate, unif_cells, total_ms, status, split); no error without a model."""
     line = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
     err = F.when(F.col("l_linenumber") % 5 != 0, F.col("l_discount").cast("double") * 100)
     df = line.groupBy(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("arm")).agg(
@@ -25,9 +25,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pk, key = F.col("pk"), F.col("id")
     return df.select(
-        "id", "arm", "family", "err", "n_inliers", "texture",
+        "id", "arm", "family", F.when(pk % 17 != 0, F.col("err")).alias("err"), "n_inliers", "texture",
         (pk % 30 * 0.1).alias("rmse"), (key % 9 * 0.75).alias("agree_px"), (pk % 13 * 0.5).alias("heldout"), (pk % 11 * 0.02 - 0.06).alias("ncc_gain"),
-        (pk % 17 != 0).alias("has_model"), (pk % 19 == 0).alias("degenerate"),
+        (pk % 17 != 0).alias("has_model"), (pk % 19 == 0).alias("degenerate"), (pk % 17 / 16).alias("unif_cells"), (pk % 997 * 0.5).alias("total_ms"),
         F.when(key % 23 == 0, "FILL").when(key % 29 == 0, "DUPLICATE").when(key % 31 == 0, "NO_LOCK").otherwise("OK").alias("status"),
         F.when(key % 3 == 0, "test").otherwise("dev").alias("split"),
     )
@@ -35,41 +35,51 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _R = """WITH g AS (SELECT l_orderkey AS id, l_returnflag AS arm, min(l_linestatus) AS family, min(CASE WHEN l_linenumber % 5 <> 0 THEN l_discount::DOUBLE * 100 END) AS err, CAST(min(l_quantity) AS INTEGER) AS n_inliers,
   max(l_extendedprice)::DOUBLE AS texture, max(l_partkey) AS pk FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
-r AS (SELECT id, arm, family, err, n_inliers, texture, pk % 30 * 0.1::DOUBLE AS rmse, id % 9 * 0.75::DOUBLE AS agree_px, pk % 13 * 0.5::DOUBLE AS heldout, pk % 11 * 0.02::DOUBLE - 0.06::DOUBLE AS ncc_gain, pk % 17 <> 0 AS has_model, pk % 19 = 0 AS degenerate,
+r AS (SELECT id, arm, family, CASE WHEN pk % 17 <> 0 THEN err END AS err, n_inliers, texture, pk % 17 / 16 AS unif_cells, pk % 997 * 0.5::DOUBLE AS total_ms, pk % 30 * 0.1::DOUBLE AS rmse, id % 9 * 0.75::DOUBLE AS agree_px, pk % 13 * 0.5::DOUBLE AS heldout, pk % 11 * 0.02::DOUBLE - 0.06::DOUBLE AS ncc_gain, pk % 17 <> 0 AS has_model, pk % 19 = 0 AS degenerate,
   CASE WHEN id % 23 = 0 THEN 'FILL' WHEN id % 29 = 0 THEN 'DUPLICATE' WHEN id % 31 = 0 THEN 'NO_LOCK' ELSE 'OK' END AS status, CASE WHEN id % 3 = 0 THEN 'test' ELSE 'dev' END AS split FROM g)"""
-_V = """, v AS (SELECT *, CASE WHEN status = 'NO_LOCK' THEN 'NO_LOCK' WHEN status <> 'OK' THEN 'EXCLUDED_' || status WHEN has_model AND NOT degenerate AND n_inliers >= 15 AND err <= 2 THEN 'SUCCESS' WHEN has_model AND NOT degenerate AND n_inliers >= 8 AND err <= 10 THEN 'MARGINAL' ELSE 'FAILURE' END AS verdict FROM r)"""
-_O = """, o AS (SELECT r.*, b.id IS NOT NULL AS has_other, coalesce(b.has_model AND NOT b.degenerate AND b.n_inliers >= 8, false) AS other_usable, b.err AS other_err FROM r LEFT JOIN r b ON r.id = b.id AND r.arm <> b.arm)"""
+_V = """, v AS (SELECT *, CASE WHEN status = 'NO_LOCK' THEN 'NO_LOCK' WHEN status <> 'OK' THEN 'EXCLUDED_' || status WHEN has_model AND NOT degenerate AND n_inliers >= 15 AND err <= 2 THEN 'SUCCESS' WHEN has_model AND n_inliers >= 8 AND err <= 10 THEN 'MARGINAL' ELSE 'FAILURE' END AS verdict FROM r),
+f AS (SELECT *, coalesce(verdict = 'SUCCESS' AND err < 1, false) AS subpixel, has_model AND round(rmse, 4) < 1.5 AND (err IS NULL OR err > 10) AS false_confidence, unif_cells >= 0.75 AS uniform FROM v)"""
+_O = """, o AS (SELECT r.*, b.id IS NOT NULL AS has_other, coalesce(b.has_model AND NOT b.degenerate AND b.n_inliers >= 8, false) AS other_usable, coalesce(b.has_model, false) AS other_model, b.err AS other_err FROM r LEFT JOIN r b ON r.id = b.id AND r.arm <> b.arm)"""
 _C = """, c AS (SELECT *, CASE WHEN agree_px <= 3 AND other_usable THEN 'agreement' WHEN ncc_gain >= 0.05 AND NOT other_usable THEN 'ncc' END AS confirmed_by FROM o)"""
-_T = """, q AS (SELECT family, quantile_cont(texture, 1/3.0) AS q1, quantile_cont(texture, 2/3.0) AS q2, count(texture) AS m FROM r WHERE status = 'OK' GROUP BY family),
-t AS (SELECT v.*, CASE WHEN m >= 3 THEN CASE WHEN texture < q1 THEN 'low' WHEN texture < q2 THEN 'mid' ELSE 'high' END END AS terrain FROM v LEFT JOIN q USING (family))"""
+_T = """, q AS (SELECT family, quantile_cont(texture, 1/3.0) AS q1, quantile_cont(texture, 2/3.0) AS q2, count(texture) AS m FROM (SELECT family, id, max(texture) AS texture FROM r WHERE status = 'OK' GROUP BY ALL) GROUP BY family),
+t AS (SELECT f.*, CASE WHEN status = 'OK' AND m >= 3 THEN CASE WHEN texture < q1 THEN 'low' WHEN texture < q2 THEN 'mid' ELSE 'high' END END AS terrain FROM f LEFT JOIN q USING (family))"""
 _Z = 1.96
 
 
-def _summary(by: str, source: str) -> str:
-    p, n = "n_success / n::DOUBLE", "n"
+def _share(name: str, k: str, n: str) -> str:
+    p = f"({k} / {n}::DOUBLE)"
     scale, mid, half = f"(1 + {_Z}*{_Z}/{n})", f"({p} + {_Z}*{_Z}/(2*{n}))", f"{_Z} * sqrt({p} * (1 - {p}) / {n} + {_Z}*{_Z}/(4*{n}*{n}))"
+    return f"CASE WHEN {n} > 0 THEN round({p}, 6) END AS {name}, CASE WHEN {n} > 0 THEN round(greatest(0, {mid}/{scale} - {half}/{scale}), 6) END AS {name}_low, CASE WHEN {n} > 0 THEN round(least(1, {mid}/{scale} + {half}/{scale}), 6) END AS {name}_high"
+
+
+def _summary(by: str, source: str) -> str:
+    locked = "FILTER (WHERE verdict <> 'NO_LOCK')"
     return f""", s AS (SELECT {by}, count(*) AS n, count(*) FILTER (WHERE verdict = 'SUCCESS') AS n_success, count(*) FILTER (WHERE verdict = 'MARGINAL') AS n_marginal, count(*) FILTER (WHERE verdict = 'FAILURE') AS n_failure,
-  count(*) FILTER (WHERE verdict = 'NO_LOCK') AS n_no_lock, median(err) FILTER (WHERE verdict <> 'NO_LOCK') AS median_err, median(n_inliers) FILTER (WHERE verdict <> 'NO_LOCK') AS median_inliers, count(err) FILTER (WHERE verdict <> 'NO_LOCK') AS n_with_model
+  count(*) FILTER (WHERE verdict = 'NO_LOCK') AS n_no_lock, count(*) FILTER (WHERE subpixel) AS n_subpixel, count(*) {locked} AS n_locked, count(*) FILTER (WHERE verdict <> 'NO_LOCK' AND uniform) AS n_uniform,
+  median(err) {locked} AS median_err, median(n_inliers) {locked} AS median_n_inliers, median(total_ms) {locked} AS median_total_ms, count(err) {locked} AS n_with_model
   FROM {source} WHERE NOT starts_with(verdict, 'EXCLUDED') GROUP BY {by})
-SELECT {by}, n, n_success, n_marginal, n_failure, n_no_lock, round(median_err, 6) AS median_err, median_inliers, n_with_model, round({p}, 6) AS rate, round(greatest(0, {mid}/{scale} - {half}/{scale}), 6) AS ci_low, round(least(1, {mid}/{scale} + {half}/{scale}), 6) AS ci_high FROM s"""
+SELECT * EXCLUDE (median_err), round(median_err, 6) AS median_err, {_share("rate", "n_success", "n")}, {_share("subpixel", "n_subpixel", "n")}, {_share("uniform", "n_uniform", "n_locked")} FROM s"""
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs with a verdict; rows that are not OK say why."""
+    """Runs with a verdict and flags; rows that are not OK say why. False confidence is a small residual with a large or unknown error."""
     gt = scoring.verdict_gt(F.col("has_model"), F.col("degenerate"), F.col("n_inliers"), F.col("err"))
     verdict = F.when(F.col("status") == "NO_LOCK", "NO_LOCK").when(F.col("status") != "OK", F.concat(F.lit("EXCLUDED_"), "status")).otherwise(gt)
-    return runs(spark, sf_dir).withColumn("verdict", verdict)
+    out = runs(spark, sf_dir).withColumn("verdict", verdict)
+    subpixel = F.coalesce((F.col("verdict") == "SUCCESS") & (F.col("err") < 1), F.lit(False))
+    false = F.col("has_model") & (F.round("rmse", 4) < 1.5) & (F.col("err").isNull() | (F.col("err") > 10))
+    return out.withColumns({"subpixel": subpixel, "false_confidence": false, "uniform": F.col("unif_cells") >= 0.75})
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ops.other_arm(runs(spark, sf_dir), ["has_model", "degenerate", "n_inliers", "err"])
     usable = F.coalesce(scoring.usable_arm(F.col("other_has_model"), F.col("other_degenerate"), F.col("other_n_inliers")), F.lit(False))
-    df = df.withColumn("other_usable", usable)
+    df = df.withColumns({"other_usable": usable, "other_model": F.coalesce("other_has_model", F.lit(False))})
     return df.withColumn("confirmed_by", scoring.confirmed_by(F.col("agree_px"), F.col("other_usable"), F.col("ncc_gain")))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: r(c) for c in ("median_err", "rate", "ci_low", "ci_high")})
+    return df.withColumns({c: r(c) for c in ("median_err", *(f"{k}{x}" for k in ("rate", "subpixel", "uniform") for x in ("", "_low", "_high")))})
 
 
 @query(f"{_R}{_V} SELECT id, arm, verdict FROM v")
@@ -77,9 +87,9 @@ def verdict_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).select("id", "arm", "verdict")
 
 
-@query(f"{_R}{_O}{_C} SELECT id, arm, confirmed_by, CASE WHEN has_model AND NOT degenerate AND n_inliers >= 15 AND heldout <= 2 AND confirmed_by IS NOT NULL THEN 'SUCCESS' WHEN has_model AND NOT degenerate AND n_inliers >= 8 AND heldout <= 5 THEN 'MARGINAL' ELSE 'FAILURE' END AS verdict FROM c")
+@query(f"{_R}{_O}{_C} SELECT id, arm, confirmed_by, CASE WHEN has_model AND n_inliers >= 15 AND heldout <= 2 AND confirmed_by IS NOT NULL THEN 'SUCCESS' WHEN has_model AND n_inliers >= 8 AND heldout <= 5 THEN 'MARGINAL' ELSE 'FAILURE' END AS verdict FROM c")
 def verdict_real(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = scoring.verdict_real(F.col("has_model"), F.col("degenerate"), F.col("n_inliers"), F.col("heldout"), F.col("confirmed_by"))
+    v = scoring.verdict_real(F.col("has_model"), F.col("n_inliers"), F.col("heldout"), F.col("confirmed_by"))
     return compared(spark, sf_dir).select("id", "arm", "confirmed_by", v.alias("verdict"))
 
 
@@ -88,11 +98,9 @@ def arm_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir).select("id", "arm", "other_usable", r("other_err").alias("other_err"))
 
 
-@query(f"{_R}{_V} SELECT id, arm, verdict = 'SUCCESS' AND err < 1 AS subpixel, has_model AND round(rmse, 4) < 1.5 AND (err IS NULL OR err > 10) AS false_confidence, round(texture % 1, 4) >= 0.75 AS uniform FROM v")
+@query(f"{_R}{_V} SELECT id, arm, subpixel, false_confidence, uniform FROM f")
 def run_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-pixel successes, false confidence (a small residual with a large or unknown error), uniform coverage."""
-    false = F.col("has_model") & (F.round("rmse", 4) < 1.5) & (F.col("err").isNull() | (F.col("err") > 10))
-    return judged(spark, sf_dir).select("id", "arm", ((F.col("verdict") == "SUCCESS") & (F.col("err") < 1)).alias("subpixel"), false.alias("false_confidence"), (F.round(F.col("texture") % 1, 4) >= 0.75).alias("uniform"))
+    return judged(spark, sf_dir).select("id", "arm", "subpixel", "false_confidence", "uniform")
 
 
 @query(f"{_R}{_V}{_T} SELECT id, arm, terrain FROM t")
@@ -107,12 +115,12 @@ def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("family", "n", "k", r(lo).alias("low"), r(hi).alias("high"))
 
 
-@query(f"{_R}{_V}{_summary('arm', 'v')}")
+@query(f"{_R}{_V}{_summary('arm', 'f')}")
 def summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ops.summary(judged(spark, sf_dir), ["arm"]))
 
 
-@query(f"{_R}{_V}{_summary('arm, split', 'v')}")
+@query(f"{_R}{_V}{_summary('arm, split', 'f')}")
 def summary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ops.summary(judged(spark, sf_dir), ["arm", "split"]))
 
@@ -122,7 +130,7 @@ def summary_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ops.summary(ops.terrain_tertiles(judged(spark, sf_dir)), ["arm", "terrain"]))
 
 
-@query(f"{_R}{_V}, l AS (SELECT *, id % 7 * 30 AS level FROM v){_summary('arm, level', 'l')}")
+@query(f"{_R}{_V}, l AS (SELECT *, id % 7 * 30 AS level FROM f){_summary('arm, level', 'l')}")
 def summary_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ops.summary(judged(spark, sf_dir).withColumn("level", F.col("id") % 7 * 30), ["arm", "level"]))
 
@@ -141,51 +149,63 @@ def excluded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("id", F.explode(F.array(F.lit("A"), F.lit("R"))).alias("arm"), verdict.alias("verdict"))
 
 
-@query(f"{_R} SELECT family, string_agg(id || '/' || arm, ',' ORDER BY id, arm) AS runs, count(*) AS n FROM r WHERE has_model AND round(rmse, 4) < 0.5 AND err >= 9 AND status = 'OK' AND n_inliers >= 30 GROUP BY family")
+@query(f"{_R}{_V} SELECT family, string_agg(id || '/' || arm, ',' ORDER BY id, arm) AS runs, count(*) AS n FROM f WHERE false_confidence AND status = 'OK' GROUP BY family")
 def false_confidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = runs(spark, sf_dir).where((F.col("status") == "OK") & F.col("has_model") & (F.round("rmse", 4) < 0.5) & (F.col("err") >= 9) & (F.col("n_inliers") >= 30))
+    bad = judged(spark, sf_dir).where("false_confidence and status = 'OK'")
     names = F.transform(F.array_sort(F.collect_list(F.struct("id", "arm"))), lambda x: F.concat_ws("/", x["id"], x["arm"]))
     return bad.groupBy("family").agg(F.array_join(names, ",").alias("runs"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{_R}{_O}, m AS (SELECT *, coalesce(err <= 2, false) AS good, rmse < 1.5 AS g1, n_inliers >= 15 AS g2, agree_px <= 3 AND other_usable AS g3, agree_px <= 3 AND other_usable AND n_inliers >= 15 AS g4 FROM o WHERE has_model),
-x AS (SELECT 'rmse' AS gate, g1 AS ok, good FROM m UNION ALL SELECT 'inliers', g2, good FROM m UNION ALL SELECT 'agree', g3, good FROM m UNION ALL SELECT 'both', g4, good FROM m)
-SELECT gate, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE ok AND NOT good) AS accepted_but_wrong, count(*) FILTER (WHERE NOT ok AND good) AS right_but_rejected, count(*) FILTER (WHERE NOT good) AS wrong_total,
+@query(f"""{_R}{_O}, m AS (SELECT *, err <= 2 AS good, coalesce(rmse < 1.5, false) AS g1, n_inliers >= 15 AND NOT degenerate AS g2, coalesce(agree_px <= 3, false) AND has_model AND other_model AS g3 FROM o WHERE err IS NOT NULL AND status = 'OK'),
+x AS (SELECT 'rmse' AS gate, g1 AS ok, good FROM m UNION ALL SELECT 'inliers', g2, good FROM m UNION ALL SELECT 'agree', g3, good FROM m UNION ALL SELECT 'both', g2 AND g3, good FROM m)
+SELECT gate, count(*) AS with_model, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE ok AND NOT good) AS accepted_but_wrong, count(*) FILTER (WHERE NOT ok AND good) AS right_but_rejected, count(*) FILTER (WHERE NOT good) AS wrong_total,
   round(count(*) FILTER (WHERE ok AND good) / count(*) FILTER (WHERE ok), 4) AS precision FROM x GROUP BY gate""")
 def trust_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agree = (F.col("agree_px") <= 3) & F.col("other_usable")
-    gates = {"rmse": F.col("rmse") < 1.5, "inliers": F.col("n_inliers") >= 15, "agree": agree, "both": agree & (F.col("n_inliers") >= 15)}
-    return ops.trust_gates(compared(spark, sf_dir), gates, F.col("err") <= 2)
+    """Usable instances' results with a known error; arms can agree only where both have a map."""
+    rows = compared(spark, sf_dir).where("status = 'OK' and err is not null")
+    agree = (F.col("agree_px") <= 3) & F.col("has_model") & F.col("other_model")
+    sound = (F.col("n_inliers") >= 15) & ~F.col("degenerate")
+    return ops.trust_gates(rows, {"rmse": F.col("rmse") < 1.5, "inliers": sound, "agree": agree, "both": sound & agree}, F.col("err") <= 2)
+
+
+_PC = f"""{_R}, k AS (SELECT *, err IS NOT NULL AND n_inliers >= 15 AND NOT degenerate AS ok FROM r WHERE status = 'OK'),
+b AS (SELECT id, family, split, count(*) FILTER (WHERE ok) AS n_ok, CASE WHEN count(*) FILTER (WHERE has_model) = 2 THEN min(agree_px) END AS agree,
+  max(CASE WHEN arm = 'A' AND ok THEN n_inliers END) AS na, max(CASE WHEN arm = 'R' AND ok THEN n_inliers END) AS nr, max(CASE WHEN arm = 'A' AND ok THEN err END) AS ea, max(CASE WHEN arm = 'R' AND ok THEN err END) AS er FROM k GROUP BY id, family, split),
+pc AS (
+  SELECT id, family, split, 'both' AS policy, CASE WHEN n_ok = 2 AND agree <= 3 THEN 'CONFIRMED' WHEN n_ok = 1 THEN 'UNCONFIRMED' WHEN n_ok = 2 THEN 'DISAGREE' ELSE 'REJECT' END AS policy_status,
+    CASE WHEN n_ok = 0 THEN NULL WHEN nr IS NULL OR na >= nr THEN 'A' ELSE 'R' END AS arm, CASE WHEN n_ok = 0 THEN NULL WHEN nr IS NULL OR na >= nr THEN ea ELSE er END AS err FROM b
+  UNION ALL SELECT id, family, split, 'only_A', CASE WHEN na IS NULL THEN 'REJECT' ELSE 'ACCEPT' END, CASE WHEN na IS NOT NULL THEN 'A' END, ea FROM b
+  UNION ALL SELECT id, family, split, 'only_R', CASE WHEN nr IS NULL THEN 'REJECT' ELSE 'ACCEPT' END, CASE WHEN nr IS NOT NULL THEN 'R' END, er FROM b),
+pj AS (SELECT *, arm IS NOT NULL AS accepted, coalesce(err <= 2, false) AS good, coalesce(err < 1, false) AS fine FROM pc)"""
 
 
-_PC = f"""{_R}, k AS (SELECT *, has_model AND NOT degenerate AND n_inliers >= 8 AS ok, CASE arm WHEN 'A' THEN 0 ELSE 1 END AS rank FROM r),
-b AS (SELECT id, family, split, count(*) FILTER (WHERE ok) AS usable, min(agree_px) AS agree, arg_max(struct_pack(arm := arm, err := err), struct_pack(n := n_inliers, f := -rank)) FILTER (WHERE ok) AS b FROM k GROUP BY id, family, split),
-pc AS (SELECT id, family, split, CASE WHEN usable >= 2 AND agree <= 3 THEN 'CONFIRMED' WHEN usable >= 2 THEN 'DISAGREE' WHEN usable = 1 THEN 'UNCONFIRMED' ELSE 'REJECT' END AS policy_status, b.arm AS arm, b.err AS err FROM b)"""
+def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ops.policy(runs(spark, sf_dir).where("status = 'OK'"), ["A", "R"])
+    return out.withColumns({"accepted": F.col("arm").isNotNull(), "good": F.coalesce(F.col("err") <= 2, F.lit(False)), "fine": F.coalesce(F.col("err") < 1, F.lit(False))})
 
 
-@query(f"{_PC} SELECT id, family, split, policy_status, arm, round(err, 6) AS err FROM pc")
+@query(f"{_PC} SELECT id, family, split, policy, policy_status, arm, round(err, 6) AS err FROM pc")
 def policy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.policy(runs(spark, sf_dir)).withColumn("err", r("err"))
+    return choices(spark, sf_dir).select("id", "family", "split", "policy", "policy_status", "arm", r("err").alias("err"))
 
 
-@query(f"""{_PC}, alone AS (SELECT id, family, split, 'only_' || arm AS policy, CASE WHEN ok THEN err END AS err, ok AS accepted FROM k), every AS (SELECT id, family, split, 'both' AS policy, err, policy_status <> 'REJECT' AS accepted FROM pc UNION ALL SELECT * FROM alone)
-SELECT policy, split, count(*) AS n, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE accepted AND err <= 2) AS right_n, round(count(*) FILTER (WHERE accepted AND err <= 2) / count(*), 4) AS success,
-  round(count(*) FILTER (WHERE accepted AND err <= 2) / count(*) FILTER (WHERE accepted), 4) AS precision FROM every GROUP BY policy, split""")
+@query(f"""{_PC} SELECT policy, split, count(*) AS n, count(*) FILTER (WHERE accepted) AS accepted_n, count(*) FILTER (WHERE good) AS right_n, count(*) FILTER (WHERE accepted AND NOT good) AS wrong_accepted, count(*) FILTER (WHERE fine) AS subpixel,
+  round(count(*) FILTER (WHERE good) / count(*), 3) AS success_rate, round(count(*) FILTER (WHERE good) / count(*) FILTER (WHERE accepted), 3) AS precision FROM pj GROUP BY policy, split""")
 def policy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arms together against each arm alone."""
-    base = runs(spark, sf_dir)
-    ok = scoring.usable_arm(F.col("has_model"), F.col("degenerate"), F.col("n_inliers"))
-    alone = base.select(F.concat(F.lit("only_"), "arm").alias("policy"), "split", F.when(ok, F.col("err")).alias("err"), ok.alias("accepted"))
-    both = ops.policy(base).select(F.lit("both").alias("policy"), "split", "err", (F.col("policy_status") != "REJECT").alias("accepted"))
-    right = F.count_if(F.col("accepted") & (F.col("err") <= 2))
-    out = both.unionByName(alone).groupBy("policy", "split").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("accepted"), right.alias("right_n"))
-    return out.withColumns({"success": r(F.col("right_n") / F.col("n"), 4), "precision": r(F.try_divide("right_n", "accepted"), 4)})
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("accepted_n"), F.count_if("good").alias("right_n"), F.count_if(F.col("accepted") & ~F.col("good")).alias("wrong_accepted"), F.count_if("fine").alias("subpixel")]
+    out = choices(spark, sf_dir).groupBy("policy", "split").agg(*counts)
+    return out.withColumns({"success_rate": r(F.col("right_n") / F.col("n"), 3), "precision": r(F.try_divide("right_n", "accepted_n"), 3)})
+
+
+@query(f"{_PC} SELECT policy, family, count(*) AS n, count(*) FILTER (WHERE good) AS right_n, count(*) FILTER (WHERE accepted AND NOT good) AS wrong_accepted FROM pj GROUP BY policy, family")
+def policy_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choices(spark, sf_dir).groupBy("policy", "family").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("right_n"), F.count_if(F.col("accepted") & ~F.col("good")).alias("wrong_accepted"))
 
 
-@query(f"{_PC} SELECT policy_status, count(*) FILTER (WHERE err <= 2) AS right_n, count(*) FILTER (WHERE err > 2 OR err IS NULL) AS other_n FROM pc GROUP BY policy_status")
+@query(f"{_PC} SELECT policy_status, good AS is_right, count(*) AS n FROM pj WHERE policy = 'both' GROUP BY policy_status, good")
 def policy_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    right = F.coalesce(F.col("err") <= 2, F.lit(False))
-    return ops.policy(runs(spark, sf_dir)).groupBy("policy_status").agg(F.count_if(right).alias("right_n"), F.count_if(~right).alias("other_n"))
+    return choices(spark, sf_dir).where("policy = 'both'").groupBy("policy_status", F.col("good").alias("is_right")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_R}{_V} SELECT family, arm, verdict, round(median(heldout), 6) AS median_heldout, round(median(rmse), 6) AS median_rmse, round(avg(CASE WHEN heldout < 1 THEN 1.0 ELSE 0.0 END), 6) AS share_below_1, round(100 * (1 - median(rmse) / nullif(median(heldout), 0)), 4) AS drop_pct, count(*) AS n_arm_rows FROM v WHERE verdict IN ('SUCCESS', 'MARGINAL') GROUP BY family, arm, verdict")
@@ -226,7 +246,7 @@ def run_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT event_type AS run, event_id AS idx, value % 500 AS x, (event_id * 7) % 500 + 0.0::DOUBLE AS y FROM events), e AS (SELECT *, sin(x / 50) + (idx % 5) * 0.1::DOUBLE AS rx, cos(y / 60) + (idx % 7) * 0.1::DOUBLE AS ry FROM p),
-m AS (SELECT a.run, a.idx, a.rx, a.ry, b.rx AS rx2, b.ry AS ry2, row_number() OVER (PARTITION BY a.run, a.idx ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.idx) AS rn FROM e a JOIN e b ON a.run = b.run AND a.idx <> b.idx AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1024 AND abs(a.x - b.x) <= 32 AND abs(a.y - b.y) <= 32),
+m AS (SELECT a.run, a.idx, a.rx, a.ry, b.rx AS rx2, b.ry AS ry2, row_number() OVER (PARTITION BY a.run, a.idx ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.idx) AS rn FROM e a JOIN e b ON a.run = b.run AND a.idx <> b.idx),
 n AS (SELECT run, idx, rx, ry, avg(rx2) AS mx, avg(ry2) AS my FROM m WHERE rn <= 8 GROUP BY ALL) SELECT run, round((corr(rx, mx) + corr(ry, my)) / 2, 6) AS coherence, count(*) AS n FROM n GROUP BY run HAVING (SELECT count(*) FROM e WHERE e.run = n.run) >= 40""")
 def residual_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("idx"), (F.col("value") % 500).alias("x"), ((F.col("event_id") * 7) % 500).cast("double").alias("y"))

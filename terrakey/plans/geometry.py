@@ -48,10 +48,9 @@ def homography_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_M} SELECT id, round(sqrt(h0 * h0 + h3 * h3), 6) AS scale_x, round(sqrt(h1 * h1 + h4 * h4), 6) AS scale_y, round(degrees(atan2(h3, h0)), 6) AS rotation_deg,
-round(abs(degrees(atan2(h0 * h1 + h3 * h4, h0 * h4 - h1 * h3))), 6) AS shear_deg, round(h2, 6) AS tx, round(h5, 6) AS ty, round(h6, 9) AS perspective_x, round(h7, 9) AS perspective_y FROM m""")
+round(degrees(atan2(h0 * h1 + h3 * h4, h0 * h4 - h1 * h3)), 6) AS shear_deg, round(h2, 6) AS tx, round(h5, 6) AS ty, round(h6, 9) AS perspective_x, round(h7, 9) AS perspective_y FROM m""")
 def homography_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = hg.decompose(hg.entries(F.col("h")))
-    d["shear_deg"] = F.abs(d["shear_deg"])
     return maps(spark, sf_dir).select("id", *(r(c, 9 if k.startswith("persp") else 6).alias(k) for k, c in d.items()))
 
 
@@ -73,13 +72,13 @@ SELECT id, round(avg(d), 6) AS grid_px FROM e GROUP BY id""")
 def grid_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean distance over a 16 x 16 grid of the second image between two maps' origins of each grid point.
 
-    The grid is an array in the row, so nothing is exploded or shuffled.
+    The inverse is taken once a map; grid points are made and summed again in one stage, so a row a map is shuffled.
     """
     i = hg.inverse(hg.entries(F.col("h")))
-    df = maps(spark, sf_dir).withColumns({f"i{j}": x for j, x in enumerate(i)})
-    own = [F.col(f"i{j}") for j in range(9)]
-    grid = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda n: _away(own, F.floor(n / 16) * 1023 / 15.0, (n % 16) * 1023 / 15.0))
-    return df.select("id", r(F.aggregate(grid, F.lit(0.0), lambda acc, d: acc + d) / 256).alias("grid_px"))
+    df = maps(spark, sf_dir).select("id", "dx", "dy", *(x.alias(f"i{j}") for j, x in enumerate(i)), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("n"))
+    n = F.col("n")
+    away = _away([F.col(f"i{j}") for j in range(9)], F.floor(n / 16) * 1023 / 15.0, (n % 16) * 1023 / 15.0)
+    return df.select("id", away.alias("d")).groupBy("id").agg(r(F.avg("d")).alias("grid_px"))
 
 
 def _away(i: hg.H, x: F.Column, y: F.Column) -> F.Column:

@@ -140,13 +140,13 @@ def scene_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.where("b.score >= 0").select("id_a", "id_b", F.col("b.i").alias("pick"), "b.lon", "b.lat", "b.score")
 
 
-@query(f"""WITH s AS ({_S}), b AS ({_BOX} s), g AS (SELECT id, a * 3 + c AS i, lat_min + (a + 0.5) / 4 * (lat_max - lat_min) AS lat, lon_min + (c + 0.5) / 3 * (lon_max - lon_min) AS lon
-  FROM b, (SELECT unnest(range(0, 4)) AS a), (SELECT unnest(range(0, 3)) AS c))
-SELECT id, CAST(i AS INTEGER) AS i, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN (i // 3) % 2 = 0 THEN 'dev' ELSE 'test' END AS split FROM g""")
+@query(f"""WITH s AS ({_S}), b AS ({_BOX} s), g AS (SELECT id, a, c, lat_min + (a + 0.5) / 8 * (lat_max - lat_min) AS lat, lon_min + (c + 0.5) / 3 * (lon_max - lon_min) AS lon
+  FROM b, (SELECT unnest(range(0, 8)) AS a), (SELECT unnest(range(0, 3)) AS c))
+SELECT id, printf('%02d_%d', a, c) AS place, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN (a // 3) % 2 = 0 THEN 'dev' ELSE 'test' END AS split FROM g""")
 def location_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell centres of a grid of 4 along by 3 across, in blocks of three for development and test in turn."""
-    df = boxes(suppliers(spark, sf_dir)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    a, c = F.floor(F.col("i") / 3), F.col("i") % 3
-    lat = F.col("lat_min") + (a + 0.5) / 4 * (F.col("lat_max") - F.col("lat_min"))
+    """Cell centres of a grid of 8 along by 3 across; three positions along are for development, the next three for test, and so on."""
+    df = boxes(suppliers(spark, sf_dir)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    a, c = F.col("a"), F.col("c")
+    lat = F.col("lat_min") + (a + 0.5) / 8 * (F.col("lat_max") - F.col("lat_min"))
     lon = F.col("lon_min") + (c + 0.5) / 3 * (F.col("lon_max") - F.col("lon_min"))
-    return df.select("id", "i", r(lon).alias("lon"), r(lat).alias("lat"), F.when(a % 2 == 0, "dev").otherwise("test").alias("split"))
+    return df.select("id", F.format_string("%02d_%d", a, c).alias("place"), r(lon).alias("lon"), r(lat).alias("lat"), F.when(F.floor(a / 3) % 2 == 0, "dev").otherwise("test").alias("split"))

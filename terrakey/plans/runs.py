@@ -53,35 +53,37 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], 6).select("conv_id", "turn", "role")
 
 
-#: Intents in their order with the patterns of their words.
-INTENTS = [("accuracy", "rmse|error|the"), ("matches", "match|and"), ("coverage", "cover|of"), ("illumination", "sun|shadow|in")]
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'rmse|accurate|accuracy|error|precision') THEN 'accuracy' WHEN regexp_matches(lower(text), 'inlier|match|keypoint|feature|consensus') THEN 'matches'
+  WHEN regexp_matches(lower(text), 'provenance|real|synthetic|derived|simulated') THEN 'provenance' ELSE 'summary' END AS intent FROM conversations""")
+def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a message asks for."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.intent(F.col("text")).alias("intent"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'rmse|error|the') THEN 'accuracy' WHEN regexp_matches(lower(text), 'match|and') THEN 'matches' WHEN regexp_matches(lower(text), 'cover|of') THEN 'coverage' WHEN regexp_matches(lower(text), 'sun|shadow|in') THEN 'illumination' ELSE 'help' END AS intent FROM conversations""")
-def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.intent(F.col("text"), INTENTS, "help").alias("intent"))
+_SAID = """WITH t AS (SELECT event_id, (event_id * 7) % 12 AS k FROM events),
+s AS (SELECT event_id, CASE k WHEN 0 THEN 'Run' WHEN 1 THEN ' go  on!' WHEN 2 THEN 'please go forward.' WHEN 3 THEN 'run the next stage' WHEN 4 THEN 'Play?!' WHEN 5 THEN 'runs' WHEN 6 THEN 'go-back' WHEN 7 THEN 'previous' WHEN 8 THEN 'halt. now' WHEN 9 THEN '' WHEN 10 THEN 'stop_it' END AS said FROM t)"""
 
 
-@query("""WITH t AS (SELECT conv_id, turn, text, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] || '!' AS said FROM conversations), w AS (SELECT *, string_split(trim(regexp_replace(lower(trim(said)), '[.!?]+', '', 'g')), ' ') AS ws FROM t)
-SELECT conv_id, turn, len(ws) <= 3 AND list_contains(ws, 'the') AS hit FROM w WHERE said IS NOT NULL""")
+@query(rf"""{_SAID}, u AS (SELECT *, regexp_replace(lower(trim(said, E' \t\n')), '[.!?]+$', '') AS p FROM s)
+SELECT event_id, CASE WHEN len(regexp_split_to_array(p, '\s+')) > 3 THEN NULL WHEN regexp_matches(p, '\b(run|execute|go)\b') THEN 'run' WHEN regexp_matches(p, '\b(next|forward)\b') THEN 'next' WHEN regexp_matches(p, '\b(back|previous)\b') THEN 'back'
+  WHEN regexp_matches(p, '\bplay\b') THEN 'play' WHEN regexp_matches(p, '\b(stop|pause|halt)\b') THEN 'stop' END AS command FROM u""")
 def command_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two words as an utterance: does it hold the command word?"""
-    w = F.split("text", " ")
-    said = F.concat(F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)), F.lit("!"))
-    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said")).where("said is not null")
-    return df.select("conv_id", "turn", tx.command(F.col("said"), "the").alias("hit"))
+    """The command of an utterance, if it is one."""
+    said = F.array(*(F.lit(x) for x in ("Run", " go  on!", "please go forward.", "run the next stage", "Play?!", "runs", "go-back", "previous", "halt. now", "", "stop_it")), F.lit(None))
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", tx.command(F.get(said, (F.col("event_id") * 7 % 12).cast("int"))).alias("command"))
 
 
-@query(r"""SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '```[^`]*```', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_#`>|~]', '', 'g'), '[\x{10000}-\x{10FFFF}]', '', 'g'), '[ \t\r\n]+', ' ', 'g')), 1, 600) AS speech FROM conversations""")
+@query(r"""SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '[*_`#>]', '', 'g'), '\[(.*?)\]\(.*?\)', '\1', 'g'), '[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{0B}]+', ' ', 'g')), 1, 600) AS speech FROM conversations""")
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_text(F.col("text"), 600).alias("speech"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_text(F.col("text")).alias("speech"))
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Orbiter High Resolution Camera' WHEN 1 THEN 'TMC-2 nadir' WHEN 2 THEN 'Imaging Infrared' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE p_brand END AS name FROM part)
-SELECT id, CASE WHEN coalesce(name, '') = '' THEN 'UNKNOWN' WHEN lower(name) LIKE '%ohrc%' OR lower(name) LIKE '%high resolution camera%' THEN 'OHRC' WHEN lower(name) LIKE '%tmc%' OR lower(name) LIKE '%terrain mapping%' THEN 'TMC-2' WHEN lower(name) LIKE '%iirs%' OR lower(name) LIKE '%infrared%' THEN 'IIRS' ELSE upper(name) END AS sensor FROM n""")
+@query("""WITH n AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Orbiter High Resolution Imager' WHEN 1 THEN 'TMC-2 nadir' WHEN 2 THEN 'Imaging Infrared' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE p_brand END AS name FROM part)
+SELECT id, CASE WHEN coalesce(name, '') = '' THEN 'UNKNOWN' WHEN lower(name) LIKE '%ohrc%' OR lower(name) LIKE '%high resolution%' THEN 'OHRC' WHEN lower(name) LIKE '%tmc%' OR lower(name) LIKE '%terrain mapping%' THEN 'TMC-2' WHEN lower(name) LIKE '%iirs%' OR lower(name) LIKE '%infrared%' THEN 'IIRS' ELSE upper(name) END AS sensor FROM n""")
 def sensor_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 6
-    name = F.when(k == 0, "Orbiter High Resolution Camera").when(k == 1, "TMC-2 nadir").when(k == 2, "Imaging Infrared").when(k == 3, "").when(k == 5, F.col("p_brand"))
+    name = F.when(k == 0, "Orbiter High Resolution Imager").when(k == 1, "TMC-2 nadir").when(k == 2, "Imaging Infrared").when(k == 3, "").when(k == 5, F.col("p_brand"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.sensor_name(name).alias("sensor"))
 
 
@@ -110,10 +112,10 @@ def sun_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.abs(F.col("o_orderkey") % 90 - F.col("o_custkey") % 90).alias("delta_sun"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("date"))
 
 
-@query("SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value * 0.7, 6) END AS detect_ms FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value * 0.7, 6) END AS detect_ms FROM events")
 def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage times from a map; a stage that was not measured is null, never made up."""
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    e = table(spark, sf_dir, "events")
     timings = F.map_filter(F.create_map(F.lit("detect"), F.when(F.col("event_id") % 7 != 0, F.col("value") * 0.7), F.lit("match"), F.col("value") * 0.3), lambda k, v: v.isNotNull())
     return e.select("event_id", "event_type", timings.alias("t")).select("event_id", "event_type", r(F.try_element_at("t", F.lit("detect"))).alias("detect_ms"))
 
@@ -140,10 +142,10 @@ def chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(roles, ">").alias("roles"))
 
 
-@query("""SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS json FROM events WHERE event_id % 50 = 0""")
+@query("""SELECT event_id, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '","props":' || to_json(props) || '}' AS json FROM events""")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 50 = 0")
-    return e.select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("json"))
+    """A stored run as one JSON text."""
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type", "props")).alias("json"))
 
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY role = 'user', turn) AS place FROM conversations""")

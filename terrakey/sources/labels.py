@@ -19,7 +19,12 @@ SUFFIXES = [".img", ".IMG", ".qub", ".QUB"]
 
 def first_text(xml: Column, name: str) -> Column:
     """The first text that is not blank of elements with a local name; null if there is none."""
-    return F.nullif(F.trim(F.xpath_string(xml, F.lit(f"(//*[local-name()='{name}'][normalize-space()])[1]"))), F.lit(""))
+    return _stripped(F.xpath_string(xml, F.lit(f"(//*[local-name()='{name}'][normalize-space()])[1]")))
+
+
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at either end; null if nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 def axis_size(xml: Column, axis: str) -> Column:
@@ -36,7 +41,7 @@ def parse(labels: DataFrame, xml: str = "content") -> DataFrame:
     out = out.withColumns({k: first_text(x, v).try_cast("double") for k, v in (NUMBERS | CORNERS).items()})
     out = out.withColumns({"lines": axis_size(x, "LINE"), "samples": axis_size(x, "SAMPLE"), "bands": axis_size(x, "BAND")})
     component = "(//*[local-name()='Observing_System_Component'][translate(normalize-space(*[local-name()='type']),'INSTRUMENT','instrument')='instrument']/*[local-name()='name'][normalize-space()])[1]"
-    name = F.coalesce(F.nullif(F.trim(F.xpath_string(x, F.lit(component))), F.lit("")), first_text(x, "name"))
+    name = F.coalesce(_stripped(F.xpath_string(x, F.lit(component))), first_text(x, "name"))
     out = out.withColumn("instrument_name", name).withColumns({"sensor": sensor_name(name), "date": F.substring("start_time", 1, 10)})
 
     def centre(axis: str) -> Column:

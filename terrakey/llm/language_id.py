@@ -77,13 +77,13 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text") -> Model:
 
     The fit takes a bounded sample: for each of the LANGUAGES most frequent languages the TEXTS_PER_LANGUAGE texts with
     the smallest hashes. The sample's vectors come to the driver (at most LANGUAGES * TEXTS_PER_LANGUAGE rows); clustering
-    is spherical k-means within a language. Equal texts count once.
+    is spherical k-means within a language. Equal texts count once. Without any labelled text the model knows no language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     counts = {r.lang: r.n for r in top}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
     # Hashes below a language's limit hold somewhat more than the texts wanted; the rest is cut exactly.
     share = {k: min(1.0, 1.5 * TEXTS_PER_LANGUAGE / n + 100 / n) for k, n in counts.items()}
     limit = F.create_map(*(x for k, s in share.items() for x in (F.lit(k), F.lit(int(s * (1 << 30))))))
@@ -146,9 +146,11 @@ def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_
     TF-IDF and compared with all centroids by cosine; the nearest centroid's language wins, ties the first in
     alphabetical order, and ``score`` is the cosine. ``rejected`` is true where the text lies farther from it than all
     but REJECTED of the language's own texts: trust such a prediction less. A null text or one without a letter is
-    ``und`` with score 0, and rejected. Repeated rows give repeated results. An empty table gives an empty result.
+    ``und`` with score 0, and rejected; so is every text if the model knows no language. Repeated rows give repeated results. An empty table gives an empty result.
     """
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"), held_out.alias("held_out"))
+    if not model.languages:
+        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     out = rows.mapInArrow(_predict(model), "doc_id long, lettered boolean, held_out boolean, lang string, score double, far boolean")
     none = ~F.col("lettered")
     return out.select(

@@ -59,29 +59,34 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("_k1"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_k2")]
 
 
-def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text", max_owners: int = 2) -> DataFrame:
+def _named(column: str) -> Column:
+    """A text that tells null from empty."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text", max_owners: int = 2, max_repos: int = 1000) -> DataFrame:
     """Adds to every row of ``docs``: ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``live_spans``.
 
     Base candidates are assignments to credential names, access keys and long hexadecimal runs. The method adds opaque
     runs of key characters. Candidate values are hashed and aggregated over the corpus by distinct repositories and
-    owners: a value that more than ``max_owners`` owners have is a widely copied example, any other is owner-specific
-    and looks live. An opaque run becomes a span if it is owner-specific and overlaps no base span (a run in
+    owners: a value that more than ``max_owners`` owners or ``max_repos`` repositories have is a widely copied example, any other
+    is owner-specific and looks live. An opaque run becomes a span if it is owner-specific and overlaps no base span (a run in
     many hands is boilerplate); base spans stay whatever the verdict. ``live_spans`` are the spans, as structs, that look live.
 
     Values are counted by ever fewer columns, (value, owner, repository), (value, owner), (value), each combined before
     its shuffle, so a value in a third of all rows is no hot key. Verdicts are per content, never per id: null or
-    repeated ids do no harm. Null and empty texts have no spans. Null owners count as one owner, null repositories as one.
+    repeated ids do no harm. Null and empty texts have no spans. Null owners count as one owner, null repositories as one, apart from empty ones.
     Other columns pass through, save those with the names of the results, which are replaced.
     """
     own = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "live_spans"]
     keep = [c for c in docs.columns if c not in own]
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*_key(F.col(text)), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"), t.alias("t"))
+    rows = docs.select(*_key(F.col(text)), _named(owner).alias("owner"), _named(repo).alias("repo"), t.alias("t"))
     rows = rows.withColumn("low", F.lower("t")).select("_k1", "_k2", "owner", "repo", _spans(F.col("t"), F.col("low")).alias("s"))
     found = cut(rows.where(F.size("s") > 0), "candidates")
     values = found.select("owner", "repo", F.explode(F.array_distinct(F.col("s.v"))).alias("v")).distinct()
     values = values.groupBy("v", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("v").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    verdicts = cut(values.select("v", (F.col("owners") <= max_owners).alias("live")), "verdicts")
+    verdicts = cut(values.select("v", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live")), "verdicts")
     contents = cut(found.groupBy("_k1", "_k2").agg(F.first("s").alias("s")), "contents")
     spans = contents.select("_k1", "_k2", F.explode("s").alias("x")).select("_k1", "_k2", "x.*").join(verdicts, "v")
     spans = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "kind", "end", "live")).alias("all"))
@@ -118,7 +123,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS owner, coalesce(text, '') AS t FROM documents),
 m AS (
   SELECT doc_id, owner, kind, name, least, f, v, g, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) AS i
   FROM (
@@ -139,7 +144,7 @@ s AS (
   SELECT doc_id, owner, kind, name, least, v, CAST(sum(length(g) + length(f)) OVER w - length(f) AS BIGINT) AS a, CAST(sum(length(g) + length(f)) OVER w AS BIGINT) AS b
   FROM m WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
 c AS (SELECT * FROM s WHERE length(v) >= least),
-live AS (SELECT v, count(DISTINCT owner) <= 2 AS live FROM c GROUP BY v),
+live AS (SELECT v, count(DISTINCT owner) <= 2 AND count(DISTINCT coalesce('=' || doc_id, '')) <= 1000 AS live FROM c GROUP BY v),
 spans AS (
   SELECT c.*, live FROM c JOIN live USING (v)
   WHERE kind < 3 OR (live AND NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.a < c.b AND c.a < b.b))),

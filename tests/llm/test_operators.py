@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
-import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -343,5 +342,34 @@ def test_language_edges(spark):
     assert len(out) == len(EDGES)
     assert all((r.lang_pred == "und") == (r.doc_id in (1, 2, 3)) for r in out if r.doc_id is not None)
     assert predict(edge_docs(spark).limit(0), model, F.lit(False)).collect() == []
-    with pytest.raises(ValueError):
-        fit(docs.limit(0))
+    none = fit(docs.limit(0))
+    assert predict(edge_docs(spark).limit(0), none, F.lit(False)).collect() == []
+    out = predict(edge_docs(spark), none, F.lit(False)).collect()
+    assert len(out) == len(EDGES) and all((r.lang_pred, r.score, r.rejected) == ("und", 0.0, True) for r in out)
+
+
+def test_language_equals_a_plain_search(spark):
+    """Every prediction against cosines taken one by one in double precision, from counts made without hashing tricks."""
+    from terrakey.llm.language_id import DIMENSIONS, LENGTHS
+    from terrakey.llm.wordhash import mix
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60)
+    model = fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    got = {r.doc_id: r for r in predict(docs, model, F.lit(False)).collect()}
+    for d in docs.collect():
+        data = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]", b" ", d.text.encode().lower())
+        counts = Counter()
+        for n in LENGTHS:
+            for i in range(len(data) - n + 1):
+                g = data[i : i + n]
+                if 32 not in g[1:-1] and (n > 1 or g != b" "):
+                    h = 0
+                    for c in g:
+                        h = (h * 257 + c) % (1 << 64)
+                    counts[int(mix(np.array([(h + (n << 56)) % (1 << 64)], np.uint64))[0] >> np.uint64(51))] += 1
+        x = np.zeros(DIMENSIONS)
+        for k, v in counts.items():
+            x[k] = np.log1p(v) * model.idf[k]
+        near = {k: max(float(x @ c) for c, o in zip(model.centroids, model.owner) if o == i) / (np.linalg.norm(x) or 1) for i, k in enumerate(model.languages)}
+        best = max(near.values())
+        assert abs(got[d.doc_id].score - min(max(best, 0), 1)) < 1e-4 and near[got[d.doc_id].lang_pred] > best - 1e-4

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrakey.llm.common import cut, small_batches
 from terrakey.llm.decontamination import contamination
-from terrakey.llm.near_dedup import near_groups
+from terrakey.llm.near_dedup import BROADCAST, near_groups
 from terrakey.llm.packing import pack_documents
 from terrakey.llm.quality import quality
 from terrakey.llm.secrets import redacted, scan_secrets
@@ -29,20 +29,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts are compared on five-word shingles at a similarity of 0.8. Rows are told apart by id and text, so a text whose id
     another document has too is judged for itself, and null ids, which come last, are ids like any other. Of rows with
-    equal id and text the one with the smallest other columns stays. Texts without a word are in no group and stay.
+    equal id and text the one with the smallest other columns stays. Texts without a word are in no group and stay. Up to
+    BROADCAST keys of rows that go are broadcast; beyond that the texts are shuffled once to meet them.
     """
     content = F.xxhash64("text")
     groups = near_groups(docs).where("component is not null").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row"))
     least = groups.groupBy("component").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     groups = cut(groups.join(least, "component").select("row.doc_id", "row.text_hash", (F.col("row") == F.col("least")).alias("first")), "copies")
+    key = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")]
+    often = cut(groups.where("first").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "repeated")
+    out = cut(groups.where("not first").select(*key).distinct().union(often), "dropped")
+    often, out = (F.broadcast(x) if x.count() <= BROADCAST else x for x in (often, out))
     same = [docs["doc_id"].eqNullSafe(F.col("_d")), content == F.col("_h")]
-    gone = groups.where("not first").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    often = groups.where("first").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    often = cut(often.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "repeated")
-    left = docs.select(COLUMNS).join(gone, same, "left_anti")
-    once = left.join(often, same, "left_anti")
+    once = docs.select(COLUMNS).join(out, same, "left_anti")
     others = ["lang", "source", "n_chars"]
-    again = left.join(often, same, "left_semi").groupBy("doc_id", content.alias("_h")).agg(F.min(F.struct(*others)).alias("x"), F.first("text").alias("text"))
+    again = docs.select(COLUMNS).join(often, same, "left_semi").groupBy("doc_id", content.alias("_h")).agg(F.min(F.struct(*others)).alias("x"), F.first("text").alias("text"))
     return once.unionByName(again.select("doc_id", "text", "x.*"))
 
 

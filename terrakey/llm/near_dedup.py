@@ -282,16 +282,17 @@ def _family_links(roots: DataFrame, comps: DataFrame, percent: int) -> DataFrame
 
     Every list first meets one member, at first the innermost, then others by hash, until this links nothing more: tight
     groups of copies become one component so. Then what is left of the lists meets, if components differ. ``els`` are all elements of
-    a node that others have too; ``m0`` and on are their parities.
+    a node that others have too; ``s`` is their number, ``m0`` and on are their parities. These travel with the posts and
+    leave few pairs, which alone meet ``els``.
     """
     here, often = _centred(roots, comps)
-    size, columns = 100 + percent, ["key", "comp", "d", "t", "els", *_parities()]
-    here = here.withColumn("d", F.size("delta")).withColumn("t", size * F.col("d") - (100 - percent) * F.col("n"))
+    size, columns = 100 + percent, ["key", "comp", "t", "s", *_parities()]
+    here = here.withColumn("t", size * F.size("delta") - (100 - percent) * F.col("n"))
     inner = here.groupBy("root").agg(F.min(F.struct("t", "key", "comp")).alias("least"))
     inner = cut(inner.select("root", F.col("least.t").alias("t0"), F.col("least.comp").alias("comp0")), "inner")
     here = here.join(inner, "root").withColumn("in", F.col("t") + F.col("t0") <= 0)
     comps, names = _merged(comps, here.where("in and comp <> comp0").select(F.col("comp").alias("ca"), F.col("comp0").alias("cb")))
-    here = here.select("root", "key", "comp", "d", "t", "delta", F.when(F.col("in"), F.col("t") - F.col("t0")).otherwise(F.col("t") + F.col("t0")).alias("share"))
+    here = here.select("root", "key", "comp", "t", "delta", F.when(F.col("in"), F.col("t") - F.col("t0")).otherwise(F.col("t") + F.col("t0")).alias("share"))
     if names is not None:
         here = _renamed(here, names)
     els = here.select("key", "root", F.explode("delta").alias("e")).join(often, ["root", "e"])
@@ -300,14 +301,19 @@ def _family_links(roots: DataFrame, comps: DataFrame, percent: int) -> DataFrame
     prefix = F.slice("els", 1, F.greatest(F.lit(0), F.size("els") - F.col("share") + 1))
     here = here.withColumn("prefix", F.transform(prefix, lambda x: x["e"])).withColumn("els", F.transform("els", lambda x: x["e"]))
     parity = "aggregate(els, 0L, (acc, x) -> acc ^ if(x % {n} = {j}, shiftleft(1L, cast(x div {n} % 64 as int)), 0L)) as m{j}"
-    here = here.select("root", "prefix", "key", "comp", "d", "t", "els", *(F.expr(parity.format(n=PARITY, j=j)) for j in range(PARITY)))
+    here = here.select("root", "prefix", "key", "comp", "t", F.size("els").alias("s"), "els", *(F.expr(parity.format(n=PARITY, j=j)) for j in range(PARITY)))
+    here = cut(here, "members")
     posts = cut(here.select("root", F.explode("prefix").alias("e"), *columns), "posts")
+    both = F.col("t_a") + F.col("t_b")
+    near = (F.col("comp_a") != F.col("comp_b")) & (both <= size * (F.col("s_a") + F.col("s_b") - _odd("_a", "_b")))
 
-    def near(s: str, t: str) -> Column:
-        both = F.col(f"t{s}") + F.col(f"t{t}")
-        shared = F.size(F.array_intersect(f"els{s}", f"els{t}"))
-        most = F.size(f"els{s}") + F.size(f"els{t}") - _odd(s, t)
-        return (F.col(f"comp{s}") != F.col(f"comp{t}")) & (both <= size * most) & (both <= 2 * size * shared)
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Pairs of components (ca, cb) from those pairs of nodes that do share enough."""
+        pairs = cut(pairs.select("key_a", "key_b", "comp_a", "comp_b", both.alias("both")).distinct(), "near")
+        for x in ("a", "b"):
+            pairs = pairs.join(here.select(F.col("key").alias(f"key_{x}"), F.col("els").alias(f"els_{x}")), f"key_{x}")
+        pairs = pairs.where(F.col("both") <= 2 * size * F.size(F.array_intersect("els_a", "els_b")))
+        return pairs.select(F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"))
 
     names, turn = comps, 0
     while names is not None:
@@ -315,16 +321,16 @@ def _family_links(roots: DataFrame, comps: DataFrame, percent: int) -> DataFrame
         lists = posts.groupBy("root", "e").agg(F.min(F.struct(rank.alias("rank"), *columns)).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         lists = lists.where("lo <> hi").select("root", "e", *(F.col(f"lead.{c}").alias(f"{c}_b") for c in columns))
         met = posts.select("root", "e", *(F.col(c).alias(f"{c}_a") for c in columns)).join(cut(lists, "leaders"), ["root", "e"]).where("key_a <> key_b")
-        met = cut(met.select("root", "e", *(F.col(f"{c}_a").alias(c) for c in columns), "comp_b", near("_a", "_b").alias("linked")), "met")
-        comps, names = _merged(comps, met.where("linked").select(F.col("comp").alias("ca"), F.col("comp_b").alias("cb")))
+        met = cut(met.select("root", "e", *(F.col(f"{c}_a").alias(c) for c in columns), "key_b", "comp_b", "t_b", near.alias("near")), "met")
+        pairs = met.where("near").select(F.col("key").alias("key_a"), "key_b", F.col("comp").alias("comp_a"), "comp_b", F.col("t").alias("t_a"), "t_b")
+        comps, names = _merged(comps, linked(pairs))
         # A list's member that has met all others leaves it.
         posts, turn = met.select("root", "e", *columns), turn + 1
         if names is not None:
             posts = _renamed(posts, names)
     lists = posts.groupBy("root", "e").agg(F.count(F.lit(1)).alias("nn"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
     met = _sides(*_blocks(posts, ["root", "e"], cut(lists, "mixed")), ["root", "e"], columns)
-    met = met.where((F.col("key_a") < F.col("key_b")) & near("_a", "_b"))
-    return _merged(comps, met.select(F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb")))[0]
+    return _merged(comps, linked(met.where((F.col("key_a") < F.col("key_b")) & near)))[0]
 
 
 def _across(posts: DataFrame, comps: DataFrame, roots: DataFrame, size: int, matches: int, percent: int) -> DataFrame:

@@ -15,7 +15,7 @@ from terrakey.llm.wordhash import U64, chunks, shingle_sets, signatures, words
 
 #: Rows of a posting list that meet in one task when all its pairs are wanted.
 BLOCK = 400
-#: Nodes, of 24 bytes each, that are broadcast at most.
+#: Rows, of up to 60 bytes each and without sets, that are broadcast at most.
 BROADCAST = 500_000
 #: Words of 64 bits for the parities of a set: of the numbers of its elements in 64 * PARITY classes.
 PARITY = 8
@@ -81,14 +81,23 @@ def _collisions(x: list[str], y: list[str]) -> Column:
     return F.lit(8 * len(x)) - differing
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """The written table ``rows``, to be broadcast if it has up to BROADCAST rows; a longer one is shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def _sets(wanted: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets, sorted, of nodes (key, loc). A list of up to BROADCAST nodes is broadcast, a longer one shuffled."""
-    wanted = cut(wanted, "wanted")
-    if wanted.count() <= BROADCAST:
-        wanted = F.broadcast(wanted)
+    """Full shingle sets, sorted, of nodes (key, loc), one row each. They are not shuffled but for nodes whose row is repeated."""
+    wanted = _few(cut(wanted, "wanted"))
     found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>, " + ", ".join(f"{m} long" for m in _parities()))
     with small_batches(ids.sparkSession):
-        return cut(found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("shingles", *_parities()))), "sets")
+        found = cut(found, "sets")
+    often = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
+    if not often.limit(1).count():
+        return found
+    often = _few(often)
+    one = found.join(often, "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in ("shingles", *_parities())))
+    return cut(found.join(often, "key", "left_anti").unionByName(one), "sets")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +117,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The written table ``pairs`` with both sets: those of a travel once, to b, which is in many pairs."""
     sa = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi")
-    return pairs.join(sa, "a").join(sb, "b")
+    sb = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).join(_few(cut(pairs.select("b").distinct(), "seconds")), "b", "left_semi")
+    return sa.join(_few(pairs), "a").join(sb, "b")
 
 
 def _similar(i: Column, both: Column, percent: int) -> Column:
@@ -192,7 +202,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = sets.union(_sets(either.join(sets.select("key"), "key", "left_anti").join(nodes.select("key", "loc"), "key"), ids, k))
     # The parities of both sets leave few pairs.
     for x in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("key").alias(x), *(F.col(m).alias(f"{m}_{x}") for m in _parities())), x)
+        pairs = cut(sets.select(F.col("key").alias(x), *(F.col(m).alias(f"{m}_{x}") for m in _parities())).join(_few(pairs), x), "odd")
     pairs = pairs.where((100 + percent) * _odd("_a", "_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     pairs = cut(pairs.select("a", "b", "ca", "cb"), "close")
     both = _with_sets(pairs, sets).select("ca", "cb", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))

@@ -246,8 +246,8 @@ def _renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, by: list[str], lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` of ``lists`` (by, nn) twice, so that each two rows of a list meet in one block (by, x, y) of about BLOCK rows a side."""
-    lists = lists.withColumn("nb", F.ceil(F.col("nn") / BLOCK).cast("int")).drop("nn")
+    """``rows`` of the written table ``lists`` (by, nn) twice, so that each two rows of a list meet in one block (by, x, y) of about BLOCK rows a side."""
+    lists = _few(lists).withColumn("nb", F.ceil(F.col("nn") / BLOCK).cast("int")).drop("nn")
     rows = rows.join(lists, by).withColumn("at", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
     one = rows.withColumn("x", F.col("at")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb", "at")
     two = rows.withColumn("y", F.col("at")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb", "at")
@@ -349,10 +349,13 @@ def _across(posts: DataFrame, comps: DataFrame, roots: DataFrame, size: int, mat
     One side leaves out the root that most nodes of the list have, as its nodes need not meet each other.
     """
     prints = _prints(size)
-    own = ["key", "n", "prefix", *prints, "comp", "root"]
+    own = ["key", "n", "before", *prints, "comp", "root"]
     named = comps.select(F.col("node").alias("key"), "comp")
     posts = posts.join(named, "key", "left").join(roots, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "root": F.coalesce("root", "key")})
-    posts = cut(posts.select(*own, F.explode("prefix").alias("p")).select("p.c", "p.v", *own), "across")
+    posts = posts.withColumn("p", F.explode("prefix"))
+    # The lists of earlier coordinates that the node is in as well.
+    before = F.transform(F.filter("prefix", lambda x: x["c"] < F.col("p.c")), lambda x: x["c"].cast("long") * (1 << 32) + x["v"])
+    posts = cut(posts.withColumn("before", before).select("p.c", "p.v", *own), "across")
     tops = posts.groupBy("c", "v", "root").agg(F.count(F.lit(1)).alias("nr"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     lists = tops.groupBy("c", "v").agg(F.sum("nr").alias("nn"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("nr", "root")).alias("top"))
     lists = cut(lists.where((F.col("lo") != F.col("hi")) & (F.col("nn") > F.col("top.nr"))).select("c", "v", "nn", F.col("top.root").alias("top")), "mixed")
@@ -361,7 +364,7 @@ def _across(posts: DataFrame, comps: DataFrame, roots: DataFrame, size: int, mat
     apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top_b")) | (F.col("key_a") < F.col("key_b")))
     enough = _collisions([f"{p}_a" for p in prints], [f"{p}_b" for p in prints]) >= matches
     # Of the lists that a pair shares, the first alone gives the pair.
-    earlier = F.exists(F.array_intersect("prefix_a", "prefix_b"), lambda x: x["c"] < F.col("c"))
+    earlier = F.arrays_overlap("before_a", "before_b")
     met = met.where(apart & enough & _similar(F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b"), percent) & ~earlier)
     return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"), "n_a", "n_b")
 

@@ -33,7 +33,7 @@ def _signature_rows(k: int, size: int):
                 prints = np.ascontiguousarray((sig & 0xFF).astype(np.uint8)).view(np.int64)
                 columns = [x.slice(a, b - a) for x in (doc, loc, text_hash)] + [pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), lists]
                 columns += [pa.array(prints[:, j]) for j in range(size // 8)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "loc", "text_hash", "key", "n", "sig", *_prints(size)])
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "loc", "text_hash", "digest", "n", "sig", *_prints(size)])
 
     return run
 
@@ -41,7 +41,7 @@ def _signature_rows(k: int, size: int):
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, text = batch.columns
+            key, digest, text = batch.columns
             for a, b, data, offsets in chunks(text):
                 hashes, counts = shingle_sets(words(data, offsets), k)
                 _, keys = signatures(hashes, counts, 1)
@@ -50,9 +50,9 @@ def _set_rows(k: int):
                 bits = 64 * PARITY
                 place = np.repeat(np.arange(b - a), counts) * bits + (hashes % U64(bits)).astype(np.int64)
                 odd = np.packbits((np.bincount(place, minlength=(b - a) * bits) & 1).astype(bool)).view(np.int64).reshape(b - a, PARITY)
-                columns = [key.slice(a, b - a), lists, pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(odd[:, j])) for j in range(PARITY))]
-                out = pa.RecordBatch.from_arrays(columns, ["key", "shingles", "own", *_parities()])
-                yield out.filter(pa.compute.equal(out["key"], out["own"])).drop_columns(["own"])
+                columns = [key.slice(a, b - a), digest.slice(a, b - a), lists, pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(odd[:, j])) for j in range(PARITY))]
+                out = pa.RecordBatch.from_arrays(columns, ["key", "digest", "shingles", "own", *_parities()])
+                yield out.filter(pa.compute.equal(out["digest"], out["own"])).drop_columns(["digest", "own"])
 
     return run
 
@@ -87,9 +87,9 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets, sorted, of nodes (key, loc), one row each. They are not shuffled but for nodes whose row is repeated."""
+    """Full shingle sets, sorted, of nodes (key, digest, loc), one row each. They are not shuffled but for nodes whose row is repeated."""
     wanted = _few(cut(wanted, "wanted"))
-    found = ids.join(wanted, "loc").select("key", "text").mapInArrow(_set_rows(k), "key binary, shingles array<long>, " + ", ".join(f"{m} long" for m in _parities()))
+    found = ids.join(wanted, "loc").select("key", "digest", "text").mapInArrow(_set_rows(k), "key long, shingles array<long>, " + ", ".join(f"{m} long" for m in _parities()))
     with small_batches(ids.sparkSession):
         found = cut(found, "sets")
     often = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
@@ -160,14 +160,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = _prints(size)
     ids = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ids = ids.select("doc", F.coalesce("doc", F.xxhash64("text")).alias("loc"), F.xxhash64("text").alias("text_hash"), "text")
-    schema = "doc long, loc long, text_hash long, key binary, n long, sig array<int>, " + ", ".join(f"{p} long" for p in prints)
+    schema = "doc long, loc long, text_hash long, digest binary, n long, sig array<int>, " + ", ".join(f"{p} long" for p in prints)
     with small_batches(docs.sparkSession):
         rows = cut(ids.mapInArrow(_signature_rows(k, size), schema), "signatures")
     one = [F.first(c).alias(c) for c in ("n", "sig", *prints)]
-    nodes = cut(rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("low"), F.min("loc").alias("loc"), *one), "nodes")
+    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("low"), F.min("loc").alias("loc"), *one)
+    # Short numbers in place of digests; the written table fixes them.
+    nodes = cut(nodes.withColumn("key", F.monotonically_increasing_id()), "nodes")
     posted = nodes.select("key", F.posexplode("sig").alias("c", "v"))
     freq = cut(posted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "values")
-    shared = posted.join(freq, ["c", "v"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "c", "v"))).alias("p"))
+    # Dealt by key first: partial lists of one entry each would be longer than the rows.
+    shared = posted.join(freq, ["c", "v"]).repartition("key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "c", "v"))).alias("p"))
     shared = shared.where(F.size("p") >= matches)
     # Values of one node alone are the rarest and take places of the prefix first.
     prefix = F.slice("p", 1, F.size("p") - matches + 1)
@@ -189,8 +192,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = pivots.join(roots, "a").select("a", F.explode(F.array_distinct(F.array("b", "root"))).alias("b"), F.col("root").alias("r"))
     pairs = cut(pairs.select("a", "b", (F.col("b") == F.col("r")).alias("root")), "pairs")
     either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = _sets(either.join(nodes.select("key", "loc"), "key"), ids, k)
-    measured = _with_sets(pairs, sets).select("a", "b", "root", "sa", "sb").mapInArrow(_measure, "a binary, b binary, root boolean, i long, na long, nb long, delta array<long>")
+    places = nodes.select("key", "digest", "loc")
+    sets = _sets(places.join(either, "key"), ids, k)
+    measured = _with_sets(pairs, sets).select("a", "b", "root", "sa", "sb").mapInArrow(_measure, "a long, b long, root boolean, i long, na long, nb long, delta array<long>")
     with small_batches(docs.sparkSession):
         measured = cut(measured, "measured")
     comps = components(measured.where((F.col("a") != F.col("b")) & _similar(F.col("i"), F.col("na") + F.col("nb"), percent)).select("a", "b"))
@@ -199,7 +203,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = measured.where("root").select(F.col("a").alias("key"), F.col("b").alias("root"))
     pairs = cut(_across(shared, comps, roots, size, matches, percent), "pairs")
     either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = sets.union(_sets(either.join(sets.select("key"), "key", "left_anti").join(nodes.select("key", "loc"), "key"), ids, k))
+    sets = sets.union(_sets(places.join(either.join(sets.select("key"), "key", "left_anti"), "key"), ids, k))
     # The parities of both sets leave few pairs.
     for x in ("a", "b"):
         pairs = cut(sets.select(F.col("key").alias(x), *(F.col(m).alias(f"{m}_{x}") for m in _parities())).join(_few(pairs), x), "odd")
@@ -207,13 +211,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = cut(pairs.select("a", "b", "ca", "cb"), "close")
     both = _with_sets(pairs, sets).select("ca", "cb", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
     comps, _ = _merged(comps, both.where(_similar(F.col("i"), F.col("n"), percent)).select("ca", "cb"))
-    low = nodes.select("key", "low")
+    low = nodes.select("digest", "key", "low")
     named = comps.join(low, comps["node"] == low["key"]).select("node", "comp", "low")
     least = cut(named.groupBy("comp").agg(F.min("low").alias("first")), "least")
     joined = cut(comps.join(least, "comp").select(F.col("node").alias("key"), "first", "comp"), "joined")
-    low = cut(low.join(joined, "key", "left").select("key", F.coalesce("first", "low").alias("low"), F.coalesce("comp", "key").alias("comp")), "components")
-    out = rows.select("doc", "n", "key", "text_hash").join(low, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("low"))
+    low = cut(low.join(joined, "key", "left").select("digest", F.coalesce("first", "low").alias("low"), F.coalesce("comp", "key").alias("comp")), "components")
+    out = rows.select("doc", "n", "digest", "text_hash").join(low, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc")).otherwise(F.col("low"))
     kept = F.coalesce(F.col("doc") == component, F.lit(False))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "text_hash", F.col("comp").alias("component"))
 

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from terrakey.operators import kernels as k
+from terrakey.operators.rounds import cut
 
 FIT_SCHEMA = "run string, n_matches int, n_inliers int, h array<double>, degenerate boolean, rmse double, heldout_px double, precision_px double, heldout_h double, heldout_hpoly double, detector string"
 
@@ -63,22 +65,28 @@ def lock_pairs(pairs: DataFrame) -> DataFrame:
 def greedy_dedup(tiles: DataFrame, distance: float = 256.0) -> DataFrame:
     """Tiles (family, idx, x, y) with ``keep``: in order of idx a tile is dropped within ``distance`` on both axes of one kept before.
 
-    The rule depends on the order within a family, so a family is one group. Kept tiles are hashed to a grid of that distance: a tile
-    looks at nine cells only, whatever the family's size.
+    Decided in rounds over cells of that distance. A cell's tiles are all near each other, so only its first can be kept: it
+    is, once no earlier undecided tile of the nine cells around is near it, and it drops what is near. A tile meets at most
+    nine firsts, whatever the family's size. Equal idx: the tile read first. Tiles without a finite place are near nothing
+    and kept; a null family is a family, a null idx comes first.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        kept: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        flags = []
-        for x, y in zip(pdf["x"], pdf["y"], strict=True):
-            cx, cy = int(x // distance), int(y // distance)
-            near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in kept.get((cx + i, cy + j), ()))
-            ok = not any(abs(x - p[0]) < distance and abs(y - p[1]) < distance for p in near)
-            if ok:
-                kept.setdefault((cx, cy), []).append((x, y))
-            flags.append(ok)
-        return pdf[["family", "idx"]].assign(keep=flags)
-
-    kinds = {c: tiles.schema[c].dataType.simpleString() for c in ("family", "idx")}
-    return tiles.groupBy("family").applyInPandas(fold, f"family {kinds['family']}, idx {kinds['idx']}, keep boolean")
+    def key(dx: int = 0, dy: int = 0) -> Column:
+        return F.struct("family", (F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"))
+
+    placed = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
+    rows = tiles.select("family", "idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("id", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("placed", placed))
+    done = rows.where(~F.col("placed")).select("family", "idx", F.lit(True).alias("keep"))
+    left = rows.where("placed").select("family", "id", F.struct("idx", "id").alias("at"), "x", "y", F.floor(F.col("x") / distance).alias("cx"), F.floor(F.col("y") / distance).alias("cy"))
+    while not left.isEmpty():
+        first = left.groupBy(key().alias("cell")).agg(F.min(F.struct("at", "x", "y")).alias("f"))
+        around = left.withColumn("cell", F.explode(F.array(*(key(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
+        near = (F.abs(F.col("x") - F.col("f.x")) < distance) & (F.abs(F.col("y") - F.col("f.y")) < distance)
+        met = cut(around.join(first, "cell").where(near).select("family", "id", "at", "f"))
+        kept = met.groupBy("f.at.id").agg(F.bool_or(F.col("at") < F.col("f.at")).alias("waits")).where("not waits").select("id")
+        decided = met.join(kept.toDF("kept"), F.col("f.at.id") == F.col("kept"))
+        decided = cut(decided.groupBy("id").agg(F.first("family").alias("family"), F.first("at.idx").alias("idx"), F.bool_or(F.col("id") == F.col("kept")).alias("keep")))
+        done = done.unionByName(decided.drop("id"))
+        left = cut(left.join(decided.select("id"), "id", "left_anti"))
+    return done

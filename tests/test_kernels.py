@@ -187,3 +187,29 @@ def test_stream_of_verdicts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r.n for r in spark.table("verdicts").collect()) == 12
+
+
+def first_come(rows, distance):
+    kept, out = {}, []
+    for family, idx, x, y in sorted(rows, key=lambda r: r[1]):
+        ok = x is None or y is None or not any(abs(x - u) < distance and abs(y - v) < distance for u, v in kept.get(family, []))
+        if ok and x is not None and y is not None:
+            kept.setdefault(family, []).append((x, y))
+        out.append((family, idx, ok))
+    return out
+
+
+@pytest.mark.parametrize("side", [300, 1500, 6000])
+def test_greedy_dedup_in_rounds_equals_the_fold(spark, side):
+    rng = np.random.default_rng(side)
+    rows = [(["a", "b", None][i % 3], int(i), float(rng.integers(-side, side)), float(rng.integers(-side, side))) for i in rng.permutation(400)]
+    rows += [("a", 1000, None, 1.0), ("a", 1001, 5.0, None)] + [("chain", i, 200.0 * i, 0.0) for i in range(8)]
+    tiles = spark.createDataFrame(rows, "family string, idx long, x double, y double")
+    assert sorted(map(str, map(tuple, greedy_dedup(tiles).collect()))) == sorted(map(str, first_come(rows, 256.0)))
+
+
+def test_greedy_dedup_of_odd_tables(spark):
+    schema = "family string, idx long, x double, y double, cell string"
+    assert greedy_dedup(spark.createDataFrame([], schema)).count() == 0
+    twice = spark.createDataFrame([("a", 1, 2.0, 2.0, "x")] * 2 + [("a", None, float("nan"), 2.0, None)], schema)
+    assert sorted(str(r["keep"]) for r in greedy_dedup(twice).collect()) == ["False", "True", "True"]

@@ -88,7 +88,7 @@ def policy(runs: DataFrame, arms: list[str]) -> DataFrame:
 def residual_coherence(points: DataFrame, by: str, k: int = 8, leaf: int = 12) -> DataFrame:
     """Correlation of each residual with the mean of its ``k`` nearest neighbours, averaged over x and y.
 
-    Points are (``by``, idx, x, y, rx, ry), idx being unique over all runs. Neighbours are exact, at any distance, ties by idx. A run's square is cut into cells
+    Points are (``by``, idx, x, y, rx, ry), idx being unique over all runs. Neighbours are exact, at any distance, by squared distance, ties by idx. A run's square is cut into cells
     on levels of twice the side each. A point takes the finest level on which its own cell holds more than ``k`` and
     ``leaf`` points: its k nearest lie within the cell's diagonal, so within the 3 x 3 cells of the next level, whatever the
     density around it. These blocks meet in ``knn``. Groups of fewer than 40 points are left out.
@@ -117,7 +117,7 @@ def residual_coherence(points: DataFrame, by: str, k: int = 8, leaf: int = 12) -
     b = p.join(others, [by, *at]).select(block, "idx", desc)
     # One neighbour more, as a point may meet itself among them.
     sizes = own.groupBy(block).agg(F.sum("n").alias("na")).join(others.groupBy(block).agg(F.sum("n").alias("nb")), "run")
-    found = knn(a, b, k + 1, sizes=sizes).select(F.col("idx_a").alias("idx"), F.col("idx_b").alias("idx2"), "rank")
+    found = knn(a, b, k + 1, sizes=sizes, squared=True).select(F.col("idx_a").alias("idx"), F.col("idx_b").alias("idx2"), "rank")
     theirs = points.select(F.col("idx").alias("idx2"), F.col("rx").alias("rx2"), F.col("ry").alias("ry2"))
     own_row = F.col("idx") == F.col("idx2")
     sums = [F.sum(F.when(~own_row & (F.col("rank") <= k), F.col(c))).alias(f"{c}_s") for c in ("rx2", "ry2")] + [F.max(F.when(~own_row & (F.col("rank") > k), F.col(c))).alias(f"{c}_e") for c in ("rx2", "ry2")]

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def knn(a: DataFrame, b: DataFrame, k: int = 2, block: int = 2048, sizes: DataFrame | None = None) -> DataFrame:
+def knn(a: DataFrame, b: DataFrame, k: int = 2, block: int = 2048, sizes: DataFrame | None = None, squared: bool = False) -> DataFrame:
     """The ``k`` nearest rows of ``b`` for each row of ``a`` within a run, by Euclidean distance.
 
     Both sides have ``run``, ``idx`` and ``desc`` (array of doubles). Runs are cut into blocks of about ``block`` rows on
     either side; a task holds one pair of blocks and multiplies matrices, then the best of all blocks are merged by rank. Ties
     go to the smaller index of ``b``. Rows without descriptor take no part. ``sizes`` (run, na, nb), if known, are the rows of
-    either side, and save counting them.
+    either side, and save counting them. ``squared`` ranks by the squares, which differ where roots may round to one number,
+    and gives them as ``dist``.
 
     (run, idx_a, idx_b, dist, rank from 1).
     """
@@ -33,6 +34,8 @@ def knn(a: DataFrame, b: DataFrame, k: int = 2, block: int = 2048, sizes: DataFr
     left, right = dealt(a, "na", "nb", "ba", "bb"), dealt(b, "nb", "na", "bb", "ba").toDF("run_r", "idx_r", "desc_r", "ba_r", "bb_r")
     run_type, ia, ib = a.schema["run"].dataType.simpleString(), a.schema["idx"].dataType.simpleString(), b.schema["idx"].dataType.simpleString()
 
+    measure = (lambda d: d) if squared else np.sqrt
+
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"run": [], "idx_a": [], "idx_b": [], "dist": []})
@@ -45,7 +48,7 @@ def knn(a: DataFrame, b: DataFrame, k: int = 2, block: int = 2048, sizes: DataFr
         else:
             rough = (p * p).sum(axis=1)[:, None] - 2 * p @ q.T + (q * q).sum(axis=1)
         near = np.sort(np.argpartition(rough, m - 1, axis=1)[:, :m], axis=1)
-        exact = np.sqrt(((p[:, None, :] - q[near]) ** 2).sum(axis=2))
+        exact = measure(((p[:, None, :] - q[near]) ** 2).sum(axis=2))
         pick = np.argsort(exact, axis=1, kind="stable")[:, :k]
         # Where the last of these ties with what was left out, all of them are sorted.
         last = np.take_along_axis(near, np.argmax(np.take_along_axis(rough, near, axis=1), axis=1)[:, None], axis=1)
@@ -54,7 +57,7 @@ def knn(a: DataFrame, b: DataFrame, k: int = 2, block: int = 2048, sizes: DataFr
         if len(tied):
             near, exact = near.copy(), exact.copy()
             for i in tied:
-                d = np.sqrt(((p[i] - q) ** 2).sum(axis=1))
+                d = measure(((p[i] - q) ** 2).sum(axis=1))
                 near[i] = np.argsort(d, kind="stable")[:m]
                 exact[i] = d[near[i]]
             pick[tied] = np.arange(pick.shape[1])

@@ -213,3 +213,25 @@ def test_greedy_dedup_of_odd_tables(spark):
     assert greedy_dedup(spark.createDataFrame([], schema)).count() == 0
     twice = spark.createDataFrame([("a", 1, 2.0, 2.0, "x")] * 2 + [("a", None, float("nan"), 2.0, None)], schema)
     assert sorted(str(r["keep"]) for r in greedy_dedup(twice).collect()) == ["False", "True", "True"]
+
+
+def test_neighbours_by_squares_where_roots_are_equal(spark):
+    # Two squares that differ in their last bit and have one root: the nearer point has the larger idx.
+    far = 1.0
+    while np.sqrt(far) != np.sqrt(np.nextafter(far, 0)):
+        far = np.nextafter(far, 2)
+    near = np.nextafter(far, 0)
+    x, y = np.sqrt(near), 0.0
+    while x * x != near:
+        x = np.nextafter(x, 0)
+        y = np.sqrt(max(near - x * x, 0.0))
+        if x * x + y * y == near:
+            break
+    z, w = np.sqrt(far), 0.0
+    while z * z + w * w != far:
+        z = np.nextafter(z, 0)
+        w = np.sqrt(far - z * z)
+    points = spark.createDataFrame([("r", 9, [float(x), float(y)]), ("r", 5, [float(z), float(w)])], "run string, idx int, desc array<double>")
+    centre = spark.createDataFrame([("r", 1, [0.0, 0.0])], "run string, idx int, desc array<double>")
+    assert [r["idx_b"] for r in knn(centre, points, 1, squared=True).collect()] == [9]
+    assert [r["idx_b"] for r in knn(centre, points, 1).collect()] == [5]

@@ -39,9 +39,21 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: lineage ends here, and a lost executor costs only the tasks that read its blocks."""
+    path = written(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> str:
+    """``df`` as a new table in the shared folder: its path."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of this library that nothing reads any more, through the file system that Spark writes to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager

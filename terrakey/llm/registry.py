@@ -1,4 +1,4 @@
-"""The queries of the ten corpus operators, and SQL for those that SQL can express."""
+"""The queries of the corpus operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrakey.llm import quality, secrets
+from terrakey.llm import merkle, quality, secrets, sort_means
 from terrakey.llm.decontamination import op6_decontamination
 from terrakey.llm.html_text import op5_html_extraction
 from terrakey.llm.language_id import op10_language_id
@@ -27,6 +27,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op11_sort_means": sort_means.op11_sort_means,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op8_secret_scans": secrets.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE,
+    "op8_secret_scans": secrets.ORACLE,
+    "op11_sort_means": sort_means.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrakey.llm import merkle, quality, secrets, sort_means
+from terrakey.llm import merkle, quality, secrets, sort_means, vector_links
 from terrakey.llm.decontamination import op6_decontamination
 from terrakey.llm.html_text import op5_html_extraction
 from terrakey.llm.language_id import op10_language_id
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
     "op11_sort_means": sort_means.op11_sort_means,
+    "op12_nn_descent": vector_links.op12_nn_descent,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -35,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op8_secret_scans": secrets.ORACLE,
     "op11_sort_means": sort_means.ORACLE,
+    "op12_nn_descent": vector_links.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }

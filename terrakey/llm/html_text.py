@@ -29,16 +29,35 @@ BLOCKS = frozenset(
 # Elements, roles and class words that are not part of an article wherever they stand.
 OUTSIDE = frozenset("script style textarea title noscript iframe noembed noframes xmp template head nav footer aside form menu dialog button select object svg canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-CLASSES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotion|banner|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"sidebar|side|footer|masthead|topbar|cookies?|consent|notice|notices|alert|gdpr|modal|popup|overlay|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommended|recommendations|comments?|commentlist|disqus|replies|reply|respond|discussion|widget|pager|pagination|skip)(?:$|[\s_-])"
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner menu nav navbar navigation breadcrumb "
+    "breadcrumbs sidebar side footer masthead topbar cookie cookies consent notice notices alert gdpr modal popup overlay newsletter subscribe signup login "
+    "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget pager pagination skip".split()
 )
+#: Parts that may stand beside such words in a hyphenated name without giving it another meaning.
+PARTS = frozenset(
+    "area article bar block blog bottom box btn button container entry form global group header inner item items left link links list main outer page panel policy post posts "
+    "primary region right row secondary section site slot space thread title top unit widgets wp wrap wrapper".split()
+)
+#: Names of what holds an article: beside one, other names describe the layout and not the element.
+HOLDERS = frozenset("article body container content entry layout main page post story text wrapper".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<|[^<]+", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 
 
+def left_out(value: str) -> bool:
+    """Whether class or id names mark an element that is no part of an article.
+
+    A name counts as a whole. A hyphenated one counts if each of its parts is such a word or says only where or what kind of box it is.
+    """
+    names = value.split()
+    if any(n in HOLDERS for n in names):
+        names = [n for n in names if n in NAMES]
+    split = ([p for p in re.split(r"[-_]+", n) if p] for n in names)
+    return any(any(p in NAMES for p in parts) and all(p in NAMES or p in PARTS for p in parts) for parts in split)
+
+
 @dataclass
 class Token:
     """A run of words or a tag: its name with its first class, the depth of what lies outside, and its text."""
@@ -57,6 +76,7 @@ def tokens(page: str) -> Iterator[Token]:
     Unclosed elements end with the element that holds them; a stray end tag closes nothing.
     """
     stack: list[tuple[str, bool, bool]] = []
+    held: Counter[str] = Counter()
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
@@ -71,14 +91,16 @@ def tokens(page: str) -> Iterator[Token]:
         name = t[2].lower()
         block = name in BLOCKS
         if t[1]:
-            if any(name == x[0] for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+            while held[name]:
+                closed = stack.pop()[0]
+                held[closed] -= 1
+                if closed == name:
+                    break
             yield Token("/" + name, "", outside, block, marked)
             continue
         # What HTML closes by itself: a paragraph at the next block, a list item at the next one.
         if block and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
+            held[stack.pop()[0]] -= 1
             outside, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         label, off = name, name in OUTSIDE
         for a in _ATTRIBUTE.finditer(piece, t.end()):
@@ -86,7 +108,7 @@ def tokens(page: str) -> Iterator[Token]:
             if key == "class" and value.split():
                 label = f"{name}.{value.split()[0]}"
             if name not in ("html", "body", "main"):
-                off |= key in ("class", "id") and bool(CLASSES.search(value)) or key == "role" and value in ROLES
+                off |= key in ("class", "id") and left_out(value) or key == "role" and value in ROLES
                 off |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "")
         # A header belongs to the page unless it is an article's own.
         off |= name == "header" and not marked
@@ -96,6 +118,7 @@ def tokens(page: str) -> Iterator[Token]:
             at = end.end() if end else size
         elif name not in VOID and not piece.endswith("/>"):
             stack.append((name, outside or off, marked or name in ("article", "main")))
+            held[name] += 1
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

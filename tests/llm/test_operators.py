@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -373,3 +374,27 @@ def test_language_equals_a_plain_search(spark):
         near = {k: max(float(x @ c) for c, o in zip(model.centroids, model.owner) if o == i) / (np.linalg.norm(x) or 1) for i, k in enumerate(model.languages)}
         best = max(near.values())
         assert abs(got[d.doc_id].score - min(max(best, 0), 1)) < 1e-4 and near[got[d.doc_id].lang_pred] > best - 1e-4
+
+
+@pytest.mark.parametrize("start", [
+    '<div class="content no-sidebar">', '<div class="has-footer">', '<div class="layout sidebar-right">', '<div class="post share-enabled">', '<div class="entry related-topic">',
+    '<div class="notice-board-history">', '<div id="content-side">', '<article class="post comments-open">', '<div class="social-science">',
+])
+def test_html_class_words_that_only_resemble_boilerplate(start):
+    words = " ".join(f"word{i}" for i in range(60))
+    page = f"<html><body><nav><a>Home</a></nav>{start}<p>{words}</p></{'article' if 'article' in start else 'div'}></body></html>"
+    assert main_text(page, {}) == words
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "site-footer", "main-nav", "comments-area", "post-comments", "sidebar-right", "sidebar widget", "related_posts", "newsletter-signup-box"])
+def test_html_class_words_of_boilerplate(name):
+    words = " ".join(f"word{i}" for i in range(60))
+    assert main_text(f'<html><body><p>{words}</p><div class="{name}"><p>{words} more</p></div></body></html>', {}) == words
+
+
+def test_html_stray_end_tags_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert main_text("<div>" * 100_000 + "</p>" * 100_000 + " ".join(["word"] * 50), {}).startswith("word word")
+    assert time.perf_counter() - began < 20

@@ -5,22 +5,23 @@ Pairs are rows (pair, h_a, w_a, pixels_a, h_b, w_b, pixels_b), 8-bit, row by row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrakey.functions import homography as hg
 from terrakey.functions.scoring import lock_decision
 from terrakey.operators import kernels as k
-from terrakey.operators.matching import error_stats, knn, ratio_test
-from terrakey.operators.registration import fit_runs
+from terrakey.operators.features import DETECTORS, Keypoints, ratio_matches
 
-#: What detects here. Another name is answered with these and a note.
-DETECTOR = "corners"
+Detector = Callable[[np.ndarray, int], Keypoints]
+
+#: Detectors in the order in which they are asked.
+ORDER = ("gradient", "corners")
 WARNING = "too few inliers: the map is not constrained"
 
 
@@ -32,11 +33,42 @@ def image(p: dict, side: str) -> np.ndarray:
     return np.frombuffer(pixels, np.uint8).reshape(int(h), int(w))
 
 
-def keypoints(pairs: DataFrame, limit: int = 2048, max_side: int = 1024, suppress_shadows: bool = True) -> DataFrame:
-    """(run, side, idx, x, y, desc): the strongest ``limit`` corners of either side, in cells of the first image's frame.
+@dataclass
+class Detection:
+    """What the first working detector found on both sides of a pair, in cells of the first image's frame, and what went wrong before it."""
+
+    detector: str | None
+    notes: list[str]
+    a: Keypoints
+    b: Keypoints
+
+
+def detect(a: np.ndarray, b: np.ndarray, order: Sequence[str], limit: int, max_side: int, registry: Mapping[str, Detector]) -> Detection:
+    """Both images by the first detector of ``order`` that exists and does not raise; images above ``max_side`` are resized for it alone."""
+    notes: list[str] = []
+    for name in order:
+        if name not in registry:
+            notes.append(f"{name} is not available")
+            continue
+        try:
+            sides = []
+            for img in (a, b):
+                scale = min(1.0, max_side / max(img.shape))
+                small = img if scale == 1 else k.resize(img, tuple(max(1, round(n * scale)) for n in img.shape), "area")
+                found = registry[name](small, limit)
+                sides.append(replace(found, x=found.x / scale, y=found.y / scale, size=found.size / scale))
+        except Exception as e:  # noqa: BLE001  whatever a detector raises, the next one is asked
+            notes.append(f"{name} failed ({type(e).__name__}: {e})")
+            continue
+        return Detection(name, notes, *sides)
+    none = Keypoints(*(np.zeros(0) for _ in range(5)), np.zeros((0, 1)))
+    return Detection(None, notes, none, none)
+
 
-    The second image takes the first one's shape, both are normalised, and images above ``max_side`` are thinned out for the
-    detection alone. A task handles one pair at a time.
+def keypoints(pairs: DataFrame, limit: int = 2048, max_side: int = 1024, suppress_shadows: bool = True, order: Sequence[str] = ORDER, registry: Mapping[str, Detector] = DETECTORS) -> DataFrame:
+    """(run, side, idx, x, y, size, angle, response, desc, detector): the strongest ``limit`` keypoints of either side.
+
+    The second image takes the first one's shape, both are normalised. A task handles one pair at a time. Pairs with a null name or a missing image give none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,44 +77,98 @@ def keypoints(pairs: DataFrame, limit: int = 2048, max_side: int = 1024, suppres
                 a, b = image(p, "a"), image(p, "b")
                 if not a.size or not b.size:
                     continue
-                for side, img in (("a", a), ("b", k.resize(b, a.shape))):
-                    img = k.normalise(img, suppress_shadows)[0]
-                    factor = -(-max(img.shape) // max_side)
-                    xy, desc = k.corners(k.shrink(img, factor) if factor > 1 else img, limit)
-                    if len(xy):
-                        yield pd.DataFrame({"run": str(p["pair"]), "side": side, "idx": np.arange(len(xy), dtype=np.int32), "x": xy[:, 0] * factor, "y": xy[:, 1] * factor, "desc": list(desc)})
+                a, b = (k.normalise(x, suppress_shadows)[0] for x in (a, k.resize(b, a.shape)))
+                found = detect(a, b, order, limit, max_side, registry)
+                for side, kp in (("a", found.a), ("b", found.b)):
+                    if len(kp):
+                        yield pd.DataFrame({"run": str(p["pair"]), "side": side, "idx": np.arange(len(kp), dtype=np.int32), "x": kp.x, "y": kp.y, "size": kp.size, "angle": kp.angle, "response": kp.response, "desc": list(kp.desc), "detector": found.detector})
+
+    return pairs.where("pair is not null").mapInPandas(run, "run string, side string, idx int, x double, y double, size double, angle double, response double, desc array<double>, detector string")
+
+
+@dataclass
+class Settings:
+    """What a run may change: preparation, limits, tests and the fit."""
+
+    preprocess: str = "clahe"
+    suppress_shadows: bool = True
+    limit: int = 2048
+    max_side: int = 1024
+    ratio: float = 0.8
+    floor: float = 0.0
+    method: str = "magsac"
+    threshold: float = 3.0
+
+
+_FIGURES = (
+    "n_keypoints_a int, n_keypoints_b int, n_matches int, n_inliers int, h array<double>, rmse double, median double, p90 double, max double, degenerate boolean, "
+    "detector string, note string, heldout_px double, unif_cells double, unif_hull double, ncc_before double, ncc_after double, pre_ms double, match_ms double, fit_ms double"
+)
+RUN_SCHEMA = f"{_FIGURES}, inliers array<struct<idx_a: int, xa: double, ya: double, idx_b: int, xb: double, yb: double, err: double>>"
+
+
+def measured(a: np.ndarray, b: np.ndarray, order: Sequence[str], s: Settings, registry: Mapping[str, Detector], seed: int = 0) -> dict:
+    """One pair from pixels to figures: normalise, detect, match, fit, measure. Figures are None where there is no map."""
+    clock = [time.perf_counter()]
+    row: dict = {"n_keypoints_a": 0, "n_keypoints_b": 0, "n_matches": 0, "n_inliers": 0, "degenerate": True, "unif_cells": 0.0, "unif_hull": 0.0, "inliers": []}
+    if not a.size or not b.size:
+        return row
+    b = k.resize(b, a.shape)
+    prepare = k.shadow_norm if s.preprocess == "shadow_norm" else lambda x: k.normalise(x, s.suppress_shadows)[0]
+    pa, pb = prepare(a), prepare(b)
+    clock.append(time.perf_counter())
+    found = detect(pa, pb, order, s.limit, s.max_side, registry)
+    ia, ib, _, _ = ratio_matches(found.a.desc, found.b.desc, s.ratio, s.floor)
+    xy = np.c_[found.a.x, found.a.y][ia], np.c_[found.b.x, found.b.y][ib]
+    clock.append(time.perf_counter())
+    h, hit = k.robust_map(*xy, s.method, s.threshold, seed=seed)
+    clock.append(time.perf_counter())
+    row |= dict(zip(("pre_ms", "match_ms", "fit_ms"), (round(1000 * (t - u), 1) for u, t in zip(clock, clock[1:], strict=False)), strict=True))
+    row |= {"n_keypoints_a": len(found.a), "n_keypoints_b": len(found.b), "n_matches": len(ia), "n_inliers": int(hit.sum()), "degenerate": h is None or int(hit.sum()) <= 4, "detector": found.detector, "note": "; ".join(found.notes) or None}
+    full = np.ones(a.shape, bool)
+    row["ncc_before"] = k.masked_correlation(a, b, full)
+    if h is not None:
+        p, q = xy[0][hit], xy[1][hit]
+        e = k.residuals(h, p, q)
+        row |= {"h": (h / h[2, 2]).ravel().tolist(), "heldout_px": k.heldout_error(p, q, seed)} | k.spread(p, a.shape)
+        if len(e):
+            row |= {"rmse": float(np.sqrt((e**2).mean())), "median": float(np.median(e)), "p90": float(np.percentile(e, 90)), "max": float(e.max())}
+        if abs(np.linalg.det(h)) > 1e-12:
+            row["ncc_after"] = k.masked_correlation(np.round(k.warp(a, h, b.shape)), b, k.warp(full.astype(float), h, b.shape) > 0.5)
+        row["inliers"] = [dict(zip(("idx_a", "xa", "ya", "idx_b", "xb", "yb", "err"), x, strict=True)) for x in zip(ia[hit].tolist(), *p.T.tolist(), ib[hit].tolist(), *q.T.tolist(), e.tolist(), strict=True)]
+    return row
+
+
+def measured_rows(pairs: DataFrame, keep: list[str], s: Settings, registry: Mapping[str, Detector], order_col: str | None = None, order: Sequence[str] = ORDER, seed_col: str | None = None) -> DataFrame:
+    """``keep`` and the figures of each pair, without a shuffle: the limit of keypoints bounds what a pair needs, so it never leaves its task."""
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    names = [*keep, *(x.split()[0] for x in _FIGURES.split(", ")), "inliers"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf.to_dict("records"):
+                asked = list(p[order_col]) if order_col else order
+                row = measured(image(p, "a"), image(p, "b"), asked, s, registry, int(p[seed_col]) if seed_col and not pd.isna(p[seed_col]) else 0)
+                yield pd.DataFrame([dict.fromkeys(names) | {c: p[c] for c in keep} | row], columns=names)
 
-    return pairs.where("pair is not null").mapInPandas(run, "run string, side string, idx int, x double, y double, desc array<double>")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + RUN_SCHEMA
+    return pairs.mapInPandas(run, schema)
 
 
-def match_pairs(pairs: DataFrame, detector: str = DETECTOR, method: str = "magsac", threshold: float = 3.0, limit: int = 2048, ratio: float = 0.8, floor: float = 0.0, points: DataFrame | None = None) -> DataFrame:
-    """One row of metrics for each pair, from pixels: normalise, detect, match, fit, measure.
+def match_pairs(pairs: DataFrame, detector: str | None = None, settings: Settings | None = None, registry: Mapping[str, Detector] = DETECTORS) -> DataFrame:
+    """One row of metrics for each pair, from pixels.
 
     (run, n_keypoints_a, n_keypoints_b, n_matches, n_inliers, inlier_ratio, h, rmse, median, p90, max, degenerate, warning,
-    detector, note). Pairs without matches or map keep their row: counts are 0, figures null, the fit degenerate. The note
-    says so if another detector was asked for. ``points`` may be those of ``keypoints``, written before; else they are kept
-    in memory and on disk, as several joins read them.
+    detector, note). Pairs without matches or map keep their row: counts are 0, figures null, the fit degenerate; those with a null name
+    have none. ``detector`` is asked first, the others of ``ORDER`` for those pairs alone where it does not exist or raises; the note says so. A pair that
+    no detector can read has a null detector.
     """
-    if points is None:
-        points = keypoints(pairs, limit).persist(StorageLevel.MEMORY_AND_DISK)
-    a, b = (points.where(F.col("side") == s).select("run", "idx", "x", "y", "desc") for s in "ab")
-    counts = points.groupBy("run").agg(*(F.count_if(F.col("side") == s).alias(f"n_keypoints_{s}") for s in "ab"))
-    sizes = counts.where("n_keypoints_a > 0 and n_keypoints_b > 0").toDF("run", "na", "nb")
-    found = ratio_test(knn(a.select("run", "idx", "desc"), b.select("run", "idx", "desc"), sizes=sizes), ratio, floor)
-    found = found.join(a.select("run", F.col("idx").alias("idx_a"), F.col("x").alias("xa"), F.col("y").alias("ya")), ["run", "idx_a"])
-    found = found.join(b.select("run", F.col("idx").alias("idx_b"), F.col("x").alias("xb"), F.col("y").alias("yb")), ["run", "idx_b"])
-    fits = fit_runs(found, method, threshold).select("run", "n_matches", "n_inliers", "h", "degenerate")
-    x, y = hg.apply(hg.entries(F.col("h")), F.col("xa"), F.col("ya"))
-    errors = found.join(fits.select("run", "h").where("h is not null"), "run").select("run", F.hypot(x - F.col("xb"), y - F.col("yb")).alias("err"))
-    stats = error_stats(errors.where(F.col("err") <= threshold), ["run"]).drop("n")
-    out = pairs.where("pair is not null").select(F.col("pair").cast("string").alias("run")).distinct()
-    for part in (counts, fits, stats):
-        out = out.join(part, "run", "left")
-    out = out.fillna(0, ["n_keypoints_a", "n_keypoints_b", "n_matches", "n_inliers"]).fillna(True, ["degenerate"])
-    note = F.lit(None if detector == DETECTOR else f"{detector} is not available; {DETECTOR} ran").cast("string")
+    order = ORDER if detector is None else (detector, *(x for x in ORDER if x != detector))
+    named = pairs.where("pair is not null").withColumn("run", F.col("pair").cast("string"))
+    out = measured_rows(named, ["run"], settings or Settings(), registry, order=order)
     return out.select(
         "run", "n_keypoints_a", "n_keypoints_b", "n_matches", "n_inliers", (F.col("n_inliers") / F.greatest("n_matches", F.lit(1))).alias("inlier_ratio"), "h",
-        "rmse", "median", "p90", "max", "degenerate", F.when(F.col("degenerate"), WARNING).alias("warning"), F.lit(DETECTOR).alias("detector"), note.alias("note"),
+        *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("rmse", "median", "p90", "max")), "degenerate", F.when(F.col("degenerate"), WARNING).alias("warning"), "detector", "note",
     )
 
 

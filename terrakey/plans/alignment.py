@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakey.operators import alignment
+from terrakey.operators import alignment, arms
+from terrakey.operators import evaluation as ops
 from terrakey.operators import kernels as k
 from terrakey.operators.registration import map_tiles
-from terrakey.plans.common import Registry, r
+from terrakey.operators.rounds import fresh_path
+from terrakey.plans.common import Registry, r, table
 from terrakey.plans.registration import tiles
 
 query = Registry()
@@ -53,3 +56,84 @@ def locate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = {c: F.lit(32) for c in ("x_a", "y_a", "x_b", "y_b")} | {"gsd_a": F.lit(1.0), "gsd_b": F.lit(1.0)}
     out = alignment.locate_overlap(pairs(spark, sf_dir).withColumns(places), tile=32, across_m=12.0, along_m=12.0, decimation=1)
     return out.select("run", "decision", *(r(c, 3).alias(c) for c in ("peak", "ratio", "z", "dx", "dy", "shift_m_across", "shift_m_along", "gsd_ratio")), "window_a", "window_b")
+
+
+#: Side of a scene, and orders that one is drawn from, about.
+SIDE, ORDERS = 256, 750
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances (id, ..., images): a scene for some hundred orders, drawn as bumps, and the same scene turned, scaled or lit otherwise.
+
+    The number of scenes grows with the orders. Families: near (a small turn), scale, turn, and blind, whose true map is withheld. Some
+    instances have no lock or are excluded.
+    """
+    orders = table(spark, sf_dir, "orders")
+    n = max(2, orders.count() // ORDERS)
+    key = F.col("o_orderkey")
+    dots = orders.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("scene"), F.col("o_custkey").alias("c"), key.alias("o"), F.col("o_totalprice").cast("double").alias("v"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o", kind="stable")
+        i, img = int(pdf["scene"].iloc[0]), np.zeros((SIDE, SIDE))
+        where = np.random.default_rng(i).integers(0, SIDE, (len(pdf), 2))
+        strength = pdf["v"].to_numpy() / 1e5 * np.where(pdf["c"].to_numpy() % 2 == 0, 1, -1)
+        for part, sigma in enumerate((2.0, 3.5, 6.0)):
+            dots = np.zeros((SIDE, SIDE))
+            own = pdf["o"].to_numpy() % 3 == part
+            np.add.at(dots, (where[own, 0], where[own, 1]), strength[own] * sigma**2)
+            img += k.blur(dots, sigma)
+        a, family = k.stretch(img), ("near", "scale", "turn", "blind")[i % 4]
+        angle, size = np.radians({"near": 2, "scale": 5, "turn": 25 + i % 30, "blind": 3}[family]), 1.4 if family == "scale" else 1.0
+        c, s, mid = size * np.cos(angle), size * np.sin(angle), (SIDE - 1) / 2
+        h = np.array([[c, -s, mid - c * mid + s * mid + i % 7], [s, c, mid - s * mid - c * mid - i % 5], [0, 0, 1]])
+        b = np.clip(k.warp(a, h, a.shape, mirror=True) * 0.9 + 8, 0, 255).astype(np.uint8)
+        status = "NO_LOCK" if i % 19 == 7 else "FILL" if i % 23 == 11 else "OK"
+        row = {"id": f"i{i:06d}", "family": family, "provenance": "drawn", "split": "test" if i % 3 == 0 else "dev", "seed": i, "status": status, "texture": k.texture(a), "h_true": None if family == "blind" else h.ravel().tolist()}
+        row |= {f"{c}_{s}": v for s, x in (("a", a), ("b", b)) for c, v in (("h", SIDE), ("w", SIDE), ("pixels", x.tobytes()))}
+        return pd.DataFrame([row])
+
+    schema = ", ".join(f"{c} {t}" for c, t in arms.INSTANCE.items()) + ", " + ", ".join(f"h_{s} int, w_{s} int, pixels_{s} binary" for s in "ab")
+    return dots.groupBy("scene").applyInPandas(draw, schema)
+
+
+def judged_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole round of both arms over the scenes, from a new store."""
+    path = fresh_path(spark, "round")
+    arms.run_arms(scenes(spark, sf_dir), path, 1)
+    return arms.judged(arms.stored(spark, path))
+
+
+@query()
+def match_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scene against its turned or scaled image, from pixels to figures."""
+    s = scenes(spark, sf_dir).where("status = 'OK'").withColumn("pair", F.col("id"))
+    out = alignment.match_pairs(s)
+    return out.select("run", "n_keypoints_a", "n_keypoints_b", "n_matches", "n_inliers", r("rmse", 4).alias("rmse"), "degenerate", "detector", "note")
+
+
+@query()
+def two_arm_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both arms over all scenes, with errors, agreement, confirmation and verdicts."""
+    return judged_round(spark, sf_dir).select("id", "arm", "family", "split", "status", "terrain", "detector", "note", "n_keypoints_a", "n_keypoints_b", "n_matches", "n_inliers", *(r(c, 4).alias(c) for c in ("rmse", "err", "agree_px", "heldout_px", "ncc_before", "ncc_after", "unif_cells", "unif_hull")), "confirmed_by", "verdict", "subpixel", "uniform", "false_confidence")
+
+
+@query()
+def round_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What gates of trust accept in a round with known maps, against what is right."""
+    rows = judged_round(spark, sf_dir).where("status = 'OK' and h_true is not null")
+    many, near, close = F.col("n_inliers") >= 15, F.col("agree_px") <= 3, F.col("rmse") < 1.5
+    return ops.trust_gates(rows, {"rmse": close, "inliers": many, "agree": near, "both": many & near}, F.col("err") <= 2)
+
+
+@query()
+def round_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a policy of both arms and either alone take in a round."""
+    rows = judged_round(spark, sf_dir).where("status = 'OK'")
+    return ops.policy(rows, list(arms.ARMS)).groupBy("policy", "policy_status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("err") <= 2).alias("n_right"))
+
+
+@query()
+def round_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arms of a round side by side; the detector that ran counts, not the one asked for."""
+    return arms.detectors_compared(judged_round(spark, sf_dir))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 
-from terrakey.operators import alignment
+from terrakey.operators import alignment, arms, features
 from terrakey.operators import kernels as k
 from terrakey.sources.scenarios import scenarios, write_matches, write_once
 
@@ -47,7 +47,7 @@ def test_match_chain(spark):
     good = out["1"]
     assert good["n_inliers"] >= 15 and not good["degenerate"] and good["rmse"] < 1.5 and good["warning"] is None
     assert k.disagreement(np.array(good["h"]).reshape(3, 3), h, 160) < 1.5
-    assert good["detector"] == "corners" and "learned" in good["note"]
+    assert good["detector"] == "gradient" and "learned" in good["note"]
     for run in "234":
         r = out[run]
         assert r["n_matches"] == 0 and r["n_inliers"] == 0 and r["h"] is None and r["rmse"] is None and r["degenerate"] and r["warning"]
@@ -62,7 +62,85 @@ def test_keypoints_of_thinned_images_keep_their_frame(spark):
     a = scene(3, 192)
     pairs = spark.createDataFrame([row(1, a, k.resize(a, (96, 96), "area"))], PAIR)
     points = alignment.keypoints(pairs, max_side=96).toPandas()
-    assert set(points["side"]) == {"a", "b"} and points["x"].max() > 96 and (points["x"] % 2 == 0).all()
+    assert set(points["side"]) == {"a", "b"} and points["x"].max() > 96 and set(points["detector"]) == {"gradient"}
+    points = alignment.keypoints(pairs, max_side=96, order=("corners",)).toPandas()
+    assert (points["x"] % 2 == 0).all()
+
+
+def turned(a, degrees, size):
+    t, mid = np.radians(degrees), (len(a) - 1) / 2
+    c, s = size * np.cos(t), size * np.sin(t)
+    h = np.array([[c, -s, mid - c * mid + s * mid], [s, c, mid - s * mid - c * mid], [0, 0, 1]])
+    return h, k.warp(a, h, a.shape).astype(np.uint8)
+
+
+@pytest.mark.parametrize(("degrees", "size"), [(30, 1.0), (0, 1.5), (30, 1.5), (140, 0.7)])
+def test_gradient_keypoints_survive_turns_and_scales(degrees, size):
+    a = k.stretch(sum(s * k.blur(np.random.default_rng(7).normal(size=(256, 256)), s) for s in (1.5, 3.0, 6.0)))
+    h, b = turned(a, degrees, size)
+    p, q = (features.gradient_keypoints(x, 1000) for x in (a, b))
+    ia, ib, _, _ = features.ratio_matches(p.desc, q.desc)
+    found, inliers = k.robust_map(np.c_[p.x, p.y][ia], np.c_[q.x, q.y][ib])
+    assert inliers.sum() >= 40 and k.disagreement(found, h, 256) < 0.5
+
+
+def test_gradient_keypoints_of_flat_and_tiny_images():
+    for img in (np.full((64, 64), 7, np.uint8), np.zeros((5, 5), np.uint8)):
+        found = features.gradient_keypoints(img)
+        assert len(found) == 0 and found.desc.shape == (0, 128)
+
+
+def test_a_detector_that_raises_leaves_other_pairs_alone(spark):
+    a, bright = scene(8, 128), np.clip(scene(9, 128).astype(int) // 2 + 128, 0, 255).astype(np.uint8)
+    pairs = spark.createDataFrame([row(1, a, a), row(2, bright, bright)], PAIR)
+    loud = alignment.Settings(suppress_shadows=False)
+    registry = {**features.DETECTORS, "bad": lambda img, limit: 1 / 0}
+    out = {r["run"]: r for r in alignment.match_pairs(pairs, "bad", loud, registry).collect()}
+    assert all(r["detector"] == "gradient" and "ZeroDivisionError" in r["note"] and r["n_inliers"] >= 15 for r in out.values())
+    level = {r["run"]: r for r in alignment.match_pairs(pairs, "selective", loud, {**features.DETECTORS, "selective": selective}).collect()}
+    assert level["1"]["detector"] == "selective" and level["1"]["note"] is None
+    assert level["2"]["detector"] == "gradient" and "ValueError" in level["2"]["note"]
+    none = alignment.match_pairs(pairs, None, loud, {}).collect()
+    assert all(r["detector"] is None and r["degenerate"] and r["n_matches"] == 0 for r in none)
+
+
+def selective(img, limit):
+    """Fails on one of two scenes, told apart by a pixel of the normalised image."""
+    found = features.corner_keypoints(img, limit)
+    if abs(float(img.mean()) - SELECT[0]) > abs(float(img.mean()) - SELECT[1]):
+        raise ValueError("not this one")
+    return found
+
+
+SELECT = [float(k.normalise(scene(8, 128), False)[0].mean()), float(k.normalise(np.clip(scene(9, 128).astype(int) // 2 + 128, 0, 255).astype(np.uint8), False)[0].mean())]
+
+
+def instances(spark, n=6):
+    rows = []
+    for i in range(n):
+        a = k.stretch(sum(s * k.blur(np.random.default_rng(20 + i).normal(size=(128, 128)), s) for s in (1.5, 3.0)))
+        h, b = turned(a, 2 + 20 * (i % 2), 1.0)
+        rows.append((f"i{i}", "F", "made", "dev", i, "NO_LOCK" if i == 4 else "OK", 1.0 + i, None if i == 5 else h.ravel().tolist(), 128, 128, a.tobytes(), 128, 128, b.tobytes()))
+    return spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in arms.INSTANCE.items()) + ", h_a int, w_a int, pixels_a binary, h_b int, w_b int, pixels_b binary")
+
+
+def test_a_round_is_resumed_and_judged(spark, tmp_path):
+    path, df = str(tmp_path / "store"), instances(spark)
+    assert arms.run_arms(df.where("id < 'i3'"), path, 1) == 6
+    assert arms.run_arms(df, path, 1) == 6  # only the rest
+    assert arms.run_arms(df, path, 1) == 0
+    assert arms.run_arms(df.limit(1), path, 2, config="other", arms={"M2_corners": ("corners",)}) == 1
+    one = arms.stored(spark, path).where("round = 1")
+    assert one.count() == 12
+    out = {(r["id"], r["arm"]): r for r in arms.judged(one).collect()}
+    good = out["i0", "M1_gradient"]
+    assert good["verdict"] == "SUCCESS" and good["err"] < 1 and good["subpixel"] and good["agree_px"] < 3 and good["detector"] == "gradient"
+    assert out["i1", "M1_gradient"]["verdict"] == "SUCCESS" and out["i1", "M2_corners"]["verdict"] != "SUCCESS"
+    assert out["i4", "M1_gradient"]["verdict"] == "NO_LOCK" and out["i4", "M1_gradient"]["n_inliers"] == 0
+    blind = out["i5", "M1_gradient"]
+    assert blind["err"] is None and blind["heldout_px"] < 1 and blind["verdict"] in ("SUCCESS", "MARGINAL")
+    assert (blind["verdict"] == "SUCCESS") == (blind["confirmed_by"] is not None)
+    assert arms.stored(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_locate_overlap_finds_a_moved_strip(spark):

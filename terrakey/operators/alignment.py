@@ -14,9 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrakey.functions.ground import Footprint
 from terrakey.functions.scoring import lock_decision
 from terrakey.operators import kernels as k
 from terrakey.operators.features import DETECTORS, Keypoints, ratio_matches
+from terrakey.operators.rounds import cut
+from terrakey.sources.windows import read_windows
 
 Detector = Callable[[np.ndarray, int], Keypoints]
 
@@ -200,6 +203,10 @@ def ncc_before_after(pairs: DataFrame, maps: DataFrame, least: int = 1000) -> Da
     return both.mapInPandas(run, "run string, ncc_before double, ncc_after double")
 
 
+#: Figures of a lock: the coarse peak and its shift, the fine shift, centres of the search, sizes of the products, metres a pixel.
+LOCKED = ["run", "peak", "ratio", "z", "dx", "dy", "fx", "fy", "cx_a", "cy_a", "cx_b", "cy_b", "n_xa", "n_ya", "n_xb", "n_yb", "gsd_a", "gsd_b"]
+
+
 def locate_overlap(pairs: DataFrame, tile: int = 1024, across_m: float = 600.0, along_m: float = 4000.0, decimation: int = 4, refine: bool = True) -> DataFrame:
     """Tiles of two strips that show the same ground, from pairs with ``gsd_a``, ``gsd_b`` and the labels' places ``x_a, y_a, x_b, y_b``.
 
@@ -209,8 +216,7 @@ def locate_overlap(pairs: DataFrame, tile: int = 1024, across_m: float = 600.0,
     x0, y0, x1, y1. Rejected pairs keep the shift that was asked for. Without pixels, scale or place, or without room to
     search, the figures are null and the pair is rejected.
     """
-    coarse = ["peak", "ratio", "z", "dx", "dy"]
-    names = ["run", *coarse, "fx", "fy", "cx_a", "cy_a", "cx_b", "cy_b", "n_xa", "n_ya", "n_xb", "n_yb", "gsd_a", "gsd_b"]
+    names, coarse = LOCKED, LOCKED[1:6]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -236,6 +242,12 @@ def locate_overlap(pairs: DataFrame, tile: int = 1024, across_m: float = 600.0,
             yield pd.DataFrame(rows, columns=names).astype({c: float for c in names[1:]})
 
     found = pairs.where("pair is not null").mapInPandas(run, "run string, " + ", ".join(f"{c} double" for c in names[1:]))
+    return _decided(found, tile)
+
+
+def _decided(found: DataFrame, tile: int) -> DataFrame:
+    """Decision, shift and windows from a lock's figures ``LOCKED``."""
+    names, coarse = LOCKED, LOCKED[1:6]
     found = found.select("run", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in names[1:]))
     decision = F.coalesce(lock_decision(F.col("peak"), F.col("ratio"), F.col("z"), F.hypot("dx", "dy") * F.col("gsd_a"), tile, F.col("gsd_a")), F.lit("rejected"))
     found = found.withColumn("decision", decision)
@@ -254,3 +266,97 @@ def locate_overlap(pairs: DataFrame, tile: int = 1024, across_m: float = 600.0,
         "run", "decision", *coarse, (F.abs("dx") * F.col("gsd_a")).alias("shift_m_across"), (F.abs("dy") * F.col("gsd_a")).alias("shift_m_along"),
         F.try_divide("gsd_b", "gsd_a").alias("gsd_ratio"), windows[0].alias("window_a"), windows[1].alias("window_b"),
     )
+
+
+def _side(pairs: DataFrame, s: str) -> list[F.Column]:
+    return [F.lit(s).alias("side"), *(F.col(f"{s}_{c}").alias(c) for c in ("path", "dtype", "lines", "samples")), F.lit(None).cast("int").alias("bands")]
+
+
+def _read_both(rows: DataFrame, boxes: dict[str, dict[str, F.Column]], sizes: dict[str, tuple[F.Column, F.Column]]) -> DataFrame:
+    """(run, h_a, w_a, pixels_a, h_b, w_b, pixels_b) of a window of either side, in 8 bits; only images meet, by run."""
+    none = F.lit(None).cast("int")
+    wanted = [rows.select("run", *_side(rows, s), *(boxes[s][c].cast("int").alias(c) for c in ("sample0", "line0", "sample1", "line1")), none.alias("band_lo"), none.alias("band_hi"), *(x.cast("int").alias(c) for x, c in zip(sizes[s], ("to_h", "to_w"), strict=True))) for s in "ab"]
+    read = read_windows(wanted[0].unionByName(wanted[1]), ["run", "side"], eight_bit=True).select("run", "side", F.struct("h", "w", "pixels").alias("x"))
+    both = read.groupBy("run").agg(*(F.max_by("x", (F.col("side") == s).cast("int")).alias(s) for s in "ab"))
+    return both.select("run", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("h", "w", "pixels")))
+
+
+def lock_products(pairs: DataFrame, products: DataFrame, tile: int = 1024, across_m: float = 600.0, along_m: float = 4000.0, decimation: int = 4, refine: bool = True) -> DataFrame:
+    """``locate_overlap`` from labels: pairs (run, a, b, lon, lat) of products (product, path, dtype, lines, samples, corners).
+
+    The corners give each product's scale and the place of (lon, lat) in it. Pass one reads the search window of a and the template's
+    window of b, thinned out as they are read; pass two reads the windows around the peak at full resolution, of sure locks alone. No strip is ever a row. Columns
+    as there. Pairs without a known product, corners, place or readable file are rejected with null figures.
+    """
+    corners = [f"{c}_{x}" for c in ("ul", "ur", "ll", "lr") for x in ("lon", "lat")]
+    columns = ["path", "dtype", "lines", "samples", *corners]
+    rows = pairs.where("run is not null").select(F.col("run").cast("string").alias("run"), "a", "b", "lon", "lat")
+    for s in "ab":
+        side = products.select(F.col("product").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns)).dropDuplicates([s])
+        rows = rows.join(side, s, "left")
+    half: dict[str, tuple[F.Column, F.Column]] = {}
+    for s in "ab":
+        f = Footprint.of(f"{s}_")
+        ok = F.coalesce(f.usable(), F.lit(False))
+        along, across = f.gsd()
+        x, y = f.lonlat_to_pixel(F.col("lon"), F.col("lat"))
+        rows = rows.withColumns({f"gsd_{s}": F.when(ok, (along + across) / 2), f"x_{s}": F.when(ok, x), f"y_{s}": F.when(ok, y)})
+    rows = rows.withColumn("scale", F.try_divide("gsd_b", "gsd_a"))
+    reach = {"a": [tile / 2 + m / F.col("gsd_a") for m in (across_m, along_m)], "b": [F.greatest(F.lit(24.0), tile * 0.7 / F.col("scale"))] * 2}
+    for s, least in (("a", 64), ("b", 24)):
+        size = [F.col(f"{s}_samples"), F.col(f"{s}_lines")]
+        half[s] = tuple(F.least(r.cast("int"), F.greatest(F.lit(least), F.floor(n / 2).cast("int") - 2)) for r, n in zip(reach[s], size, strict=True))
+        for c, h, n in zip("xy", half[s], size, strict=True):
+            rows = rows.withColumn(f"half_{c}{s}", h).withColumn(f"c{c}_{s}", F.least(F.greatest(F.col(f"{c}_{s}"), h), F.greatest(h, n - h)).cast("int"))
+    sound = F.col("cx_a").isNotNull() & F.col("cx_b").isNotNull() & (F.col("gsd_a") > 0) & (F.col("gsd_b") > 0)
+    rows = cut(rows.withColumn("sound", F.coalesce(sound, F.lit(False))))
+
+    def box(s: str, x: F.Column, y: F.Column, hx: F.Column, hy: F.Column) -> dict[str, F.Column]:
+        return {"sample0": x - hx, "line0": y - hy, "sample1": x + hx, "line1": y + hy}
+
+    boxes = {s: box(s, *(F.col(f"c{c}_{s}") for c in "xy"), *(F.col(f"half_{c}{s}") for c in "xy")) for s in "ab"}
+
+    def clipped_size(s: str, c: str) -> F.Column:
+        at, h, n = F.col(f"c{c}_{s}"), F.col(f"half_{c}{s}"), F.col(f"{s}_{'samples' if c == 'x' else 'lines'}")
+        return F.least(at + h, n) - F.greatest(at - h, F.lit(0))
+
+    thin = {"a": tuple(F.greatest(F.lit(8), F.floor(clipped_size("a", c) / decimation)) for c in "yx"), "b": tuple(F.greatest(F.lit(8), F.floor(clipped_size("b", c) * F.col("scale") / decimation)) for c in "yx")}
+    coarse = LOCKED[1:6]
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf.to_dict("records"):
+                found = k.coarse_peak(image(p, "a"), image(p, "b"), decimation)
+                yield pd.DataFrame([{"run": p["run"], **({c: found[c] for c in coarse} if found else {})}], columns=["run", *coarse])
+
+    peaks = _read_both(rows.where("sound"), boxes, thin).mapInPandas(first, "run string, " + ", ".join(f"{c} double" for c in coarse))
+    found = cut(rows.join(peaks.select("run", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in coarse)), "run", "left"))
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf.to_dict("records"):
+                a, b = image(p, "a"), image(p, "b")
+                fine = k.fine_peak(a, b, tile) if a.size and b.size else None
+                yield pd.DataFrame([{"run": p["run"], "fx": (fine or (0.0, 0.0))[0], "fy": (fine or (0.0, 0.0))[1]}])
+
+    if refine:
+        h, pad = tile // 2, tile // 4
+        hb = F.greatest(F.lit(16), F.bround(h / F.col("scale")).cast("int"))
+
+        def centred(place: F.Column, reach: F.Column, n: str) -> F.Column:
+            return F.least(F.greatest(place, reach), F.greatest(reach, F.col(n) - reach)).cast("int")
+
+        wide = F.lit(h + pad)
+        at_a = [centred((F.col(f"c{c}_a") + F.col(f"d{c}")).cast("int"), wide, f"a_{n}") for c, n in (("x", "samples"), ("y", "lines"))]
+        at_b = [centred(F.col(f"c{c}_b"), hb, f"b_{n}") for c, n in (("x", "samples"), ("y", "lines"))]
+        other = F.abs(F.col("scale") - 1) > 1e-3
+        size_b = F.when(other, F.lit(tile))
+        none = F.lit(None).cast("int")
+        sure = lock_decision(F.col("peak"), F.col("ratio"), F.col("z"), F.lit(0.0), tile, F.col("gsd_a")) == "measured"
+        fine = _read_both(found.where(sure), {"a": box("a", *at_a, wide, wide), "b": box("b", *at_b, hb, hb)}, {"a": (none, none), "b": (size_b, size_b)})
+        found = found.join(fine.mapInPandas(second, "run string, fx double, fy double"), "run", "left")
+    else:
+        found = found.withColumns({"fx": F.lit(0.0), "fy": F.lit(0.0)})
+    found = found.withColumns({"n_xa": F.col("a_samples"), "n_ya": F.col("a_lines"), "n_xb": F.col("b_samples"), "n_yb": F.col("b_lines")})
+    figures = [F.col(c).cast("double").alias(c) for c in LOCKED[1:]]
+    return _decided(found.fillna(0.0, ["fx", "fy"]).select("run", *figures), tile)

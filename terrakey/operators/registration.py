@@ -9,18 +9,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrakey.functions import homography as hg
 from terrakey.operators import kernels as k
+from terrakey.operators.consensus import consensus, resampled
 from terrakey.operators.rounds import cut
 
 FIT_SCHEMA = "run string, n_matches int, n_inliers int, h array<double>, degenerate boolean, rmse double, heldout_px double, precision_px double, heldout_h double, heldout_hpoly double, detector string"
 
 
-def fit_runs(matches: DataFrame, method: str = "magsac", threshold: float = 3.0, seed: int = 0) -> DataFrame:
+#: Matches of a run that one task fits; larger runs are fitted by aggregation.
+TASK_MATCHES = 20_000
+
+
+def fit_runs(matches: DataFrame, method: str = "magsac", threshold: float = 3.0, seed: int = 0, task_matches: int = TASK_MATCHES) -> DataFrame:
     """One row per run: robust map, inliers, residual and resampled errors, from matches (run, idx_a, xa, ya, xb, yb).
 
-    A run has at most as many matches as keypoints, which the budget bounds; each run is one task's group. Without a map,
-    figures are null and the run counts as degenerate, as does one with four inliers or fewer.
+    Runs up to ``task_matches`` are one task's group each, larger ones are fitted over all executors (``consensus``); their splits are by hash.
+    Without a map, figures are null and the run counts as degenerate, as does one with four inliers or fewer. Matches with a null run or
+    coordinate count nowhere.
     """
+    known = matches.where("run is not null and xa is not null and ya is not null and xb is not null and yb is not null").withColumn("run", F.col("run").cast("string"))
+    sizes = known.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.where(F.col("n") > task_matches).select("run"))
+    if large.isEmpty():
+        return _fit_groups(known, method, threshold, seed)
+    few = F.broadcast(large) if large.count() <= 100_000 else large
+    found, marked = consensus(known.join(few, "run", "left_semi"), method, threshold, seed)
+    err = F.when(F.col("inlier"), F.hypot(*(p - F.col(c) for p, c in zip(hg.apply(hg.entries(F.col("h")), F.col("xa"), F.col("ya")), ("xb", "yb"), strict=True))))
+    rmse = marked.groupBy("run").agg(F.sqrt(F.avg(err * err)).alias("rmse"))
+    out = found.join(rmse, "run", "left").join(resampled(marked), "run", "left")
+    out = out.withColumns({"degenerate": F.col("h").isNull() | (F.col("n_inliers") <= 4), "detector": F.lit("descriptors")})
+    small = _fit_groups(known.join(few, "run", "left_anti"), method, threshold, seed)
+    return small.unionByName(out.select(*(F.col(f.name).cast(f.dataType) for f in small.schema.fields)))
+
+
+def _fit_groups(matches: DataFrame, method: str, threshold: float, seed: int) -> DataFrame:
+    """``fit_runs`` with each run in one task."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx_a", kind="stable")

@@ -235,3 +235,31 @@ def test_neighbours_by_squares_where_roots_are_equal(spark):
     centre = spark.createDataFrame([("r", 1, [0.0, 0.0])], "run string, idx int, desc array<double>")
     assert [r["idx_b"] for r in knn(centre, points, 1, squared=True).collect()] == [9]
     assert [r["idx_b"] for r in knn(centre, points, 1).collect()] == [5]
+
+
+@pytest.mark.parametrize("method", ["magsac", "ransac", "lmeds", "rho"])
+def test_large_runs_are_fitted_over_tasks_as_in_one(spark, method):
+    rng = np.random.default_rng(11)
+    parts = []
+    for run, wrong in (("r1", 0.3), ("r2", 0.4), ("r3", 0.0)):
+        a = rng.uniform(0, 1024, (600, 2))
+        b = k.apply_map(H, a) + rng.normal(0, 0.4, a.shape)
+        n = int(600 * wrong)
+        b[:n] += rng.uniform(30, 300, (n, 2))
+        parts.append(pd.DataFrame({"run": run, "idx_a": np.arange(600), "xa": a[:, 0], "ya": a[:, 1], "xb": b[:, 0], "yb": b[:, 1]}))
+    parts.append(pd.DataFrame({"run": "tiny", "idx_a": [0, 1, 2], "xa": [0.0, 1, 2], "ya": [0.0, 1, 2], "xb": [0.0, 1, 2], "yb": [0.0, 1, 2]}))
+    parts.append(pd.DataFrame({"run": [None, "r1"], "idx_a": [1, 9999], "xa": [0.0, None], "ya": [0.0, 1], "xb": [0.0, 1], "yb": [0.0, 1]}))
+    df = spark.createDataFrame(pd.concat(parts).astype(object).where(lambda d: d.notna(), None), "run string, idx_a long, xa double, ya double, xb double, yb double")
+    one = {r["run"]: r for r in fit_runs(df, method).collect()}
+    many = {r["run"]: r for r in fit_runs(df, method, task_matches=2).collect()}
+    assert set(one) == set(many) == {"r1", "r2", "r3", "tiny"}
+    for run in ("r1", "r2", "r3"):
+        x, y = one[run], many[run]
+        assert x["n_matches"] == y["n_matches"] == 600 and abs(x["n_inliers"] - y["n_inliers"]) <= 2 and not y["degenerate"]
+        assert k.disagreement(np.array(x["h"]).reshape(3, 3), np.array(y["h"]).reshape(3, 3)) < 0.05
+        assert abs(x["rmse"] - y["rmse"]) < 0.02
+        for c in ("heldout_px", "heldout_h", "heldout_hpoly"):
+            assert abs(x[c] - y[c]) < 0.06, c
+        assert abs(x["precision_px"] - y["precision_px"]) < 0.05
+    for r in (one["tiny"], many["tiny"]):
+        assert r["h"] is None and r["degenerate"] and r["n_inliers"] == 0 and r["rmse"] is None and r["heldout_px"] is None

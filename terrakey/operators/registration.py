@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrakey.functions import homography as hg
@@ -86,31 +86,81 @@ def lock_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, x int, y int, peak double, ratio double, z double")
 
 
-def greedy_dedup(tiles: DataFrame, distance: float = 256.0) -> DataFrame:
+#: Tiles of a region that one task decides in order.
+TASK_TILES = 20_000
+#: Region sides in cells, as powers of two.
+_LEVELS = list(range(0, 19, 2))
+
+
+def _in_order(pdf: pd.DataFrame, distance: float) -> pd.DataFrame:
+    """What the tiles of a region decide by themselves, in order: a tile near a kept one is dropped; one that is ``blocked`` by an
+    earlier tile elsewhere waits, and so does one near an earlier tile that waits; any other is kept."""
+    pdf = pdf.sort_values(["idx", "id"], kind="stable", na_position="first")
+    kept: dict[tuple[int, int], tuple[float, float]] = {}
+    waiting: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    ids, states = [], []
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    for key, x, y, cx, cy, blocked in zip(pdf["id"], pdf["x"], pdf["y"], pdf["cx"], pdf["cy"], pdf["blocked"], strict=True):
+        near = lambda p: abs(p[0] - x) < distance and abs(p[1] - y) < distance  # noqa: B023, E731
+        cells = [(cx + i, cy + j) for i, j in around]
+        if any(c in kept and near(kept[c]) for c in cells):
+            ids.append(key)
+            states.append(False)
+        elif blocked or (cx, cy) in waiting or any(near(p) for c in cells for p in waiting.get(c, ())):
+            waiting.setdefault((cx, cy), []).append((x, y))
+        else:
+            kept[cx, cy] = (x, y)
+            ids.append(key)
+            states.append(True)
+    return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "keep": pd.Series(states, dtype="bool")})
+
+
+def greedy_dedup(tiles: DataFrame, distance: float = 256.0, task_tiles: int = TASK_TILES) -> DataFrame:
     """Tiles (family, idx, x, y) with ``keep``: in order of idx a tile is dropped within ``distance`` on both axes of one kept before.
 
-    Decided in rounds over cells of that distance. A cell's tiles are all near each other, so only its first can be kept: it
-    is, once no earlier undecided tile of the nine cells around is near it, and it drops what is near. A tile meets at most
-    nine firsts, whatever the family's size. Equal idx: the tile read first. Tiles without a finite place are near nothing
+    Space is cut into cells of that distance and these are joined to regions, each as large as its density allows with up to ``task_tiles`` undecided tiles. A round
+    decides in each region all that does not wait for another region; tiles kept then drop what is near them elsewhere. So a
+    chain takes a round for every region it crosses, not for every tile. A cell with more tiles than that shows its
+    first one alone, as only one of its tiles can be kept. Equal idx: the tile read first. Tiles without a finite place are near nothing
     and kept; a null family is a family, a null idx comes first.
     """
-
-    def key(dx: int = 0, dy: int = 0) -> Column:
-        return F.struct("family", (F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"))
-
-    placed = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
+    finite = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
     rows = tiles.select("family", "idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("id", F.monotonically_increasing_id())
-    rows = cut(rows.withColumn("placed", placed))
-    done = rows.where(~F.col("placed")).select("family", "idx", F.lit(True).alias("keep"))
-    left = rows.where("placed").select("family", "id", F.struct("idx", "id").alias("at"), "x", "y", F.floor(F.col("x") / distance).alias("cx"), F.floor(F.col("y") / distance).alias("cy"))
+    rows = cut(rows.withColumn("placed", finite))
+    # Families by a number that is never null, so that they can be joined on.
+    families = cut(rows.where("placed").select("family").distinct().withColumn("fam", F.monotonically_increasing_id()))
+    left = rows.where("placed").join(F.broadcast(families) if families.count() <= 100_000 else families, rows["family"].eqNullSafe(families["family"])).drop(families["family"])
+    left = cut(left.select("fam", "id", "idx", "x", "y", F.floor(F.col("x") / distance).alias("cx"), F.floor(F.col("y") / distance).alias("cy")))
+    cell = ["fam", "cx", "cy"]
+    region = ["level", "rx", "ry"]
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    decided = []
     while not left.isEmpty():
-        first = left.groupBy(key().alias("cell")).agg(F.min(F.struct("at", "x", "y")).alias("f"))
-        around = left.withColumn("cell", F.explode(F.array(*(key(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
-        near = (F.abs(F.col("x") - F.col("f.x")) < distance) & (F.abs(F.col("y") - F.col("f.y")) < distance)
-        met = cut(around.join(first, "cell").where(near).select("family", "id", "at", "f"))
-        kept = met.groupBy("f.at.id").agg(F.bool_or(F.col("at") < F.col("f.at")).alias("waits")).where("not waits").select("id")
-        decided = met.join(kept.toDF("kept"), F.col("f.at.id") == F.col("kept"))
-        decided = cut(decided.groupBy("id").agg(F.first("family").alias("family"), F.first("at.idx").alias("idx"), F.bool_or(F.col("id") == F.col("kept")).alias("keep")))
-        done = done.unionByName(decided.drop("id"))
-        left = cut(left.join(decided.select("id"), "id", "left_anti"))
-    return done
+        cells = cut(left.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("idx", "id")).alias("first")))
+        every = cells.withColumn("level", F.explode(F.array(*map(F.lit, _LEVELS)))).withColumns({"rx": up("cx"), "ry": up("cy")})
+        held = every.groupBy("fam", *region).agg(F.sum(F.least("n", F.lit(task_tiles))).alias("held")).where(F.col("held") <= task_tiles)
+        own = every.join(held, ["fam", *region]).groupBy(*cell).agg(F.max("level").alias("level"), F.first("n").alias("n"), F.first("first").alias("first"))
+        own = cut(own.withColumns({"rx": up("cx"), "ry": up("cy")}))
+        step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
+        beside = own.select("fam", *region, "first", step.alias("d"), "cx", "cy").select("fam", *(F.col(c).alias(f"o_{c}") for c in region), F.col("first").alias("o_first"), (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+        elsewhere = (F.col("level") != F.col("o_level")) | (F.col("rx") != F.col("o_rx")) | (F.col("ry") != F.col("o_ry"))
+        outside = own.join(beside, cell).where(elsewhere).groupBy(*cell).agg(F.min("o_first").alias("outside"))
+        dealt = left.join(own.join(outside, cell, "left"), cell)
+        shown = (F.col("n") <= task_tiles) | (F.col("id") == F.col("first.id"))
+        dealt = dealt.where(shown).withColumn("blocked", F.coalesce(F.col("outside") < F.struct("idx", "id"), F.lit(False)))
+        found = dealt.select("fam", *region, "id", "idx", "x", "y", "cx", "cy", "blocked").groupBy("fam", *region).applyInPandas(lambda pdf: _in_order(pdf, distance), "id long, keep boolean")
+        found = cut(left.join(found, "id"))
+        kept = found.where("keep").select("fam", F.col("id").alias("k_id"), F.col("x").alias("kx"), F.col("y").alias("ky"), F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c"))
+        kept = kept.select("fam", "k_id", "kx", "ky", "c.cx", "c.cy")
+        near = (F.abs(F.col("x") - F.col("kx")) < distance) & (F.abs(F.col("y") - F.col("ky")) < distance)
+        rest = left.join(found.select("id"), "id", "left_anti")
+        dropped = cut(rest.join(kept, cell).where(near).select("id").distinct().withColumn("keep", F.lit(False)))
+        decided += [found.select("id", "keep"), dropped]
+        left = cut(rest.join(dropped.select("id"), "id", "left_anti"))
+    out = rows.where("not placed").select("family", "idx", F.lit(True).alias("keep"))
+    if decided:
+        states = decided[0]
+        for more in decided[1:]:
+            states = states.unionByName(more)
+        out = out.unionByName(rows.where("placed").join(states, "id").select("family", "idx", "keep"))
+    return out

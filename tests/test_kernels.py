@@ -263,3 +263,41 @@ def test_large_runs_are_fitted_over_tasks_as_in_one(spark, method):
         assert abs(x["precision_px"] - y["precision_px"]) < 0.05
     for r in (one["tiny"], many["tiny"]):
         assert r["h"] is None and r["degenerate"] and r["n_inliers"] == 0 and r["rmse"] is None and r["heldout_px"] is None
+
+
+def folded(xy, distance=256):
+    """Tiles in order, dropped near a kept one; kept ones by cells."""
+    cells, want = {}, {}
+    for i, (x, y) in enumerate(xy):
+        cx, cy = int(x // distance), int(y // distance)
+        near = (p for a in (-1, 0, 1) for b in (-1, 0, 1) for p in cells.get((cx + a, cy + b), ()))
+        want[i] = not any(abs(x - p[0]) < distance and abs(y - p[1]) < distance for p in near)
+        if want[i]:
+            cells.setdefault((cx, cy), []).append((x, y))
+    return want
+
+
+@pytest.mark.parametrize("task_tiles", [3, 40, 20_000])
+def test_greedy_dedup_of_dense_places_by_regions(spark, task_tiles):
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.uniform(0, 4000, (400, 2)), rng.normal(1500, 150, (300, 2)), np.full((60, 2), 777.0), np.c_[np.arange(-60, 60) * 130.0, np.arange(-60, 60) * 40.0]])
+    rng.shuffle(xy)
+    rows = [(None if i % 2 else "f", i, x, y) for i, (x, y) in enumerate(xy.tolist())] + [("f", -1, None, 1.0), ("f", -2, float("nan"), 1.0)]
+    got = {(r.family, r.idx): r.keep for r in greedy_dedup(spark.createDataFrame(rows, "family string, idx int, x double, y double"), task_tiles=task_tiles).collect()}
+    assert len(got) == len(rows) and got["f", -1] and got["f", -2]
+    for family, part in (("f", 0), (None, 1)):
+        own = [i for i in range(len(xy)) if i % 2 == part]
+        want = folded(xy[own].tolist())
+        assert {i: got[family, i] for i in own} == {i: want[n] for n, i in enumerate(own)}
+
+
+@pytest.mark.parametrize(("step", "task_tiles", "most"), [(200.0, 20_000, 3), (200.0, 1_500, 20), (90.0, 20_000, 3)])
+def test_greedy_dedup_of_a_long_chain_takes_few_rounds(spark, monkeypatch, step, task_tiles, most):
+    from terrakey.operators import registration
+
+    rounds, real = [], registration.cut
+    monkeypatch.setattr(registration, "cut", lambda df: (rounds.append(df.columns), real(df))[1])
+    chain = [(i * step, 0.3 * i * step) for i in range(10_000)]
+    df = spark.createDataFrame([("s", i, x, y) for i, (x, y) in enumerate(chain)], "family string, idx int, x double, y double")
+    got = {r.idx: r.keep for r in greedy_dedup(df, task_tiles=task_tiles).collect()}
+    assert got == folded(chain) and sum("first" in c and "level" not in c for c in rounds) <= most

@@ -56,6 +56,26 @@ def tone(value: Column, good: float, fair: float, larger_is_better: bool) -> Col
     return F.when(value < good, "good").when(value < fair, "ok").otherwise("bad")
 
 
+def run_tones(rmse: Column, inlier_ratio: Column, truth: Column, degenerate: Column) -> dict[str, Column]:
+    """Tones of a run's figures, and a warning where the true error at the corners belies a fit that looks sound; no tone without truth."""
+    return {
+        "rmse_tone": F.when(degenerate, "bad").otherwise(tone(rmse, 1, 3, False)),
+        "ratio_tone": tone(inlier_ratio, 0.5, 0.25, True),
+        "truth_tone": F.when(truth.isNotNull(), tone(truth, 3, 15, False)),
+        "warning": F.coalesce((truth > 15) & ~degenerate, F.lit(False)),
+    }
+
+
+def table_line(title: Column, detector: Column, n_inliers: Column, n_matches: Column, rmse: Column, truth: Column) -> tuple[Column, Column]:
+    """A run as a line of a table, and whether its true error is that of a wrong map."""
+    wrong = F.coalesce(truth > 50, F.lit(False))
+    shown = F.coalesce(F.format_string("%.2f", truth), F.lit("n/a"))
+    shown = F.when(truth.isNull(), "n/a").otherwise(shown)
+    flag = F.when(wrong, "  **<- wrong**").otherwise("")
+    counts = F.concat(n_inliers.cast("string"), F.lit("/"), n_matches.cast("string"))
+    return F.concat(F.lit("| "), title, F.lit(" | "), detector, F.lit(" | "), counts, F.lit(" | "), F.format_string("%.3f", rmse), F.lit(" | "), shown, flag, F.lit(" |")), wrong
+
+
 def lock_decision(peak: Column, ratio: Column, z: Column, shift_m: Column, tile_px: int, gsd: Column) -> Column:
     """Accept the measured lock, keep the prior position, or reject."""
     sure = (peak >= 0.20) & ((ratio >= 1.8) | (z >= 6))

@@ -15,8 +15,18 @@ def cell(x: Column, size: float, grid: int) -> Column:
     return F.greatest(F.least(F.floor(x / size * grid), F.lit(grid - 1)), F.lit(0)).cast("int")
 
 
+def placed(points: DataFrame) -> DataFrame:
+    """Points with both coordinates; one without a place covers nothing."""
+    return points.where(F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False)))
+
+
+def matched_points(keypoints: DataFrame, matches: DataFrame) -> DataFrame:
+    """The first image's points (run, idx, x, y) of matches (run, idx_a, ...), with the matches' other columns."""
+    return matches.join(keypoints.select("run", F.col("idx").alias("idx_a"), "x", "y"), ["run", "idx_a"])
+
+
 def cell_counts(points: DataFrame, by: list[str], width: float, height: float, grid: int) -> DataFrame:
-    return points.groupBy(*by, cell(F.col("x"), width, grid).alias("cx"), cell(F.col("y"), height, grid).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    return placed(points).groupBy(*by, cell(F.col("x"), width, grid).alias("cx"), cell(F.col("y"), height, grid).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
 
 
 def uniformity_even(points: DataFrame, by: list[str], width: float, height: float, grid: int = 4) -> DataFrame:
@@ -50,10 +60,10 @@ def density_cells(points: DataFrame, by: str, width: int, height: int, grid: int
     Weights (0.5 where null) are summed by pixel, coordinates cut to whole pixels within the image, then blurred with a sigma of
     ``sigma_share`` of the longer side, at least 3 pixels, and divided by the highest value. Cells have a whole number of
     pixels; what is left over at the right and lower edges counts for none. Sums of pixels come before the shuffle, so that a
-    task holds at most one image of a run, however many points it has.
+    task holds at most one image of a run, however many points it has. Points without a place count for none.
     """
     pixel = lambda c, size: F.greatest(F.least(F.col(c), F.lit(float(size - 1))), F.lit(0.0)).cast("int")
-    pixels = points.groupBy(by, pixel("x", width).alias("px"), pixel("y", height).alias("py")).agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(0.5))).alias("v"))
+    pixels = placed(points).groupBy(by, pixel("x", width).alias("px"), pixel("y", height).alias("py")).agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(0.5))).alias("v"))
     w, h = max(1, width // grid), max(1, height // grid)
 
     def cells(pdf: pd.DataFrame) -> pd.DataFrame:

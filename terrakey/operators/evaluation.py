@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from terrakey.functions.scoring import accepted_arm, wilson
@@ -39,12 +41,28 @@ def summary(runs: DataFrame, by: list[str]) -> DataFrame:
     Excluded rows count nowhere; rows without a lock count in ``n`` but not in the medians nor in ``n_uniform``, whose share
     is of ``n_locked``. ``n_with_model`` stands beside the medians, as those cover only runs that have an error.
     """
+    return _with_shares(_counted(runs, lambda df: df.groupBy(*by)))
+
+
+def summary_sets(runs: DataFrame, columns: list[str], sets: list[list[str]]) -> DataFrame:
+    """``summary`` by several sets of ``columns`` in one scan, with ``level``: bits of the columns that a row is not grouped by, the first one highest.
+
+    A null of a column that is grouped by is a value of its own; the level tells it from the null of one that is not.
+    """
+    out = _counted(runs, lambda df: df.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in columns)), [F.grouping_id().alias("level")])
+    return _with_shares(out)
+
+
+def _counted(runs: DataFrame, grouped: Callable[[DataFrame], GroupedData], more: list[Column] | None = None) -> DataFrame:
     runs = runs.where(~F.col("verdict").startswith("EXCLUDED"))
     locked = F.col("verdict") != "NO_LOCK"
     counts = [F.count_if(F.col("verdict") == v).alias(f"n_{v.lower()}") for v in VERDICTS]
     counts += [F.count_if("subpixel").alias("n_subpixel"), F.count_if(locked).alias("n_locked"), F.count_if(locked & F.col("uniform")).alias("n_uniform")]
     medians = [F.median(F.when(locked, F.col(c))).alias(f"median_{c}") for c in ("err", "n_inliers", "total_ms")] + [F.count(F.when(locked, F.col("err"))).alias("n_with_model")]
-    out = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts, *medians)
+    return grouped(runs).agg(*(more or []), F.count(F.lit(1)).alias("n"), *counts, *medians)
+
+
+def _with_shares(out: DataFrame) -> DataFrame:
     shares = {"rate": ("n_success", "n"), "subpixel": ("n_subpixel", "n"), "uniform": ("n_uniform", "n_locked")}
     for name, (k, n) in shares.items():
         lo, hi = wilson(F.col(k), F.col(n))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from terrakey.functions.scoring import coverage_class, uniformity_label
 from terrakey.operators import coverage as ops
+from terrakey.plans import matching
 from terrakey.plans.common import Registry, r, table
+from terrakey.plans.matching import _AB, _XY
 
 query = Registry()
 SIDE = 500.0
@@ -81,6 +83,14 @@ def matched_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where((F.col("x") >= 0) & (F.col("x") < 400) & (F.col("y") >= 0) & (F.col("y") < 500)).select("event_id", r("x").alias("x"), "y")
 
 
+@query(f"{_AB}{_XY} SELECT run, idx_a, round(xa, 6) AS x, round(ya, 6) AS y, round(least(greatest(1 - d1 / d2, 0), 1), 6) AS confidence FROM e WHERE err <= 0.5")
+def inlier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the inliers of a run lie in its first image: its matches joined with its keypoints; a match without a keypoint gives none."""
+    a, _ = matching.keypoints(spark, sf_dir)
+    kept = matching.residuals(spark, sf_dir).where("err <= 0.5").select("run", "idx_a", "confidence")
+    return ops.matched_points(a, kept).select("run", "idx_a", r("x").alias("x"), r("y").alias("y"), r("confidence").alias("confidence"))
+
+
 @query()
 def hull_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.hull_area(points(spark, sf_dir), "run", SIDE, SIDE).select("run", r("hull", 4).alias("hull"))

@@ -239,10 +239,33 @@ def lock_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).select("id", "arm", d.alias("decision"))
 
 
-@query(f"{_R} SELECT id, arm, CASE WHEN rmse < 1 THEN 'good' WHEN rmse < 3 THEN 'ok' ELSE 'bad' END AS rmse_tone, CASE WHEN n_inliers / 50 > 0.5 THEN 'good' WHEN n_inliers / 50 > 0.25 THEN 'ok' ELSE 'bad' END AS ratio_tone, coalesce(err > 9 AND NOT degenerate, false) AS warning FROM r")
+@query(f"""{_R}, e AS (SELECT *, err * 2 AS truth FROM r) SELECT id, arm, CASE WHEN degenerate THEN 'bad' WHEN rmse < 1 THEN 'good' WHEN rmse < 3 THEN 'ok' ELSE 'bad' END AS rmse_tone, CASE WHEN n_inliers / 50 > 0.5 THEN 'good' WHEN n_inliers / 50 > 0.25 THEN 'ok' ELSE 'bad' END AS ratio_tone,
+CASE WHEN truth IS NULL THEN NULL WHEN truth < 3 THEN 'good' WHEN truth < 15 THEN 'ok' ELSE 'bad' END AS truth_tone, coalesce(truth > 15 AND NOT degenerate, false) AS warning FROM e""")
 def run_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    warn = F.coalesce((F.col("err") > 9) & ~F.col("degenerate"), F.lit(False))
-    return runs(spark, sf_dir).select("id", "arm", scoring.tone(F.col("rmse"), 1, 3, False).alias("rmse_tone"), scoring.tone(F.col("n_inliers") / 50, 0.5, 0.25, True).alias("ratio_tone"), warn.alias("warning"))
+    """Tones of a run's figures; twice the fixture's error stands for the one at the corners."""
+    truth = F.col("err") * 2
+    tones = scoring.run_tones(F.col("rmse"), F.col("n_inliers") / 50, truth, F.col("degenerate"))
+    return runs(spark, sf_dir).select("id", "arm", *(c.alias(n) for n, c in tones.items()))
+
+
+@query(f"""{_R}{_V}, e AS (SELECT arm || ' ' || family AS title, arm, family, id, n_inliers, 50 AS n_matches, rmse, err * 12 AS truth FROM f WHERE has_model)
+SELECT id, '| ' || title || ' | ' || arm || ' | ' || n_inliers || '/' || n_matches || ' | ' || printf('%.3f', rmse) || ' | ' || coalesce(printf('%.2f', truth), 'n/a') || CASE WHEN truth > 50 THEN '  **<- wrong**' ELSE '' END || ' |' AS line, coalesce(truth > 50, false) AS wrong FROM e""")
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs as lines of a table beside their true error, those flagged that fit well and are far off."""
+    df = judged(spark, sf_dir).where("has_model")
+    line, wrong = scoring.table_line(F.concat_ws(" ", "arm", "family"), F.col("arm"), F.col("n_inliers"), F.lit(50), F.col("rmse"), F.col("err") * 12)
+    return df.select("id", line.alias("line"), wrong.alias("wrong"))
+
+
+_SETS = [["arm"], ["arm", "split"], ["arm", "family"], ["arm", "family", "split"]]
+
+
+@query(f"""{_R}{_V}, s AS (SELECT grouping(arm, family, split) AS level, arm, family, split, count(*) AS n, count(*) FILTER (WHERE verdict = 'SUCCESS') AS n_success, count(*) FILTER (WHERE subpixel) AS n_subpixel, count(*) FILTER (WHERE verdict <> 'NO_LOCK') AS n_locked, median(err) FILTER (WHERE verdict <> 'NO_LOCK') AS median_err
+FROM f WHERE NOT starts_with(verdict, 'EXCLUDED') GROUP BY GROUPING SETS ({", ".join(f"({', '.join(s)})" for s in _SETS)})) SELECT level, arm, family, split, n, n_success, n_subpixel, n_locked, round(median_err, 6) AS median_err, {_share("rate", "n_success", "n")} FROM s""")
+def summary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries over all, by split, by family and by both, in one scan."""
+    out = ops.summary_sets(judged(spark, sf_dir), ["arm", "family", "split"], _SETS)
+    return out.select("level", "arm", "family", "split", "n", "n_success", "n_subpixel", "n_locked", *(r(c).alias(c) for c in ("median_err", "rate", "rate_low", "rate_high")))
 
 
 @query("""WITH p AS (SELECT event_type AS run, event_id AS idx, value % 500 AS x, (event_id * 7) % 500 + 0.0::DOUBLE AS y FROM events), e AS (SELECT *, sin(x / 50) + (idx % 5) * 0.1::DOUBLE AS rx, cos(y / 60) + (idx % 7) * 0.1::DOUBLE AS ry FROM p),

@@ -60,6 +60,37 @@ def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.intent(F.col("text")).alias("intent"))
 
 
+_INTENT = "CASE WHEN regexp_matches(lower(text), 'rmse|accurate|accuracy|error|precision') THEN 'accuracy' WHEN regexp_matches(lower(text), 'inlier|match|keypoint|feature|consensus') THEN 'matches' WHEN regexp_matches(lower(text), 'provenance|real|synthetic|derived|simulated') THEN 'provenance' ELSE 'summary' END"
+_ASKED = "c.text || CASE c.conv_id % 5 WHEN 0 THEN ' how accurate' WHEN 1 THEN ' which keypoints' WHEN 2 THEN ' simulated' ELSE '' END"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, {_INTENT} AS intent FROM (SELECT conv_id, turn, {_ASKED} AS text FROM conversations c)),
+m AS (SELECT q.*, p_partkey IS NOT NULL AS known, 'pair ' || p_partkey AS name, p_size * 0.25::DOUBLE AS rmse, CASE WHEN p_size % 3 > 0 THEN p_size * 0.125::DOUBLE END AS ground, p_size * 0.5::DOUBLE AS med, CASE WHEN p_size % 4 > 0 THEN p_size * 0.75::DOUBLE END AS truth, p_size % 7 = 0 AS degenerate,
+p_size * 211 AS ka, p_size * 190 AS kb, p_size * 8 AS nm, p_size * 5 AS ni, p_size * 10 AS ms FROM q LEFT JOIN part ON p_partkey = conv_id AND p_partkey % 6 > 0)
+SELECT conv_id, turn, CASE WHEN NOT known THEN 'No run yet, so there are no figures to report.' WHEN intent = 'accuracy' THEN name || ': residual ' || printf('%.3f px', rmse) || CASE WHEN ground IS NULL THEN '' ELSE ' (' || printf('%.3f', ground) || ' m on the ground)' END || ', median ' || printf('%.2f px', med) || '.'
+|| CASE WHEN truth IS NULL THEN '' ELSE ' Against the known map it is off by ' || printf('%.2f px', truth) || '; that figure counts.' END || CASE WHEN degenerate THEN ' The fit is degenerate: too few inliers to say much.' ELSE '' END
+WHEN intent = 'matches' THEN format('{{:,}}', ka) || ' and ' || format('{{:,}}', kb) || ' keypoints, ' || nm || ' matches, ' || ni || ' inliers (62.5%).' WHEN intent = 'provenance' THEN 'Provenance: made. Only pairs made by a known map have a true error.'
+ELSE name || ': ' || ni || ' inliers of ' || nm || ' (62.5%), residual ' || printf('%.3f px', rmse) || CASE WHEN truth IS NULL THEN '' ELSE ', true error ' || printf('%.2f px', truth) END || ', ' || ms || ' ms.' END AS reply FROM m""")
+def offline_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said to each message about the run of its conversation, parts standing for runs."""
+    size = F.col("p_size")
+    figures = {
+        "name": F.concat(F.lit("pair "), F.col("p_partkey").cast("string")), "provenance": F.lit("made"), "rmse_px": size * 0.25, "rmse_m": F.when(size % 3 > 0, size * 0.125), "gsd_m": F.lit(0.5), "median_px": size * 0.5,
+        "truth_px": F.when(size % 4 > 0, size * 0.75), "degenerate": size % 7 == 0, "n_keypoints_a": size * 211, "n_keypoints_b": size * 190, "n_matches": size * 8, "n_inliers": size * 5, "total_ms": (size * 10).cast("double"),
+    }
+    part = table(spark, sf_dir, "part").where("p_partkey % 6 > 0")
+    c = table(spark, sf_dir, "conversations")
+    asked = F.concat("text", F.when(F.col("conv_id") % 5 == 0, " how accurate").when(F.col("conv_id") % 5 == 1, " which keypoints").when(F.col("conv_id") % 5 == 2, " simulated").otherwise(""))
+    return c.join(part, c["conv_id"] == part["p_partkey"], "left").select("conv_id", "turn", tx.offline_reply(asked, figures).alias("reply"))
+
+
+@query(f"""SELECT conv_id, turn, substring(regexp_replace('**`#' || text || chr(9989) || ' *' || chr(9888) || chr(65039) || chr(128202) || ' end', '[*`#{chr(0x2705)}{chr(0x1F4CA)}{chr(0x1F916)}]|{chr(0x26A0)}{chr(0xFE0F)}', '', 'g'), 1, 800) AS speech FROM conversations""")
+def voice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with marks and pictographs, as a voice is to say them."""
+    marked = F.concat(F.lit("**`#"), "text", F.lit("\u2705 *\u26a0\ufe0f\U0001f4ca end"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.voice_text(marked).alias("speech"))
+
+
 _SAID = """WITH t AS (SELECT event_id, (event_id * 7) % 12 AS k FROM events),
 s AS (SELECT event_id, CASE k WHEN 0 THEN 'Run' WHEN 1 THEN ' go  on!' WHEN 2 THEN 'please go forward.' WHEN 3 THEN 'run the next stage' WHEN 4 THEN 'Play?!' WHEN 5 THEN 'runs' WHEN 6 THEN 'go-back' WHEN 7 THEN 'previous' WHEN 8 THEN 'halt. now' WHEN 9 THEN '' WHEN 10 THEN 'stop_it' END AS said FROM t)"""
 
@@ -142,10 +173,13 @@ def chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(roles, ">").alias("roles"))
 
 
-@query("""SELECT event_id, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '","props":' || to_json(props) || '}' AS json FROM events""")
+_WHEN = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+@query("""SELECT event_id, '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","user_id":' || user_id || ',"event_type":"' || event_type || '","value":' || value || ',"props":' || to_json(props) || '}' AS json FROM events""")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored run as one JSON text."""
-    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type", "props")).alias("json"))
+    """A stored run as one JSON text, with all its columns."""
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("*"), _WHEN).alias("json"))
 
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY role = 'user', turn) AS place FROM conversations""")

@@ -148,7 +148,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart from each other share no rare element and never meet, however many there are.
 
     *Across.* Nodes of a list under different roots are paired, block by block, where collisions and sizes allow a link,
-    and confirmed on the full sets. No link between different components is lost; no pairs within one are made.
+    and confirmed on the full sets; those of long lists by their rarest shingles. No link between different components is lost; no pairs within one are made.
 
     ``component_id`` is the smallest id that can be reached, ``kept`` is true for it. Null and empty texts have no
     shingles and are linked with nothing: ``component_id`` is their own id. A null id is ignored when the smallest is
@@ -201,7 +201,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = _family_links(measured.where("root"), comps, percent)
 
     roots = measured.where("root").select(F.col("a").alias("key"), F.col("b").alias("root"))
-    pairs = cut(_across(shared, comps, roots, size, matches, percent), "pairs")
+    pairs = cut(_across(shared, comps, roots, places, ids, k, size, matches, percent), "pairs")
     either = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = sets.union(_sets(places.join(either.join(sets.select("key"), "key", "left_anti"), "key"), ids, k))
     # The parities of both sets leave few pairs.
@@ -347,10 +347,11 @@ def _family_links(roots: DataFrame, comps: DataFrame, percent: int) -> DataFrame
     return _merged(comps, linked(met.where((F.col("key_a") < F.col("key_b")) & near)))[0]
 
 
-def _across(posts: DataFrame, comps: DataFrame, roots: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
+def _across(posts: DataFrame, comps: DataFrame, roots: DataFrame, places: DataFrame, ids: DataFrame, k: int, size: int, matches: int, percent: int) -> DataFrame:
     """Pairs (a, b, and their components ca, cb) of different roots and components that share a list, collide often enough and may be alike.
 
-    One side leaves out the root that most nodes of the list have, as its nodes need not meet each other.
+    One side leaves out the root that most nodes of the list have, as its nodes need not meet each other. Nodes of a list of more than ``BLOCK``
+    rows meet by their rarest shingles instead (``_rare``): texts that share a frequent passage and little else have none in common.
     """
     prints = _prints(size)
     own = ["key", "n", "before", *prints, "comp", "root"]
@@ -360,17 +361,53 @@ def _across(posts: DataFrame, comps: DataFrame, roots: DataFrame, size: int, mat
     # The lists of earlier coordinates that the node is in as well.
     before = F.transform(F.filter("prefix", lambda x: x["c"] < F.col("p.c")), lambda x: x["c"].cast("long") * (1 << 32) + x["v"])
     posts = cut(posts.withColumn("before", before).select("p.c", "p.v", *own), "across")
-    tops = posts.groupBy("c", "v", "root").agg(F.count(F.lit(1)).alias("nr"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    lists = tops.groupBy("c", "v").agg(F.sum("nr").alias("nn"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("nr", "root")).alias("top"))
-    lists = cut(lists.where((F.col("lo") != F.col("hi")) & (F.col("nn") > F.col("top.nr"))).select("c", "v", "nn", F.col("top.root").alias("top")), "mixed")
-    one, two = _blocks(posts, ["c", "v"], lists)
-    met = _sides(one.where(F.col("root") != F.col("top")), two, ["c", "v"], [*own, "top"])
-    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top_b")) | (F.col("key_a") < F.col("key_b")))
+    lists = _mixed(posts, ["c", "v"])
+    met = _tops_apart(posts, lists.where(F.col("nn") <= BLOCK), ["c", "v"], own)
     enough = _collisions([f"{p}_a" for p in prints], [f"{p}_b" for p in prints]) >= matches
-    # Of the lists that a pair shares, the first alone gives the pair.
+    # Of the lists that a pair shares, the first alone gives the pair; it may be a long one, which gives the pair itself.
     earlier = F.arrays_overlap("before_a", "before_b")
-    met = met.where(apart & enough & _similar(F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b"), percent) & ~earlier)
-    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"), "n_a", "n_b")
+    met = met.where(enough & _similar(F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b"), percent) & ~earlier)
+    names = [F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"), "n_a", "n_b"]
+    long = lists.where(F.col("nn") > BLOCK).select("c", "v")
+    if long.isEmpty():
+        return met.select(*names)
+    wanted = cut(posts.join(_few(long), ["c", "v"], "left_semi").select("key", "n", "comp", "root").distinct(), "long")
+    sets = _sets(places.join(_few(wanted.select("key")), "key"), ids, k)
+    return met.select(*names).unionByName(_rare(wanted, sets, percent).select(*names)).distinct()
+
+
+def _mixed(posts: DataFrame, by: list[str]) -> DataFrame:
+    """Lists of ``posts`` with several components and roots: (by, nn, top), ``top`` being the root that most of their nodes have."""
+    tops = posts.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("nr"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lists = tops.groupBy(*by).agg(F.sum("nr").alias("nn"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("nr", "root")).alias("top"))
+    return cut(lists.where((F.col("lo") != F.col("hi")) & (F.col("nn") > F.col("top.nr"))).select(*by, "nn", F.col("top.root").alias("top")), "mixed")
+
+
+def _tops_apart(posts: DataFrame, lists: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Pairs of nodes of different roots and components that share one of ``lists``, by columns ..._a and ..._b; once for each list."""
+    one, two = _blocks(posts, by, lists)
+    met = _sides(one.where(F.col("root") != F.col("top")), two, by, [*columns, "top"])
+    return met.where((F.col("comp_a") != F.col("comp_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top_b")) | (F.col("key_a") < F.col("key_b"))))
+
+
+def _rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` (key, n, comp, root) that may be linked, by shared rare elements of their ``sets``.
+
+    Two linked sets share at least percent / 100 of either's elements, so with elements ordered from rare to frequent they share
+    one of the n - ceil(percent * n / 100) + 1 first ones of both. Elements of one node alone come first and are not posted.
+    """
+    els = nodes.select("key").join(sets.select("key", "shingles"), "key").select("key", F.explode("shingles").alias("e"))
+    often = cut(els.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "elements")
+    shared = els.join(often, "e").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("els"))
+    rows = nodes.join(shared, "key")
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("els"))
+    rows = rows.withColumn("first", F.transform(F.slice("els", F.lit(1), F.greatest(F.lit(0), keep).cast("int")), lambda x: x["e"])).drop("els")
+    posts = rows.withColumn("e", F.explode("first"))
+    before = F.filter("first", lambda x: x < F.col("e"))
+    own = ["key", "n", "comp", "root", "before"]
+    posts = cut(posts.withColumn("before", before).select("e", *own), "rare")
+    met = _tops_apart(posts, _mixed(posts, ["e"]), ["e"], own)
+    return met.where(_similar(F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b"), percent) & ~F.arrays_overlap("before_a", "before_b"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from terrakey.llm import near_dedup
 from terrakey.llm.near_dedup import near_duplicates
 
 DATA = "/root/testdata/sf0.01"
@@ -82,3 +83,53 @@ def test_families_with_members_beyond_the_limit(spark, k, most):
     want = brute(rows, k)
     assert 10 < sum(kept for *_, kept in want) < len(rows) / 2
     assert {tuple(r) for r in near_duplicates(docs, k=k).collect()} == want
+
+
+def shared_third(n, seed=6):
+    """Texts that share a hundred words and have eighty of their own, some with near copies."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        own = [f"o{i}_{j}" for j in range(80)]
+        rows.append((len(rows), " ".join(common + own)))
+        if i % 25 == 0:
+            own[rng.randrange(80)] = "other"
+            rows.append((len(rows), " ".join(common + own)))
+    return rows
+
+
+@pytest.mark.parametrize(("block", "broadcast"), [(20, 500_000), (20, 0), (400, 0)])
+def test_texts_that_share_a_passage_meet_by_rare_shingles(spark, monkeypatch, block, broadcast):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST", broadcast)
+    rows = shared_third(150)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    for start in (base, base[:60] + [f"v{i}" for i in range(60)]):
+        for _ in range(60):
+            w = list(start)
+            for at in rng.sample(range(120), rng.randint(2, 10)):
+                w[at] = f"n{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates(docs, k=2).collect()} == brute(rows, 2)
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_shared_passage(spark, monkeypatch):
+    made, real = [], near_dedup._sides
+
+    def counted(*args):
+        out = real(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_sides", counted)
+    sums = []
+    for n in (600, 2400):
+        made.clear()
+        docs = spark.createDataFrame(shared_third(n), "doc_id long, text string")
+        out = near_duplicates(docs, k=2)
+        assert out.where("not kept").count() == n // 25
+        sums.append(sum(made))
+    assert sums[1] <= 5 * max(sums[0], 1000)

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrakey.llm.common import cut
 from terrakey.llm.wordhash import U64, chunks, mix
 
 #: Dimensions of the hashed n-gram vectors, byte lengths of the n-grams.
 DIMENSIONS, LENGTHS = 8192, (1, 2, 3, 4)
-#: Bounds of the fit: labelled texts of one language, languages, centroids of a language, rounds of clustering.
-TEXTS_PER_LANGUAGE, LANGUAGES, CENTROIDS, TURNS = 1000, 200, 4, 8
+#: Bounds of the fit: labelled texts of one language, centroids of a language, rounds of clustering. The number of languages has no bound.
+TEXTS_PER_LANGUAGE, CENTROIDS, TURNS = 1000, 4, 8
 #: Share of a language's texts that may lie below its distance limit.
 REJECTED = 0.01
 
@@ -58,7 +59,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages with their centroids and distance limits; its size is bounded by LANGUAGES and CENTROIDS."""
+    """Languages with their centroids and distance limits: CENTROIDS vectors a language, all that the driver ever holds of the fit."""
 
     languages: list[str]
     idf: np.ndarray
@@ -69,52 +70,63 @@ class Model:
     def cosines(self, x: np.ndarray) -> np.ndarray:
         """Largest cosine of each text with each language's centroids."""
         near = _unit(x * self.idf) @ self.centroids.T
-        return np.stack([near[:, self.owner == i].max(axis=1) for i in range(len(self.languages))], axis=1)
+        return np.maximum.reduceat(near, np.searchsorted(self.owner, np.arange(len(self.languages))), axis=1)
+
+
+def _text_vectors(texts: pa.Array) -> np.ndarray:
+    return np.concatenate([vectors(d, o) for _, _, d, o in chunks(texts)]) if len(texts) else np.zeros((0, DIMENSIONS), np.float32)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a batch each dimension occurs, and the number of texts as the last one."""
+    for batch in batches:
+        texts, total = batch.column(0), np.zeros(DIMENSIONS + 1, np.int64)
+        for i in range(0, len(texts), 256):
+            x = _text_vectors(texts.slice(i, 256))
+            total[:-1] += (x > 0).sum(axis=0)
+            total[-1] += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS + 1)), pa.array(total)], ["dim", "n"])
+
+
+def _clustered(idf: np.ndarray):
+    """Spherical k-means of one language's texts, which are ordered by hash: its centroids and its distance limit."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h").slice(0, TEXTS_PER_LANGUAGE)
+        x = _unit(_text_vectors(table["text"].combine_chunks()) * idf)
+        c = x[np.linspace(0, len(x) - 1, min(CENTROIDS, len(x))).astype(int)]
+        for _ in range(TURNS):
+            at = (x @ c.T).argmax(axis=1)
+            c = _unit(np.stack([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(len(c))]))
+        limit = float(np.quantile((x @ c.T).max(axis=1), REJECTED))
+        return pa.table({"lang": [table["lang"][0].as_py()], "limit": [limit], "centroids": pa.array([c.astype(np.float32).tobytes()], pa.binary())})
+
+    return run
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Model from rows with a language and a text.
 
-    The fit takes a bounded sample: for each of the LANGUAGES most frequent languages the TEXTS_PER_LANGUAGE texts with
-    the smallest hashes. The sample's vectors come to the driver (at most LANGUAGES * TEXTS_PER_LANGUAGE rows); clustering
-    is spherical k-means within a language. Equal texts count once. Without any labelled text the model knows no language.
+    The fit takes a bounded sample: of each language the TEXTS_PER_LANGUAGE texts with the smallest hashes, equal texts once. A task
+    clusters the sample of one language (spherical k-means); only centroids, limits and the counts of dimensions come to the driver, never
+    a text. Languages are as many as there are. Without any labelled text the model knows no language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    counts = {r.lang: r.n for r in top}
-    if not counts:
-        return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
     # Hashes below a language's limit hold somewhat more than the texts wanted; the rest is cut exactly.
-    share = {k: min(1.0, 1.5 * TEXTS_PER_LANGUAGE / n + 100 / n) for k, n in counts.items()}
-    limit = F.create_map(*(x for k, s in share.items() for x in (F.lit(k), F.lit(int(s * (1 << 30))))))
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) <= F.try_element_at(limit, F.col("lang")))
-    near = near.groupBy("lang", "h").agg(F.min("text").alias("text")).toArrow()
-    names = near["lang"].to_pylist()
-    order = sorted(range(len(names)), key=lambda i: (names[i], near["h"][i].as_py()))
-    taken: dict[str, list[int]] = {}
-    for i in order:
-        own = taken.setdefault(names[i], [])
-        if len(own) < TEXTS_PER_LANGUAGE:
-            own.append(i)
-    languages = sorted(taken)
-    parts = []
-    for k in languages:
-        texts = near["text"].take(pa.array(taken[k]))
-        parts.append(np.concatenate([vectors(d, o) for _, _, d, o in chunks(texts)]))
-    seen = sum((x > 0).sum(axis=0) for x in parts)
-    idf = np.log((1 + sum(map(len, parts))) / (1 + seen)).astype(np.float32)
-    centroids, owner, limits = [], [], []
-    for i, x in enumerate(parts):
-        x = _unit(x * idf)
-        picks = np.linspace(0, len(x) - 1, min(CENTROIDS, len(x))).astype(int)
-        c = x[picks]
-        for _ in range(TURNS):
-            at = (x @ c.T).argmax(axis=1)
-            c = _unit(np.stack([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(len(c))]))
-        limits.append(np.quantile((x @ c.T).max(axis=1), REJECTED))
-        centroids.append(c)
-        owner += [i] * len(c)
-    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), np.array(limits))
+    share = F.least(F.lit(1.0), (1.5 * TEXTS_PER_LANGUAGE + 100) / F.col("n"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (share * (1 << 30)).cast("long").alias("most"))
+    near = rows.join(cut(sizes, "languages"), "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("most")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    near = cut(near, "labelled")
+    seen = np.zeros(DIMENSIONS + 1)
+    for r in near.select("text").mapInArrow(_seen, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
+        seen[r.dim] = r.n
+    if not seen[-1]:
+        return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
+    idf = np.log((1 + seen[-1]) / (1 + seen[:-1])).astype(np.float32)
+    found = near.groupBy("lang").applyInArrow(_clustered(idf), "lang string, limit double, centroids binary").orderBy("lang").collect()
+    parts = [np.frombuffer(r.centroids, np.float32).reshape(-1, DIMENSIONS) for r in found]
+    owner = np.repeat(np.arange(len(parts)), [len(c) for c in parts])
+    return Model([r.lang for r in found], idf, np.concatenate(parts), owner, np.array([r.limit for r in found]))
 
 
 def _predict(model: Model):

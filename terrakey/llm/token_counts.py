@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, cache: str, path: str, limit: int = 4096, id_c
     Content is normalised by taking null as empty (the tokenizer sees every other difference, so nothing else may be
     merged) and digested by SHA-256. (tokenizer version, digest) is looked up in the Parquet table ``cache``; of the
     digests that it lacks, one text each is encoded, and the counts are appended. A later run on the same cache encodes
-    only what is new. The text of a digest is found again by the smallest id of its rows (a hash of the text where the id
+    only what is new. The text of a digest is found again by an id of its rows (a hash of the text where the id
     is null), so that thousands of copies meet their digest without meeting in one task.
 
     Empty texts have no tokens. Repeated rows give repeated results. An empty table gives an empty result.
@@ -63,13 +63,14 @@ def token_counts(docs: DataFrame, cache: str, path: str, limit: int = 4096, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"), F.coalesce("doc_id", F.xxhash64("text")).alias("at"))
     stored = _cached(spark, cache, version)
-    wanted = rows.groupBy("digest").agg(F.min("at").alias("at"))
+    wanted = rows.groupBy("digest", "at").agg(F.count(F.lit(1)).alias("rows")).groupBy("digest").agg(F.min(F.struct("rows", "at")).alias("m")).select("digest", "m.at", "m.rows")
     if stored is not None:
         wanted = wanted.join(stored, "digest", "left_anti")
     wanted = cut(wanted, "misses")
-    found = rows.select("digest", "at", "text").join(wanted, ["digest", "at"]).select("digest", "text")
-    # Rows that repeat an id with its text are encoded twice at worst and counted once.
-    new = found.mapInArrow(_counts(path), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    found = rows.select("digest", "at", "text").join(wanted, ["digest", "at"])
+    # Where every row of a text shares its place (null ids, rows that repeat an id), one of them is taken first.
+    once = found.where("rows > 1").groupBy("digest").agg(F.first("text").alias("text"))
+    new = found.where("rows = 1").select("digest", "text").unionByName(once).mapInArrow(_counts(path), "digest binary, n_tokens long")
     with small_batches(spark):
         new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     known = cut(_cached(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")

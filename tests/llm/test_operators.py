@@ -398,3 +398,58 @@ def test_html_stray_end_tags_in_linear_time():
     began = time.perf_counter()
     assert main_text("<div>" * 100_000 + "</p>" * 100_000 + " ".join(["word"] * 50), {}).startswith("word word")
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize(("shards", "sizes", "alone", "whole"), [(4, [60, 45, 30, 30, 20], 55, 5), (4, [60, 60, 60], 60, 3), (3, [200], 100, 0), (24, [50] * 20, 200, 20), (3, [120, 120, 120, 120, 120], 0, 3)])
+def test_groups_that_a_shard_can_hold_stay_whole(spark, shards, sizes, alone, whole):
+    rows = [f"g{g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"alone {i}" for i in range(alone)]
+    import random
+
+    random.Random(3).shuffle(rows)
+    out = shard_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), shards).collect()
+    assert_shards(out, shards)
+    where = {}
+    for r in out:
+        where.setdefault(rows[r.doc_id], Counter())[r.shard] += 1
+    groups = [where[f"g{g}"] for g in range(len(sizes))]
+    assert sum(len(w) == 1 for w in groups) >= whole
+    if sizes == [200]:  # twice a shard's size: the fewest shards that hold it
+        assert len(groups[0]) == 2
+
+
+def test_languages_have_no_bound(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for lang in range(300):
+        a, b = letters[lang % 26], letters[lang // 26]
+        rows += [(len(rows) + i, f"l{lang:03d}", " ".join([a + b + a, b + a + b + b, a + a + b] * 5 + [letters[i] * 2])) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = fit(docs)
+    assert len(model.languages) == 300 and len(model.centroids) <= 600
+    got = {r.doc_id: r.lang_pred for r in predict(docs, model, F.lit(False)).collect()}
+    assert sum(got[i] == lang for i, lang, _ in rows) > 0.95 * len(rows)
+
+
+def test_texts_of_rows_without_ids_are_encoded_once(spark, tmp_path, monkeypatch):
+    import terrakey.llm.token_counts as tc
+
+    seen = spark.sparkContext.accumulator(0)
+    real = tc._counts
+
+    def counting(path):
+        inner = real(path)
+
+        def run(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            yield from inner(each())
+
+        return run
+
+    monkeypatch.setattr(tc, "_counts", counting)
+    rows = [(None, "one text")] * 40 + [(5, "another")] * 10 + [(i, "a third") for i in range(6, 9)]
+    out = token_counts(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "cache"), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(out) == len(rows) and len({r.n_tokens for r in out}) >= 1 and seen.value == 3

@@ -453,3 +453,29 @@ def test_texts_of_rows_without_ids_are_encoded_once(spark, tmp_path, monkeypatch
     rows = [(None, "one text")] * 40 + [(5, "another")] * 10 + [(i, "a third") for i in range(6, 9)]
     out = token_counts(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "cache"), public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert len(out) == len(rows) and len({r.n_tokens for r in out}) >= 1 and seen.value == 3
+
+
+FULL = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Unlicense"]
+
+
+@pytest.mark.parametrize("name", FULL)
+def test_each_license_gives_its_own_name_and_no_other(name):
+    around = "some prose before it and more of it here\n\n{}\n\nand other prose that follows on"
+    assert [x[0] for x in scan_block(around.format(TEMPLATES[name]), TEMPLATES)] == [name]
+    lines = "\n".join(" * " + x for x in re.findall(r"(?:\S+\s*){1,9}", TEMPLATES[name]))
+    assert [x[0] for x in scan_block(around.format(lines), TEMPLATES)] == [name]
+
+
+@pytest.mark.parametrize(("name", "old", "new"), [
+    ("GPL-3.0", "version 3", "version 4"), ("GPL-2.0", "GNU General", "GNU Library General"), ("LGPL-2.1", "version 2.1", "version 2.2"), ("AGPL-3.0", "Affero", "Eclipse"),
+    ("Apache-2.0", "Apache License, Version 2.0", "Apache License, Version 1.1"), ("BSD-3-Clause", "contributors", "contributors, nor the staff of the place where all of it was once written down by hand in a quiet room,"),
+])
+def test_a_changed_deciding_word_gives_no_license(name, old, new):
+    assert old in TEMPLATES[name]
+    got = [x[0] for x in scan_block(TEMPLATES[name].replace(old, new), TEMPLATES)]
+    assert got == (["BSD-3-Clause"] if name == "BSD-3-Clause" else [x for x in got if x not in FULL])
+    assert "BSD-2-Clause" not in got
+
+
+def test_a_version_with_or_without_zero_is_one():
+    assert [x[0] for x in scan_block(TEMPLATES["Apache-2.0"].replace("Version 2.0", "Version 2"), TEMPLATES)][:1] == ["Apache-2.0"]

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrakey.functions.ground import M_PER_DEG_LAT
-from terrakey.operators import alignment
+from terrakey.operators import alignment, instances
 from terrakey.operators.rounds import cut, fresh_path
 from terrakey.plans.alignment import SIDE, scenes
 from terrakey.plans.common import Registry, r, table
 from terrakey.plans.raster import _B, bands
+from terrakey.sources.archives import refresh_small
 from terrakey.sources.windows import read_windows, write_rasters
 
 query = Registry()
@@ -83,3 +84,39 @@ def lock_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = s.select(F.col("id").alias("run")).select("run", F.concat("run", F.lit("_a")).alias("a"), F.concat("run", F.lit("_b")).alias("b"), F.lit(step / 2).alias("lon"), F.lit(-step / 2).alias("lat"))
     out = alignment.lock_products(ids, products, tile=96, across_m=24.0, along_m=24.0, decimation=2)
     return out.select("run", "decision", *(r(c, 3).alias(c) for c in ("peak", "dx", "dy", "shift_m_across", "shift_m_along", "gsd_ratio")), "window_a", "window_b")
+
+
+def strips(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """Every scene as a product on disk, with a corner at the origin: (product, path, dtype, lines, samples, corners)."""
+    images = scenes(spark, sf_dir).select(F.col("id").alias("name"), F.col("pixels_a").alias("pixels"))
+    files = cut(write_rasters(images, root))
+    step = (SIDE - 1) / M_PER_DEG_LAT
+    corner = {"ul": (0.0, 0.0), "ur": (step, 0.0), "ll": (0.0, -step), "lr": (step, -step)}
+    places = {f"{c}_{x}": F.lit(v) for c, both in corner.items() for x, v in zip(("lon", "lat"), both, strict=True)}
+    return files.select(F.col("name").alias("product"), "path", F.lit("UnsignedByte").alias("dtype"), F.lit(SIDE).alias("lines"), F.lit(SIDE).alias("samples")).withColumns(places)
+
+
+@query()
+def family_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of every made family from every scene's product: sensors, suns, turns and zooms."""
+    p = strips(spark, sf_dir, fresh_path(spark, "sources"))
+    sources = p.select(F.col("product").alias("source"), "path", "dtype", "lines", "samples", F.lit(0.5).alias("gsd"), F.lit(0.5).alias("line_share"), (F.crc32(F.col("product").cast("binary")) % 10).cast("int").alias("loc_index"))
+    out = instances.made_instances(sources, tile=64)
+    return out.select("id", "family", "provenance", "split", "source", "level_name", "level", "status", "h_a", "h_b", *(r(c, 3).alias(c) for c in ("texture", "texture_b", "usable_a", "usable_b", "shadow_a", "shadow_b", "gsd_ratio")))
+
+
+@query()
+def location_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each scene's product and the next one's, laid over each other, have the most structure."""
+    p = strips(spark, sf_dir, fresh_path(spark, "sources"))
+    number = F.substring("product", 2, 6).cast("int")
+    pairs = p.select(F.col("product").alias("run"), F.col("product").alias("a"), F.format_string("i%06d", number + 1 - 2 * (number % 2)).alias("b"))
+    return instances.pick_locations(pairs, p, tile=32, probe=64).select("run", r("lon", 9).alias("lon"), r("lat", 9).alias("lat"), r("score", 3).alias("score"), "probed")
+
+
+@query()
+def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small images of all products, made where they were missing."""
+    root = fresh_path(spark, "sources")
+    p = strips(spark, sf_dir, root)
+    return refresh_small(p.select(F.col("product").alias("name"), "path", "lines", "samples"), root, fresh_path(spark, "small"), 80).select("name", "bytes")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrakey.functions.scoring import accepted_arm, wilson
 from terrakey.operators.matching import knn
+from terrakey.operators.order import is_large, percentiles
 
 VERDICTS = ["SUCCESS", "MARGINAL", "FAILURE", "NO_LOCK"]
 
@@ -30,7 +31,11 @@ def terrain_tertiles(runs: DataFrame) -> DataFrame:
     An instance counts once however many arms it has.
     """
     instances = runs.where("status = 'OK'").groupBy("family", "id").agg(F.max("texture").alias("texture"))
-    limits = instances.groupBy("family").agg(F.percentile("texture", 1 / 3).alias("q1"), F.percentile("texture", 2 / 3).alias("q2"), F.count("texture").alias("m"))
+    if is_large(instances):
+        limits = percentiles(instances, ["family"], "texture", {"q1": 1 / 3, "q2": 2 / 3})
+        limits = limits.join(instances.groupBy("family").agg(F.count("texture").alias("m")), "family")
+    else:
+        limits = instances.groupBy("family").agg(F.percentile("texture", 1 / 3).alias("q1"), F.percentile("texture", 2 / 3).alias("q2"), F.count("texture").alias("m"))
     band = F.when(F.col("texture") < F.col("q1"), "low").when(F.col("texture") < F.col("q2"), "mid").when(F.col("texture").isNotNull(), "high")
     return runs.join(limits, "family", "left").withColumn("terrain", F.when((F.col("status") == "OK") & (F.col("m") >= 3), band)).drop("q1", "q2", "m")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrakey.operators.order import is_large, percentiles
+
 
 def to_uint8(px: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(tile, x, y, u): values stretched from the two percentiles to 0..255, cut off and truncated.
@@ -13,7 +15,12 @@ def to_uint8(px: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     tile is 0.
     """
     px = px.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
-    limits = px.groupBy("tile").agg(F.round(F.percentile("v", low), 6).alias("lo"), F.round(F.percentile("v", high), 6).alias("hi"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+    ends = [F.min("v").alias("vmin"), F.max("v").alias("vmax")]
+    if is_large(px):
+        limits = percentiles(px, ["tile"], "v", {"lo": low, "hi": high}).join(px.groupBy("tile").agg(*ends), "tile")
+        limits = limits.withColumns({c: F.round(c, 6) for c in ("lo", "hi")})
+    else:
+        limits = px.groupBy("tile").agg(F.round(F.percentile("v", low), 6).alias("lo"), F.round(F.percentile("v", high), 6).alias("hi"), *ends)
     flat = F.col("hi") <= F.col("lo")
     a, b = F.when(flat, F.col("vmin")).otherwise(F.col("lo")), F.when(flat, F.col("vmax")).otherwise(F.col("hi"))
     share = F.coalesce(F.try_divide(F.col("v") - a, b - a), F.lit(0.0))

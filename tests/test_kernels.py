@@ -301,3 +301,35 @@ def test_greedy_dedup_of_a_long_chain_takes_few_rounds(spark, monkeypatch, step,
     df = spark.createDataFrame([("s", i, x, y) for i, (x, y) in enumerate(chain)], "family string, idx int, x double, y double")
     got = {r.idx: r.keep for r in greedy_dedup(df, task_tiles=task_tiles).collect()}
     assert got == folded(chain) and sum("first" in c and "level" not in c for c in rounds) <= most
+
+
+def test_percentiles_by_histograms_equal_the_aggregate(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from terrakey.operators import order
+
+    monkeypatch.setattr(order, "FEW", 5)
+    monkeypatch.setattr(order, "BINS", 4)
+    rng = np.random.default_rng(13)
+    rows = [("a", float(x)) for x in rng.normal(size=700)] + [("b", float(x)) for x in np.exp(rng.normal(0, 6, 400))] + [("c", 2.0)] * 50 + [("c", 3.0), ("d", 1.5), ("e", None), (None, 4.0), (None, 9.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    at = {"p1": 0.01, "t1": 1 / 3, "median": 0.5, "p90": 0.9, "p99": 0.99}
+    want, got = ({r["k"]: r for r in order.percentiles(df, ["k"], "x", at, narrow=n).collect()} for n in (False, True))
+    assert set(want) == set(got) and not order.is_large(df)
+    for k_, r in want.items():
+        for n in at:
+            assert (r[n] is None and got[k_][n] is None) or got[k_][n] == pytest.approx(r[n], rel=1e-12), (k_, n)
+    assert order.percentiles(df.where(F.lit(False)), ["k"], "x", at, narrow=True).count() == 0
+
+
+def test_large_tables_take_the_histograms_and_give_the_same(spark, monkeypatch):
+    from terrakey.operators import evaluation, order, raster
+    from terrakey.plans import evaluation as plans
+    from terrakey.plans.raster import pixels
+
+    data = "/root/testdata/sf0.001"
+    few = lambda: (sorted(raster.to_uint8(pixels(spark, data)).collect()), sorted(evaluation.terrain_tertiles(plans.judged(spark, data)).select("id", "arm", "terrain").collect(), key=str))
+    want = few()
+    monkeypatch.setattr(order, "LARGE", 0)
+    monkeypatch.setattr(order, "FEW", 50)
+    assert order.is_large(pixels(spark, data)) and few() == want

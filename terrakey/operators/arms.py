@@ -18,6 +18,8 @@ from terrakey.operators.features import DETECTORS
 
 #: Arms: name and the order in which detectors are asked.
 ARMS: dict[str, tuple[str, ...]] = {"M1_gradient": ("gradient", "corners"), "M2_corners": ("corners",)}
+#: Pairs that a task measures, about.
+PAIRS = 4
 #: Columns of an instance, beside its images h_a, w_a, pixels_a, h_b, w_b, pixels_b.
 INSTANCE = {"id": "string", "family": "string", "provenance": "string", "split": "string", "seed": "int", "status": "string", "texture": "double", "h_true": "array<double>"}
 IMAGES = [f"{c}_{s}" for s in "ab" for c in ("h", "w", "pixels")]
@@ -55,6 +57,8 @@ def run_arms(instances: DataFrame, path: str, number: int, config: str = "defaul
     ok = F.col("status") == "OK"
     for c in ("pixels_a", "pixels_b"):
         rows = rows.withColumn(c, F.when(ok, F.col(c)))
+    # A pair is seconds of work on few bytes: as many tasks as a fixed number of pairs each gives, whatever the bytes.
+    rows = rows.repartition(-(-count // PAIRS), "id", "arm")
     rows = rows.withColumns({"side_h": F.col("h_b").cast("int"), "side_w": F.col("w_b").cast("int")})
     out = measured_rows(rows, [*INSTANCE, "arm", "side_h", "side_w"], settings or Settings(), registry, order_col="order", seed_col="seed")
     floats = [f.name for f in out.schema.fields if f.dataType.simpleString() == "double"]

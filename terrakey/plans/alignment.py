@@ -11,7 +11,7 @@ from terrakey.operators import alignment, arms
 from terrakey.operators import evaluation as ops
 from terrakey.operators import kernels as k
 from terrakey.operators.registration import map_tiles
-from terrakey.operators.rounds import fresh_path
+from terrakey.operators.rounds import cut, fresh_path
 from terrakey.plans.common import Registry, r, table
 from terrakey.plans.registration import tiles
 
@@ -72,6 +72,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = max(2, orders.count() // ORDERS)
     key = F.col("o_orderkey")
     dots = orders.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("scene"), F.col("o_custkey").alias("c"), key.alias("o"), F.col("o_totalprice").cast("double").alias("v"))
+    dots = dots.repartition(-(-n // 4), "scene")  # some scenes a task, whatever their bytes
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o", kind="stable")
@@ -100,7 +101,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole round of both arms over the scenes, from a new store."""
     path = fresh_path(spark, "round")
-    arms.run_arms(scenes(spark, sf_dir), path, 1)
+    arms.run_arms(cut(scenes(spark, sf_dir)), path, 1)
     return arms.judged(arms.stored(spark, path))
 
 

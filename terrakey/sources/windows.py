@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from terrakey.operators import kernels as k
 from terrakey.sources.raster import dtype_of
 
-#: Bytes of a page, the unit of reading, and pages that a task keeps.
-PAGE, HELD = 1 << 18, 256
+#: Bytes of a page, the unit of reading, pages that a task keeps, and bytes of small windows that leave it together.
+PAGE, HELD, OUT = 1 << 18, 256, 1 << 22
 #: What a row of the table of windows says: the product and the half-open window; bands are null for a plain image.
 PRODUCT = ["path", "dtype", "lines", "samples", "bands"]
 WINDOW = ["sample0", "line0", "sample1", "line1", "band_lo", "band_hi"]
@@ -108,7 +108,7 @@ def read_windows(windows: DataFrame, keep: list[str], eight_bit: bool = False) -
 
     ``windows`` has ``PRODUCT`` and ``WINDOW``; with ``to_h`` and ``to_w`` as well, an image of that size is given, by means over
     what a cell covers. Windows are clipped to the product, bands to those there are. Rows are dealt by file and first byte and read in that order, so
-    neighbouring windows share pages; a task holds one window and some pages. ``eight_bit`` stretches between the 1st and 99th percentile. A window that
+    neighbouring windows share pages; a task holds one window, or several small ones, and some pages. ``eight_bit`` stretches between the 1st and 99th percentile. A window that
     is empty or names an unknown type, a missing or a short file gives a row with the error and without pixels; so does a null in what is needed.
     """
     sized = {"to_h", "to_w"} <= set(windows.columns)
@@ -116,7 +116,7 @@ def read_windows(windows: DataFrame, keep: list[str], eight_bit: bool = False) -
     columns = [*keep, "sample0", "line0", "sample1", "line1", "h", "w", "pixel_type", "pixels", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, pages = None, None
+        path, pages, held, size = None, None, [], 0
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 out = dict.fromkeys(columns) | {c: row[f"_k_{c}"] for c in keep}
@@ -134,11 +134,18 @@ def read_windows(windows: DataFrame, keep: list[str], eight_bit: bool = False) -
                     out |= dict(zip(WINDOW[:4], box, strict=True)) | {"h": v.shape[0], "w": v.shape[1], "pixel_type": v.dtype.str, "pixels": v.tobytes()}
                 except (OSError, ValueError) as e:
                     out["error"] = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame([out], columns=columns)
+                held.append(out)
+                size += len(out["pixels"] or b"")
+                if size > OUT or len(held) >= 500:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     at = (F.coalesce("band_lo", F.lit(0)).cast("long") * F.col("lines") + F.greatest(F.lit(0), F.col("line0"))) * F.col("samples")
     rows = windows.select(*(F.col(c).alias(f"_k_{c}") for c in keep), *PRODUCT, *WINDOW, *(["to_h", "to_w"] if sized else []), at.alias("_at"))
-    rows = rows.repartitionByRange("path", "_at").sortWithinPartitions("path", "_at").drop("_at")
+    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are short, but what they ask for is not: not to be joined by their bytes
+    rows = rows.repartitionByRange(parts, "path", "_at").sortWithinPartitions("path", "_at").drop("_at")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     return rows.mapInPandas(run, f"{schema}, sample0 int, line0 int, sample1 int, line1 int, h int, w int, pixel_type string, pixels binary, error string")
 

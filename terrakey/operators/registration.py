@@ -62,26 +62,33 @@ def _fit_groups(matches: DataFrame, method: str, threshold: float, seed: int) ->
 
 
 def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray, pd.Series], np.ndarray]) -> DataFrame:
-    """Tiles (tile, h, w, pixels) through a kernel, tile by tile, without a shuffle."""
+    """Tiles (tile, h, w, pixels) through a kernel, tile by tile, without a shuffle. A tile without pixels or size stays one, of 0 x 0 cells."""
+    known = F.col("pixels").isNotNull() & F.col("h").isNotNull() & F.col("w").isNotNull()
+    tiles = tiles.withColumns({"pixels": F.when(known, F.col("pixels")), "h": F.coalesce("h", F.lit(0)), "w": F.coalesce("w", F.lit(0))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [kernel(np.frombuffer(t["pixels"], np.uint8).reshape(t["h"], t["w"]), t) for _, t in pdf.iterrows()]
+            none = np.zeros((0, 0), np.uint8)
+            out = [none if t["pixels"] is None else kernel(np.frombuffer(t["pixels"], np.uint8).reshape(t["h"], t["w"]), t) for _, t in pdf.iterrows()]
             yield pd.DataFrame({"tile": pdf["tile"], "h": [x.shape[0] for x in out], "w": [x.shape[1] for x in out], "pixels": [x.tobytes() for x in out]})
 
     return tiles.mapInPandas(run, f"tile {tiles.schema['tile'].dataType.simpleString()}, h int, w int, pixels binary")
 
 
 def lock_pairs(pairs: DataFrame) -> DataFrame:
-    """Where the template tile of each pair lies in its image tile: (pair, x, y, peak, ratio, z)."""
+    """Where the template tile of each pair lies in its image tile: (pair, x, y, peak, ratio, z); nulls where a tile is missing or the template does not fit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for _, p in pdf.iterrows():
-                image, template = (k.clahe(np.frombuffer(p[f"pixels_{s}"], np.uint8).reshape(p[f"h_{s}"], p[f"w_{s}"])) for s in "ab")
+                missing = any(p[f"{c}_{s}"] is None or (c != "pixels" and pd.isna(p[f"{c}_{s}"])) for s in "ab" for c in ("h", "w", "pixels"))
+                if missing or min(p["h_b"], p["w_b"]) < 1 or p["h_b"] > p["h_a"] or p["w_b"] > p["w_a"]:
+                    rows.append({"pair": p["pair"]})
+                    continue
+                image, template = (k.clahe(np.frombuffer(p[f"pixels_{s}"], np.uint8).reshape(int(p[f"h_{s}"]), int(p[f"w_{s}"]))) for s in "ab")
                 rows.append({"pair": p["pair"], **k.lock(k.correlation(image, template))})
-            yield pd.DataFrame(rows, columns=["pair", "x", "y", "peak", "ratio", "z"])
+            yield pd.DataFrame(rows, columns=["pair", "x", "y", "peak", "ratio", "z"], dtype=object).where(lambda d: d.notna(), None)
 
     return pairs.mapInPandas(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, x int, y int, peak double, ratio double, z double")
 

@@ -41,7 +41,10 @@ def instance_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(old, new, "family", ["1-URGENT", "2-HIGH"])
 
 
-@query()
+_CRC = "list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(p_name, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"
+
+
+@query(f"SELECT p_name, xor({_CRC}, 4294967295) & 2147483647 AS seed FROM part")
 def seed_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeatable seeds of names."""
     return table(spark, sf_dir, "part").select("p_name", (F.crc32(F.col("p_name").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF))).alias("seed"))

@@ -333,3 +333,17 @@ def test_large_tables_take_the_histograms_and_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(order, "LARGE", 0)
     monkeypatch.setattr(order, "FEW", 50)
     assert order.is_large(pixels(spark, data)) and few() == want
+
+
+def test_tiles_and_pairs_without_pixels(spark):
+    from terrakey.operators.registration import lock_pairs, map_tiles
+
+    img = scene(5)
+    tiles = spark.createDataFrame([(1, 96, 96, img.tobytes()), (2, None, 96, img.tobytes()), (3, 96, 96, None)], "tile long, h int, w int, pixels binary")
+    out = {r["tile"]: r for r in map_tiles(tiles, lambda x, _: x[::2, ::2].copy()).collect()}
+    assert (out[1]["h"], out[1]["w"]) == (48, 48) and all((out[i]["h"], out[i]["w"], bytes(out[i]["pixels"])) == (0, 0, b"") for i in (2, 3))
+    pair = "pair long, h_a int, w_a int, pixels_a binary, h_b int, w_b int, pixels_b binary"
+    part = np.ascontiguousarray(img[20:52, 33:65])
+    rows = [(1, 96, 96, img.tobytes(), 32, 32, part.tobytes()), (2, 96, 96, None, 32, 32, part.tobytes()), (3, 32, 32, part.tobytes(), 96, 96, img.tobytes()), (4, None, 96, img.tobytes(), 32, 32, part.tobytes())]
+    out = {r["pair"]: r for r in lock_pairs(spark.createDataFrame(rows, pair)).collect()}
+    assert (out[1]["x"], out[1]["y"]) == (33, 20) and all(out[i]["peak"] is None and out[i]["x"] is None for i in (2, 3, 4))

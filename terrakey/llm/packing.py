@@ -71,20 +71,31 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         parts = [None if _UNUSUAL.search(x) else _WORDS.findall(x.lower()) for x in texts]
-        new: set[str] = set()
-        for x in parts:
-            if x:
-                new.update(x)
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new.difference_update(self.known)
-        again = new.intersection(self.older)
-        self.known.update((x, self.older[x]) for x in again)
-        new -= again
-        if new:
-            self._learn(list(new))
-        for text, x in zip(texts, parts, strict=True):
-            yield self._whole(text) if x is None else b"".join(map(self.known.__getitem__, x))
+        out: list[bytes] = []
+        unknown: list[int] = []
+        known = self.known.__getitem__
+        for i, x in enumerate(parts):
+            try:
+                out.append(self._whole(texts[i]) if x is None else b"".join(map(known, x)))
+            except KeyError:
+                out.append(b"")
+                unknown.append(i)
+        if unknown:
+            # Only texts with a word that is not known are looked through for their new words.
+            new: set[str] = set()
+            for i in unknown:
+                new.update(parts[i])
+            new.difference_update(self.known)
+            again = new.intersection(self.older)
+            self.known.update((x, self.older[x]) for x in again)
+            new -= again
+            if new:
+                self._learn(list(new))
+            for i in unknown:
+                out[i] = b"".join(map(known, parts[i]))
+        yield from out
 
 
 _coders: dict[str, WordCoder] = {}

@@ -49,19 +49,23 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEFT JOIN bd ON bd.band - 1 = b.band AND bd.x = x.x AND bd.y = y.y),
 q AS (SELECT p_partkey AS id, p_partkey * 7 % 90 - 12 AS s, p_partkey * 11 % 84 - 9 AS l, 3 + p_partkey % 20 AS w, 2 + p_partkey % 17 AS h, greatest(0, least({BANDS - 1}, p_partkey % 11 - 2)) AS lo, p_partkey % 11 - 2 + p_partkey % 4 AS hi FROM part),
 c AS (SELECT id, greatest(0, s) AS s0, greatest(0, l) AS l0, least({CELLS}, s + w) AS s1, least({CELLS}, l + h) AS l1, lo, greatest(lo + 1, least({BANDS}, hi)) AS hi FROM q)
-SELECT id, CAST(CASE WHEN s1 > s0 AND l1 > l0 THEN l1 - l0 ELSE 0 END AS INTEGER) AS h, CAST(CASE WHEN s1 > s0 AND l1 > l0 THEN s1 - s0 ELSE 0 END AS INTEGER) AS w, round(avg(v), 2) AS mean FROM c LEFT JOIN g ON x >= s0 AND x < s1 AND y >= l0 AND y < l1 AND band >= lo AND band < hi GROUP BY ALL""")
+SELECT id, CAST(CASE WHEN s1 > s0 AND l1 > l0 THEN l1 - l0 ELSE 0 END AS INTEGER) AS h, CAST(CASE WHEN s1 > s0 AND l1 > l0 THEN s1 - s0 ELSE 0 END AS INTEGER) AS w, coalesce(sum(v), 0)::BIGINT AS total FROM c LEFT JOIN g ON x >= s0 AND x < s1 AND y >= l0 AND y < l1 AND band >= lo AND band < hi GROUP BY ALL""")
 def window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band means of every window that is asked for, read from the product's file; one outside it has no cells."""
+    """The sum over its bands of every window that is asked for, from its band means as read from the product's file; one outside it has no cells.
+
+    Means are in 32 bits, so they are off by less than what would change the whole number that the sum is.
+    """
     one = cube(spark, sf_dir).select("path", F.lit("UnsignedLSB2").alias("dtype"), F.lit(CELLS).alias("lines"), F.lit(CELLS).alias("samples"), F.lit(BANDS).alias("bands"))
-    windows = read_windows(asked(spark, sf_dir).join(F.broadcast(one)), ["id"])
+    lo = F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.col("band_lo")))
+    windows = asked(spark, sf_dir).withColumn("depth", F.greatest(lo + 1, F.least(F.lit(BANDS), F.col("band_hi"))) - lo)
+    windows = read_windows(windows.join(F.broadcast(one)), ["id", "depth"])
 
-    def mean(batches):
+    def total(batches):
         for pdf in batches:
-            values = [None if x is None else float(np.frombuffer(x, t).mean(dtype=float)) for x, t in zip(pdf["pixels"], pdf["pixel_type"], strict=True)]
-            yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"].fillna(0).astype(int), "w": pdf["w"].fillna(0).astype(int), "mean": pd.Series(values, dtype=object)})
+            sums = [0 if x is None else round(float(np.frombuffer(x, t).sum(dtype=float)) * d) for x, t, d in zip(pdf["pixels"], pdf["pixel_type"], pdf["depth"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"].fillna(0).astype(int), "w": pdf["w"].fillna(0).astype(int), "total": sums})
 
-    out = windows.mapInPandas(mean, "id long, h int, w int, mean double")
-    return out.select("id", "h", "w", r("mean", 2).alias("mean"))
+    return windows.mapInPandas(total, "id long, h int, w int, total long")
 
 
 @query()

@@ -479,3 +479,21 @@ def test_a_changed_deciding_word_gives_no_license(name, old, new):
 
 def test_a_version_with_or_without_zero_is_one():
     assert [x[0] for x in scan_block(TEMPLATES["Apache-2.0"].replace("Version 2.0", "Version 2"), TEMPLATES)][:1] == ["Apache-2.0"]
+
+
+def test_the_conditional_size_decides_between_overlapping_licenses():
+    """Five short words in common weigh less than four, of which three are long: what the dictionary takes off the size counts, not the words."""
+    templates = {"short": "a b c d license", "long": "license characteristically unconstitutional internationalization"}
+    got = scan_block("a b c d license characteristically unconstitutional internationalization", templates)
+    assert [x[0] for x in got] == ["long"]
+
+
+def test_only_pieces_that_a_template_reduces_are_aligned(monkeypatch):
+    import terrakey.llm.licenses as licenses
+
+    text = f"words before {TEMPLATES['ISC']} words after"
+    assert [x[0] for x in scan_block(text, TEMPLATES)] == ["ISC"]
+    aligned = []
+    monkeypatch.setattr(licenses, "_size", lambda block, template: len(block))  # no dictionary helps
+    monkeypatch.setattr(licenses, "_wording", lambda *x: aligned.append(x))
+    assert scan_block(text, TEMPLATES) == [] and not aligned

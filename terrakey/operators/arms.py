@@ -15,10 +15,11 @@ from terrakey.operators import kernels as k
 from terrakey.operators.alignment import RUN_SCHEMA, Detector, Settings, measured_rows
 from terrakey.operators.evaluation import other_arm, terrain_tertiles
 from terrakey.operators.features import DETECTORS
+from terrakey.operators.rounds import tasks
 
 #: Arms: name and the order in which detectors are asked.
 ARMS: dict[str, tuple[str, ...]] = {"M1_gradient": ("gradient", "corners"), "M2_corners": ("corners",)}
-#: Pairs that a task measures, about.
+#: Pairs that a task measures, about, where there are not many.
 PAIRS = 4
 #: Columns of an instance, beside its images h_a, w_a, pixels_a, h_b, w_b, pixels_b.
 INSTANCE = {"id": "string", "family": "string", "provenance": "string", "split": "string", "seed": "int", "status": "string", "texture": "double", "h_true": "array<double>"}
@@ -53,12 +54,15 @@ def run_arms(instances: DataFrame, path: str, number: int, config: str = "defaul
     count = wanted.count()
     if not count:
         return 0
-    rows = asked.join(wanted.groupBy("id").agg(F.collect_list(F.struct("arm", "order")).alias("todo")), "id").select("*", F.explode("todo").alias("x")).drop("todo").select("*", "x.arm", "x.order").drop("x")
+    rows, todo = asked, every
+    if not done.isEmpty():  # else every arm of every instance is wanted, and images have nothing to meet
+        rows, todo = asked.join(wanted.groupBy("id").agg(F.collect_list(F.struct("arm", "order")).alias("todo")), "id"), F.explode("todo")
     ok = F.col("status") == "OK"
     for c in ("pixels_a", "pixels_b"):
         rows = rows.withColumn(c, F.when(ok, F.col(c)))
-    # A pair is seconds of work on few bytes: as many tasks as a fixed number of pairs each gives, whatever the bytes.
-    rows = rows.repartition(-(-count // PAIRS), "id", "arm")
+    # A pair is seconds of work on few bytes: tasks are dealt by the number of pairs, whatever the bytes. Arms part after the shuffle, so pixels move once.
+    rows = rows.repartition(tasks(count, PAIRS), "id")
+    rows = rows.withColumn("x", todo).select("*", "x.arm", "x.order").drop("x", "todo")
     rows = rows.withColumns({"side_h": F.col("h_b").cast("int"), "side_w": F.col("w_b").cast("int")})
     out = measured_rows(rows, [*INSTANCE, "arm", "side_h", "side_w"], settings or Settings(), registry, order_col="order", seed_col="seed")
     floats = [f.name for f in out.schema.fields if f.dataType.simpleString() == "double"]

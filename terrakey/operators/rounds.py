@@ -19,6 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def tasks(items: int, few: int = 4, most: int = 64) -> int:
+    """Tasks for heavy items on few bytes: ``few`` items in each where that keeps all cores busy, up to ``most`` of many.
+
+    Blocks of a shuffle are the product of its tasks on both sides, so tasks that grow as fast as the items would let them grow with the square.
+    """
+    return max(1, min(-(-items // few), max(512, -(-items // most))))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from terrakey.operators import alignment, arms
 from terrakey.operators import evaluation as ops
 from terrakey.operators import kernels as k
 from terrakey.operators.registration import map_tiles
-from terrakey.operators.rounds import cut, fresh_path
+from terrakey.operators.rounds import cut, fresh_path, tasks
 from terrakey.plans.common import Registry, r, table
 from terrakey.plans.registration import tiles
 
@@ -62,17 +62,17 @@ def locate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIDE, ORDERS = 256, 750
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scenes(spark: SparkSession, sf_dir: str, both: bool = True) -> DataFrame:
     """Instances (id, ..., images): a scene for some hundred orders, drawn as bumps, and the same scene turned, scaled or lit otherwise.
 
     The number of scenes grows with the orders. Families: near (a small turn), scale, turn, and blind, whose true map is withheld. Some
-    instances have no lock or are excluded.
+    instances have no lock or are excluded. Without ``both`` the second image and the texture are left out.
     """
     orders = table(spark, sf_dir, "orders")
     n = max(2, orders.count() // ORDERS)
     key = F.col("o_orderkey")
     dots = orders.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("scene"), F.col("o_custkey").alias("c"), key.alias("o"), F.col("o_totalprice").cast("double").alias("v"))
-    dots = dots.repartition(-(-n // 4), "scene")  # some scenes a task, whatever their bytes
+    dots = dots.repartition(tasks(n), "scene")  # some scenes a task, whatever their bytes
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o", kind="stable")
@@ -88,10 +88,10 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
         angle, size = np.radians({"near": 2, "scale": 5, "turn": 25 + i % 30, "blind": 3}[family]), 1.4 if family == "scale" else 1.0
         c, s, mid = size * np.cos(angle), size * np.sin(angle), (SIDE - 1) / 2
         h = np.array([[c, -s, mid - c * mid + s * mid + i % 7], [s, c, mid - s * mid - c * mid - i % 5], [0, 0, 1]])
-        b = np.clip(k.warp(a, h, a.shape, mirror=True) * 0.9 + 8, 0, 255).astype(np.uint8)
+        b = np.clip(k.warp(a, h, a.shape, mirror=True) * 0.9 + 8, 0, 255).astype(np.uint8) if both else None
         status = "NO_LOCK" if i % 19 == 7 else "FILL" if i % 23 == 11 else "OK"
-        row = {"id": f"i{i:06d}", "family": family, "provenance": "drawn", "split": "test" if i % 3 == 0 else "dev", "seed": i, "status": status, "texture": k.texture(a), "h_true": None if family == "blind" else h.ravel().tolist()}
-        row |= {f"{c}_{s}": v for s, x in (("a", a), ("b", b)) for c, v in (("h", SIDE), ("w", SIDE), ("pixels", x.tobytes()))}
+        row = {"id": f"i{i:06d}", "family": family, "provenance": "drawn", "split": "test" if i % 3 == 0 else "dev", "seed": i, "status": status, "texture": k.texture(a) if both else None, "h_true": None if family == "blind" else h.ravel().tolist()}
+        row |= {f"{c}_{s}": v for s, x in (("a", a), ("b", b)) for c, v in (("h", SIDE), ("w", SIDE), ("pixels", None if x is None else x.tobytes()))}
         return pd.DataFrame([row])
 
     schema = ", ".join(f"{c} {t}" for c, t in arms.INSTANCE.items()) + ", " + ", ".join(f"h_{s} int, w_{s} int, pixels_{s} binary" for s in "ab")

@@ -71,7 +71,7 @@ def window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lock_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scene and the same scene moved are products on disk, whose labels err by the move; the lock finds it."""
-    s = scenes(spark, sf_dir)
+    s = scenes(spark, sf_dir, both=False)
 
     def moved(batches):
         for pdf in batches:
@@ -85,14 +85,15 @@ def lock_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = {"ul": (0.0, 0.0), "ur": (step, 0.0), "ll": (0.0, -step), "lr": (step, -step)}
     places = {f"{c}_{x}": F.lit(v) for c, both in corner.items() for x, v in zip(("lon", "lat"), both, strict=True)}
     products = files.select(F.col("name").alias("product"), "path", F.lit("UnsignedByte").alias("dtype"), F.lit(SIDE).alias("lines"), F.lit(SIDE).alias("samples")).withColumns(places)
-    ids = s.select(F.col("id").alias("run")).select("run", F.concat("run", F.lit("_a")).alias("a"), F.concat("run", F.lit("_b")).alias("b"), F.lit(step / 2).alias("lon"), F.lit(-step / 2).alias("lat"))
+    # Names come from what was written, as the scenes would be drawn again for theirs.
+    ids = files.where(F.col("name").endswith("_a")).select(F.expr("left(name, length(name) - 2)").alias("run")).select("run", F.concat("run", F.lit("_a")).alias("a"), F.concat("run", F.lit("_b")).alias("b"), F.lit(step / 2).alias("lon"), F.lit(-step / 2).alias("lat"))
     out = alignment.lock_products(ids, products, tile=96, across_m=24.0, along_m=24.0, decimation=2)
     return out.select("run", "decision", *(r(c, 3).alias(c) for c in ("peak", "dx", "dy", "shift_m_across", "shift_m_along", "gsd_ratio")), "window_a", "window_b")
 
 
 def strips(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     """Every scene as a product on disk, with a corner at the origin: (product, path, dtype, lines, samples, corners)."""
-    images = scenes(spark, sf_dir).select(F.col("id").alias("name"), F.col("pixels_a").alias("pixels"))
+    images = scenes(spark, sf_dir, both=False).select(F.col("id").alias("name"), F.col("pixels_a").alias("pixels"))
     files = cut(write_rasters(images, root))
     step = (SIDE - 1) / M_PER_DEG_LAT
     corner = {"ul": (0.0, 0.0), "ur": (step, 0.0), "ll": (0.0, -step), "lr": (step, -step)}

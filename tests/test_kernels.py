@@ -347,3 +347,51 @@ def test_tiles_and_pairs_without_pixels(spark):
     rows = [(1, 96, 96, img.tobytes(), 32, 32, part.tobytes()), (2, 96, 96, None, 32, 32, part.tobytes()), (3, 32, 32, part.tobytes(), 96, 96, img.tobytes()), (4, None, 96, img.tobytes(), 32, 32, part.tobytes())]
     out = {r["pair"]: r for r in lock_pairs(spark.createDataFrame(rows, pair)).collect()}
     assert (out[1]["x"], out[1]["y"]) == (33, 20) and all(out[i]["peak"] is None and out[i]["x"] is None for i in (2, 3, 4))
+
+
+def test_samples_of_four_by_the_block_are_those_of_single_draws():
+    for n in (5, 6, 17, 300, 5000):
+        one, two = np.random.default_rng(n), np.random.default_rng(n)
+        assert (np.stack([one.choice(n, 4, replace=False) for _ in range(400)]) == k.fours(two, n, 400)).all()
+        assert one.random() == two.random()
+
+
+def test_maps_in_closed_form_are_those_of_the_fit():
+    rng = np.random.default_rng(4)
+    a, b = rng.uniform(0, 256, (200, 4, 2)), rng.uniform(0, 256, (200, 4, 2))
+    a[:5, 2] = (a[:5, 0] + a[:5, 1]) / 2  # three on a line
+    (maps, ok), (rough, sure) = k.fit_fours(a, b), k.rough_fours(a, b)
+    rough = rough / rough[:, 2:, 2:]
+    assert not sure[:5].any() and sure[5:].mean() > 0.95
+    assert ok[sure].all() and np.allclose(maps[sure], rough[sure], rtol=1e-5, atol=1e-5)
+
+
+def test_the_best_of_many_samples_is_that_of_one_after_the_other(monkeypatch):
+    """A map without matches takes all samples, of which few may be fitted with care."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 256, (120, 2)).astype(float), rng.integers(0, 256, (120, 2)).astype(float)
+    draws, best = np.random.default_rng(7), -np.inf
+    picks = [draws.choice(len(a), 4, replace=False) for _ in range(2000)]
+    for p in picks:
+        h, ok = k.fit_fours(a[p][None], b[p][None])
+        if ok[0]:
+            best = max(best, float(k.SCORES["magsac"](k.residuals(h[0], a, b), 3.0)))
+    fitted, fit = [], k.fit_fours
+    monkeypatch.setattr(k, "fit_fours", lambda x, y: (fitted.append(len(x)), fit(x, y))[1])
+    (score, _), *_ = k.best_samples(a, b, "magsac", 3.0, iterations=2000, seed=7)
+    assert abs(score - best) < 1e-9 and sum(fitted) < 500
+
+
+def test_corners_are_taken_strongest_first_and_apart():
+    img = k.blur(np.random.default_rng(3).uniform(0, 255, (96, 80)), 1.5).astype(np.uint8)
+    xy, desc = k.corners(img, 50)
+    more, _ = k.corners(img, 10_000)
+    assert len(xy) == 50 and (more[:50] == xy).all() and np.allclose(np.linalg.norm(desc, axis=1), 1)
+    far = np.abs(more[:, None] - more[None]).max(axis=2) + 99 * np.eye(len(more))
+    assert far.min() > 4
+
+
+def test_tasks_do_not_grow_as_fast_as_many_items():
+    from terrakey.operators.rounds import tasks
+
+    assert [tasks(n) for n in (0, 3, 200, 2048, 12_000, 72_000)] == [1, 1, 50, 512, 512, 1125]

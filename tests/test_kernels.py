@@ -395,3 +395,20 @@ def test_tasks_do_not_grow_as_fast_as_many_items():
     from terrakey.operators.rounds import tasks
 
     assert [tasks(n) for n in (0, 3, 200, 2048, 12_000, 72_000)] == [1, 1, 50, 512, 512, 1125]
+
+
+def test_boxes_that_many_rows_share_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Rows of one box meet in blocks, so no task gives all their pairs; what depends on the boxes alone is worked out once for each pair of them."""
+    from terrakey.operators import overlap
+
+    monkeypatch.setattr(overlap, "BLOCK", 8)
+    monkeypatch.setattr(overlap, "PAIRS", 100)
+    names = "id long, lon_min double, lon_max double, lat_min double, lat_max double"
+    a = spark.createDataFrame([(i, 0.0, 3.0, 0.0, 4.0) for i in range(40)] + [(100, 50.0, 53.0, 0.0, 4.0), (101, None, 3.0, 0.0, 4.0)], names)
+    b = spark.createDataFrame([(i, 1.0, 4.0, -1.0, 3.0) for i in range(60)] + [(200, 3.0, 5.0, 0.0, 4.0)], names)
+    out = overlap.overlap_join(a, b, more={"area": (F.col("lon_max") - F.col("lon_min")) * (F.col("lat_max") - F.col("lat_min"))})
+    parts = out.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    rows = out.collect()
+    assert {(r.id_a, r.id_b) for r in rows} == {(i, j) for i in range(40) for j in range(60)} and len(rows) == 2400 and {r.area for r in rows} == {6.0}
+    assert len(parts) >= 8 and max(p["count"] for p in parts) <= 600
+    assert overlap.overlap_join(a.where("id > 99"), b).collect() == []

@@ -37,7 +37,8 @@ def terrain_tertiles(runs: DataFrame) -> DataFrame:
     else:
         limits = instances.groupBy("family").agg(F.percentile("texture", 1 / 3).alias("q1"), F.percentile("texture", 2 / 3).alias("q2"), F.count("texture").alias("m"))
     band = F.when(F.col("texture") < F.col("q1"), "low").when(F.col("texture") < F.col("q2"), "mid").when(F.col("texture").isNotNull(), "high")
-    return runs.join(limits, "family", "left").withColumn("terrain", F.when((F.col("status") == "OK") & (F.col("m") >= 3), band)).drop("q1", "q2", "m")
+    # One row a family: broadcast, as a shuffle by family would gather a family's runs in a task.
+    return runs.join(F.broadcast(limits), "family", "left").withColumn("terrain", F.when((F.col("status") == "OK") & (F.col("m") >= 3), band)).drop("q1", "q2", "m")
 
 
 def summary(runs: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrakey.operators.rounds import cut
 
 #: Bins of a histogram, values that are sorted at the end, and the bytes of the tables read from which groups are narrowed down.
-BINS, FEW, LARGE = 256, 2048, 32 << 30
+BINS, FEW, LARGE = 256, 2048, 128 << 20
 
 
 def is_large(df: DataFrame) -> bool:

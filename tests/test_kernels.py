@@ -412,3 +412,22 @@ def test_boxes_that_many_rows_share_are_dealt_to_many_tasks(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in rows} == {(i, j) for i in range(40) for j in range(60)} and len(rows) == 2400 and {r.area for r in rows} == {6.0}
     assert len(parts) >= 8 and max(p["count"] for p in parts) <= 600
     assert overlap.overlap_join(a.where("id > 99"), b).collect() == []
+
+
+def test_thirds_gather_no_family_in_a_task(spark, monkeypatch):
+    """Limits of families are broadcast, so runs stay where they are, and large tables have them from histograms, with the same result."""
+    from terrakey.operators import evaluation, order
+
+    assert order.LARGE <= 256 << 20
+    rows = [("f" if i % 3 else "g", i // 2, i % 2, float((i // 2) * 37 % 1009), "OK" if i % 11 else "FILL") for i in range(6000)]
+    runs = spark.createDataFrame(rows, "family string, id long, arm int, texture double, status string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = evaluation.terrain_tertiles(runs)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        want = sorted(out.select("family", "id", "arm", "terrain").collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(order, "LARGE", -1)
+    assert sorted(evaluation.terrain_tertiles(runs).select("family", "id", "arm", "terrain").collect(), key=str) == want

@@ -431,3 +431,13 @@ def test_thirds_gather_no_family_in_a_task(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     monkeypatch.setattr(order, "LARGE", -1)
     assert sorted(evaluation.terrain_tertiles(runs).select("family", "id", "arm", "terrain").collect(), key=str) == want
+
+
+def test_a_sun_that_pairs_share_is_traced_once(monkeypatch):
+    img = np.random.default_rng(2).integers(0, 255, (40, 48)).astype(np.uint8)
+    traced, shifted = [], k._shifted
+    monkeypatch.setattr(k, "_shifted", lambda *x: (traced.append(1), shifted(*x))[1])
+    first = k.relight(img, 45.0, 15.0, 1, 22.0, 0.10)
+    steps = len(traced)
+    assert steps and (k.relight(img, 45.0, 15.0, 1, 22.0, 0.10) == first).all() and len(traced) == steps
+    assert k.relight(img, 46.0, 15.0, 1, 22.0, 0.10).shape == img.shape and len(traced) == 2 * steps

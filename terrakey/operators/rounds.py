@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows, and bytes of images and entries of lists in them, that leave a task together.
+ROWS, BYTES = 64, 1 << 24
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, of ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
@@ -27,6 +32,19 @@ def tasks(items: int, few: int = 4, most: int = 64) -> int:
     return max(1, min(-(-items // few), max(512, -(-items // most))))
 
 
+def framed(rows: Iterable[dict], columns: Sequence[str], dtype: object = None) -> Iterator[pd.DataFrame]:
+    """Rows as data frames of some rows each: a frame for every row would take as long as what is in it."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) * (1 if isinstance(v, bytes) else 256) for v in row.values() if isinstance(v, (bytes, list)))
+        if len(held) >= ROWS or size > BYTES:
+            yield pd.DataFrame(held, columns=columns, dtype=dtype)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns, dtype=dtype)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

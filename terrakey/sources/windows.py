@@ -144,7 +144,9 @@ def read_windows(windows: DataFrame, keep: list[str], eight_bit: bool = False) -
 
     at = (F.coalesce("band_lo", F.lit(0)).cast("long") * F.col("lines") + F.greatest(F.lit(0), F.col("line0"))) * F.col("samples")
     rows = windows.select(*(F.col(c).alias(f"_k_{c}") for c in keep), *PRODUCT, *WINDOW, *(["to_h", "to_w"] if sized else []), at.alias("_at"))
-    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are short, but what they ask for is not: not to be joined by their bytes
+    spark = windows.sparkSession
+    # Rows are short, but what they ask for is not: not to be joined by their bytes, and enough for all cores to end at about the same time.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     rows = rows.repartitionByRange(parts, "path", "_at").sortWithinPartitions("path", "_at").drop("_at")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     return rows.mapInPandas(run, f"{schema}, sample0 int, line0 int, sample1 int, line1 int, h int, w int, pixel_type string, pixels binary, error string")

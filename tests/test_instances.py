@@ -10,6 +10,7 @@ from terrakey.functions.ground import M_PER_DEG_LAT
 from terrakey.operators import alignment
 from terrakey.operators import instances as ins
 from terrakey.operators import kernels as k
+from terrakey.operators import rounds
 from terrakey.sources import archives
 
 SOURCES = "source string, path string, dtype string, lines int, samples int, gsd double, line_share double, loc_index int"
@@ -153,3 +154,33 @@ def test_small_images_are_made_again_when_their_source_is_newer(spark, tmp_path)
     os.utime(tmp_path / "full" / "little.img", (later, later))
     assert [r["name"] for r in archives.refresh_small(df, str(tmp_path / "full"), small, 40).collect()] == ["little"]
 
+
+
+def test_suns_of_a_scene_share_its_relief_and_shadows_are_those_of_plain_rays(monkeypatch):
+    rng = np.random.default_rng(11)
+    img = k.stretch(k.blur(rng.normal(size=(52, 44)), 2.0))
+    found, plain = [], k.relief
+    monkeypatch.setattr(k, "relief", lambda x: (found.append(1), plain(x))[1])
+    for seed, azimuth in enumerate((45.0, 90.0, 105.0, 225.0)):
+        k.relight(img, 45.0, 15.0, seed, 22.0, 0.10)
+        k.relight(img, azimuth, 22.0, seed, 22.0, 0.10)
+    assert len(found) == 1
+    for azimuth, elevation, z in ((45.0, 15.0, plain(img)), (200.0, 4.0, plain(img)), (90.0, 60.0, rng.random((9, 30))), (0.0, 0.0, np.zeros((6, 6)))):
+        slope, rows, cols = np.tan(np.radians(max(elevation, k.LEAST_ELEVATION))), *z.shape
+        dx, dy = np.sin(np.radians(azimuth)), -np.cos(np.radians(azimuth))
+        high, horizon = z * 22.0, np.full(z.shape, -np.inf)
+        for i in range(1, int(min(160, max(24, 22.0 / max(slope, 1e-3)))) + 1):
+            y, x = np.clip(np.arange(rows) + dy * i, 0, rows - 1), np.clip(np.arange(cols) + dx * i, 0, cols - 1)
+            r, c = np.floor(y).astype(int), np.floor(x).astype(int)
+            s, t = (y - r)[:, None], x - c
+            low, up = (high[j][:, c] * (1 - t) + high[j][:, np.minimum(c + 1, cols - 1)] * t for j in (r, np.minimum(r + 1, rows - 1)))
+            horizon = np.maximum(horizon, low * (1 - s) + up * s - i * slope)
+        assert (k.lit(z, azimuth, elevation, 22.0) == k.blur((horizon <= high + k.TOUCH).astype(float), k.SOFT)).all()
+
+
+def test_rows_leave_a_task_in_frames_of_some():
+    rows = [{"id": i, "pixels": bytes(10), "h": None if i % 2 else [1.0]} for i in range(150)]
+    frames = list(rounds.framed(iter(rows), ["id", "pixels", "h"], object))
+    assert [len(f) for f in frames] == [64, 64, 22] and [i for f in frames for i in f["id"]] == list(range(150))
+    heavy = [{"id": i, "pixels": bytes(rounds.BYTES // 2)} for i in range(5)]
+    assert [len(f) for f in rounds.framed(iter(heavy), ["id", "pixels"])] == [3, 2] and list(rounds.framed([], ["id"])) == []

@@ -18,7 +18,7 @@ from terrakey.functions.ground import Footprint
 from terrakey.functions.scoring import lock_decision
 from terrakey.operators import kernels as k
 from terrakey.operators.features import DETECTORS, Keypoints, ratio_matches
-from terrakey.operators.rounds import cut
+from terrakey.operators.rounds import cut, framed
 from terrakey.sources.windows import read_windows
 
 Detector = Callable[[np.ndarray, int], Keypoints]
@@ -110,26 +110,45 @@ _FIGURES = (
 RUN_SCHEMA = f"{_FIGURES}, inliers array<struct<idx_a: int, xa: double, ya: double, idx_b: int, xb: double, yb: double, err: double>>"
 
 
-def measured(a: np.ndarray, b: np.ndarray, order: Sequence[str], s: Settings, registry: Mapping[str, Detector], seed: int = 0) -> dict:
-    """One pair from pixels to figures: normalise, detect, match, fit, measure. Figures are None where there is no map."""
-    clock = [time.perf_counter()]
-    row: dict = {"n_keypoints_a": 0, "n_keypoints_b": 0, "n_matches": 0, "n_inliers": 0, "degenerate": True, "unif_cells": 0.0, "unif_hull": 0.0, "inliers": []}
+@dataclass
+class Ready:
+    """A pair before any detector sees it: both images in one shape, prepared, their correlation and the milliseconds that took."""
+
+    a: np.ndarray
+    b: np.ndarray
+    pa: np.ndarray
+    pb: np.ndarray
+    ncc_before: float | None
+    pre_ms: float
+
+
+def ready(a: np.ndarray, b: np.ndarray, s: Settings) -> Ready | None:
+    """What all arms of a pair share; none where an image is empty."""
     if not a.size or not b.size:
-        return row
+        return None
+    began = time.perf_counter()
     b = k.resize(b, a.shape)
-    prepare = k.shadow_norm if s.preprocess == "shadow_norm" else lambda x: k.normalise(x, s.suppress_shadows)[0]
+    prepare = k.shadow_norm if s.preprocess == "shadow_norm" else lambda x: k.prepared(x, s.suppress_shadows)
     pa, pb = prepare(a), prepare(b)
-    clock.append(time.perf_counter())
-    found = detect(pa, pb, order, s.limit, s.max_side, registry)
+    took = round(1000 * (time.perf_counter() - began), 1)
+    return Ready(a, b, pa, pb, k.masked_correlation(a, b, np.ones(a.shape, bool)), took)
+
+
+def measured(pair: Ready | None, order: Sequence[str], s: Settings, registry: Mapping[str, Detector], seed: int = 0) -> dict:
+    """One pair from prepared pixels to figures: detect, match, fit, measure. Figures are None where there is no map."""
+    row: dict = {"n_keypoints_a": 0, "n_keypoints_b": 0, "n_matches": 0, "n_inliers": 0, "degenerate": True, "unif_cells": 0.0, "unif_hull": 0.0, "inliers": []}
+    if pair is None:
+        return row
+    clock, a, b = [time.perf_counter()], pair.a, pair.b
+    found = detect(pair.pa, pair.pb, order, s.limit, s.max_side, registry)
     ia, ib, _, _ = ratio_matches(found.a.desc, found.b.desc, s.ratio, s.floor)
     xy = np.c_[found.a.x, found.a.y][ia], np.c_[found.b.x, found.b.y][ib]
     clock.append(time.perf_counter())
     h, hit = k.robust_map(*xy, s.method, s.threshold, seed=seed)
     clock.append(time.perf_counter())
-    row |= dict(zip(("pre_ms", "match_ms", "fit_ms"), (round(1000 * (t - u), 1) for u, t in zip(clock, clock[1:], strict=False)), strict=True))
+    row |= {"pre_ms": pair.pre_ms} | dict(zip(("match_ms", "fit_ms"), (round(1000 * (t - u), 1) for u, t in zip(clock, clock[1:], strict=False)), strict=True))
     row |= {"n_keypoints_a": len(found.a), "n_keypoints_b": len(found.b), "n_matches": len(ia), "n_inliers": int(hit.sum()), "degenerate": h is None or int(hit.sum()) <= 4, "detector": found.detector, "note": "; ".join(found.notes) or None}
-    full = np.ones(a.shape, bool)
-    row["ncc_before"] = k.masked_correlation(a, b, full)
+    row["ncc_before"] = pair.ncc_before
     if h is not None:
         p, q = xy[0][hit], xy[1][hit]
         e = k.residuals(h, p, q)
@@ -137,7 +156,8 @@ def measured(a: np.ndarray, b: np.ndarray, order: Sequence[str], s: Settings, re
         if len(e):
             row |= {"rmse": float(np.sqrt((e**2).mean())), "median": float(np.median(e)), "p90": float(np.percentile(e, 90)), "max": float(e.max())}
         if abs(np.linalg.det(h)) > 1e-12:
-            row["ncc_after"] = k.masked_correlation(np.round(k.warp(a, h, b.shape)), b, k.warp(full.astype(float), h, b.shape) > 0.5)
+            shown, covered = k.warp_covered(a, h, b.shape)
+            row["ncc_after"] = k.masked_correlation(np.round(shown), b, covered)
         row["inliers"] = [dict(zip(("idx_a", "xa", "ya", "idx_b", "xb", "yb", "err"), x, strict=True)) for x in zip(ia[hit].tolist(), *p.T.tolist(), ib[hit].tolist(), *q.T.tolist(), e.tolist(), strict=True)]
     return row
 
@@ -147,12 +167,18 @@ def measured_rows(pairs: DataFrame, keep: list[str], s: Settings, registry: Mapp
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     names = [*keep, *(x.split()[0] for x in _FIGURES.split(", ")), "inliers"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        last, pair = None, None
         for pdf in batches:
             for p in pdf.to_dict("records"):
-                asked = list(p[order_col]) if order_col else order
-                row = measured(image(p, "a"), image(p, "b"), asked, s, registry, int(p[seed_col]) if seed_col and not pd.isna(p[seed_col]) else 0)
-                yield pd.DataFrame([dict.fromkeys(names) | {c: p[c] for c in keep} | row], columns=names)
+                asked, shown = list(p[order_col]) if order_col else order, [p[f"{c}_{x}"] for x in "ab" for c in ("h", "w", "pixels")]
+                if last is None or shown != last:  # arms of a pair come one after the other and share what comes before detection
+                    last, pair = shown, ready(image(p, "a"), image(p, "b"), s)
+                row = measured(pair, asked, s, registry, int(p[seed_col]) if seed_col and not pd.isna(p[seed_col]) else 0)
+                yield dict.fromkeys(names) | {c: p[c] for c in keep} | row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from framed(rows(batches), names)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + RUN_SCHEMA
     return pairs.mapInPandas(run, schema)
@@ -194,7 +220,8 @@ def ncc_before_after(pairs: DataFrame, maps: DataFrame, least: int = 1000) -> Da
                     if p["h"] is not None:
                         h = np.asarray(p["h"], float).reshape(3, 3)
                         if abs(np.linalg.det(h)) > 1e-12:
-                            row["ncc_after"] = k.masked_correlation(np.round(k.warp(a, h, b.shape)), b, k.warp(full.astype(float), h, b.shape) > 0.5, least)
+                            shown, covered = k.warp_covered(a, h, b.shape)
+                            row["ncc_after"] = k.masked_correlation(np.round(shown), b, covered, least)
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["run", "ncc_before", "ncc_after"])
 

@@ -19,8 +19,8 @@ from terrakey.operators.rounds import tasks
 
 #: Arms: name and the order in which detectors are asked.
 ARMS: dict[str, tuple[str, ...]] = {"M1_gradient": ("gradient", "corners"), "M2_corners": ("corners",)}
-#: Pairs that a task measures, about, where there are not many.
-PAIRS = 4
+#: Pairs that a task measures, about, where there are not many, and where there are.
+PAIRS, MANY = 8, 128
 #: Columns of an instance, beside its images h_a, w_a, pixels_a, h_b, w_b, pixels_b.
 INSTANCE = {"id": "string", "family": "string", "provenance": "string", "split": "string", "seed": "int", "status": "string", "texture": "double", "h_true": "array<double>"}
 IMAGES = [f"{c}_{s}" for s in "ab" for c in ("h", "w", "pixels")]
@@ -61,7 +61,7 @@ def run_arms(instances: DataFrame, path: str, number: int, config: str = "defaul
     for c in ("pixels_a", "pixels_b"):
         rows = rows.withColumn(c, F.when(ok, F.col(c)))
     # A pair is seconds of work on few bytes: tasks are dealt by the number of pairs, whatever the bytes. Arms part after the shuffle, so pixels move once.
-    rows = rows.repartition(tasks(count, PAIRS), "id")
+    rows = rows.repartition(tasks(count, PAIRS, MANY), "id")
     rows = rows.withColumn("x", todo).select("*", "x.arm", "x.order").drop("x", "todo")
     rows = rows.withColumns({"side_h": F.col("h_b").cast("int"), "side_w": F.col("w_b").cast("int")})
     out = measured_rows(rows, [*INSTANCE, "arm", "side_h", "side_w"], settings or Settings(), registry, order_col="order", seed_col="seed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from terrakey.operators import alignment, arms
 from terrakey.operators import evaluation as ops
 from terrakey.operators import kernels as k
 from terrakey.operators.registration import map_tiles
-from terrakey.operators.rounds import cut, fresh_path, tasks
+from terrakey.operators.rounds import cut, framed, fresh_path, tasks
 from terrakey.plans.common import Registry, r, table
 from terrakey.plans.registration import tiles
 
@@ -72,10 +74,9 @@ def scenes(spark: SparkSession, sf_dir: str, both: bool = True) -> DataFrame:
     n = max(2, orders.count() // ORDERS)
     key = F.col("o_orderkey")
     dots = orders.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("scene"), F.col("o_custkey").alias("c"), key.alias("o"), F.col("o_totalprice").cast("double").alias("v"))
-    dots = dots.repartition(tasks(n), "scene")  # some scenes a task, whatever their bytes
+    dots = dots.repartition(tasks(n), "scene").sortWithinPartitions("scene", "o")  # some scenes a task, whatever their bytes
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
+    def draw(pdf: pd.DataFrame) -> dict:
         i, img = int(pdf["scene"].iloc[0]), np.zeros((SIDE, SIDE))
         where = np.random.default_rng(i).integers(0, SIDE, (len(pdf), 2))
         strength = pdf["v"].to_numpy() / 1e5 * np.where(pdf["c"].to_numpy() % 2 == 0, 1, -1)
@@ -92,10 +93,24 @@ def scenes(spark: SparkSession, sf_dir: str, both: bool = True) -> DataFrame:
         status = "NO_LOCK" if i % 19 == 7 else "FILL" if i % 23 == 11 else "OK"
         row = {"id": f"i{i:06d}", "family": family, "provenance": "drawn", "split": "test" if i % 3 == 0 else "dev", "seed": i, "status": status, "texture": k.texture(a) if both else None, "h_true": None if family == "blind" else h.ravel().tolist()}
         row |= {f"{c}_{s}": v for s, x in (("a", a), ("b", b)) for c, v in (("h", SIDE), ("w", SIDE), ("pixels", None if x is None else x.tobytes()))}
-        return pd.DataFrame([row])
-
+        return row
+
+    def scenes_of(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        """A scene's dots lie together, but may come in several batches."""
+        last = None
+        for pdf in batches:
+            if last is not None:
+                pdf = pd.concat([last, pdf], ignore_index=True)
+            starts = np.flatnonzero(np.diff(pdf["scene"].to_numpy(), prepend=-1))
+            for start, end in zip(starts, starts[1:], strict=False):
+                yield draw(pdf.iloc[start:end])
+            last = pdf.iloc[starts[-1] :] if len(starts) else None
+        if last is not None:
+            yield draw(last)
+
+    columns = [*arms.INSTANCE, *(f"{c}_{s}" for s in "ab" for c in ("h", "w", "pixels"))]
     schema = ", ".join(f"{c} {t}" for c, t in arms.INSTANCE.items()) + ", " + ", ".join(f"h_{s} int, w_{s} int, pixels_{s} binary" for s in "ab")
-    return dots.groupBy("scene").applyInPandas(draw, schema)
+    return dots.mapInPandas(lambda batches: framed(scenes_of(batches), columns), schema)
 
 
 def judged_round(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,53 @@ def test_scenarios_and_results_written_once(spark, tmp_path):
 
 
 MOVE = [[1.0, 0.0, 5.0], [0.0, 1.0, -3.0], [0.0, 0.0, 1.0]]
+
+
+def test_arms_of_a_pair_share_what_comes_before_detection(monkeypatch):
+    a = scene(5, 96)
+    b = k.warp(a, np.array([[1.0, 0.02, 2.0], [-0.02, 1.0, -1.0], [0.0, 0.0, 1.0]]), a.shape, mirror=True).astype(np.uint8)
+    equalised, plain = [], k.clahe
+    monkeypatch.setattr(k, "clahe", lambda *x: (equalised.append(1), plain(*x))[1])
+    pair = alignment.ready(a, b, alignment.Settings())
+    rows = [alignment.measured(pair, order, alignment.Settings(), features.DETECTORS) for order in arms.ARMS.values()]
+    assert len(equalised) == 2 and [r["detector"] for r in rows] == ["gradient", "corners"]
+    assert rows[0]["ncc_before"] == rows[1]["ncc_before"] == k.masked_correlation(a, b, np.ones(a.shape, bool))
+    assert alignment.ready(np.zeros((0, 0), np.uint8), b, alignment.Settings()) is None
+    assert alignment.measured(None, ("corners",), alignment.Settings(), features.DETECTORS)["degenerate"]
+
+
+def test_gradients_are_worked_out_where_they_are_asked_for():
+    octave = features.pyramid(scene(6, 64))[0]
+    g, (h, w) = features.Gradients(octave), octave.shape[1:]
+    level, y, x = np.array([1, 3]), np.array([[10.2, -3.0], [40.0, 63.4]]), np.array([[20.4, 5.0], [0.0, 30.0]])
+    mag, ang = g.at(level, y, x)
+    assert g.known.sum() <= 4
+    gx, gy = octave[1, 10, 21] - octave[1, 10, 19], octave[1, 11, 20] - octave[1, 9, 20]
+    assert mag[0, 0] == np.hypot(gx, gy) and ang[0, 0] == np.arctan2(gy, gx) and (mag.ravel()[1:] == 0).all()
+
+
+def test_extrema_equal_a_plain_search():
+    octave = features.pyramid(scene(7, 48))[0]
+    d = octave[1:] - octave[:-1]
+    d[2, 20, 20:22] = d.max() + 1  # two equal ones side by side count both
+    want = []
+    for s in (1, -1):
+        for z, y, x in np.ndindex(*(n - 2 for n in d.shape)):
+            v = s * d[z : z + 3, y : y + 3, x : x + 3]
+            if v[1, 1, 1] >= v.max() and v[1, 1, 1] > 0.5 * features.CONTRAST / features.LEVELS:
+                want.append((z + 1, y + 1, x + 1))
+    assert list(zip(*(v.tolist() for v in features._extrema(d)), strict=True)) == want
+
+
+def test_ratio_matches_equal_a_plain_search_where_distances_tie():
+    rng = np.random.default_rng(3)
+    b = rng.normal(size=(400, 16))
+    b[300:] = b[:100]
+    a = np.concatenate([b[50:80] + 1e-9, rng.normal(size=(300, 16)) * 1e-4, b[150:200] + 0.01, b[:5]])
+    for scale in (1.0, 1e-3, 1e3):
+        ia, ib, d, _ = features.ratio_matches(a * scale, b * scale)
+        full = ((a[:, None] * scale - b[None] * scale) ** 2).sum(axis=2)
+        order = np.argsort(full, axis=1, kind="stable")
+        d1, d2 = (np.sqrt(full[np.arange(len(a)), order[:, i]]) for i in (0, 1))
+        want = np.flatnonzero((d2 > 0) & (d1 < 0.8 * d2))
+        assert ia.tolist() == want.tolist() and ib.tolist() == order[want, 0].tolist() and np.allclose(d, d1[want], rtol=1e-9)

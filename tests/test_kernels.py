@@ -441,3 +441,68 @@ def test_a_sun_that_pairs_share_is_traced_once(monkeypatch):
     steps = len(traced)
     assert steps and (k.relight(img, 45.0, 15.0, 1, 22.0, 0.10) == first).all() and len(traced) == steps
     assert k.relight(img, 46.0, 15.0, 1, 22.0, 0.10).shape == img.shape and len(traced) == 2 * steps
+
+
+def test_maps_of_many_sets_at_once_are_those_of_single_fits(monkeypatch):
+    rng = np.random.default_rng(6)
+    a = rng.random((12, 30, 2)) * 200
+    b = a @ np.array([[1.0, 0.1], [-0.1, 1.0]]) + rng.normal(size=a.shape)
+    a[3], b[5] = 7.0, 3.0  # all points of a side in one place
+    maps, ok = k.fit_maps(a, b)
+    for x, y, h, known in zip(a, b, maps, ok, strict=True):
+        one = k.fit_map(x, y)
+        assert known == (one is not None) and (one is None or np.array_equal(h, one))
+    n, rng, want = 30, np.random.default_rng(4), []
+    for _ in range(20):
+        order = rng.permutation(n)
+        h = k.fit_map(a[0][order[:21]], b[0][order[:21]])
+        want.append(float(np.sqrt((k.residuals(h, a[0][order[21:]], b[0][order[21:]]) ** 2).mean())))
+    monkeypatch.setattr(k, "fit_map", lambda *_: 1 / 0)
+    assert k.heldout_error(a[0], b[0], 4) == float(np.median(want))
+
+
+def test_warp_with_what_it_covers_and_mirrored():
+    rng = np.random.default_rng(8)
+    img = rng.integers(0, 255, (37, 51)).astype(np.uint8)
+    for h in (np.array([[0.9, -0.3, 9.0], [0.2, 1.1, -6.0], [1e-3, 0, 1]]), np.diag([0.2, 0.3, 1.0]), np.array([[1.0, 0, 900.0], [0, 1, 0], [0, 0, 1]])):
+        for mirror in (False, True):
+            rows, cols = np.mgrid[0:40, 0:45]
+            q = np.linalg.inv(h) @ np.stack([cols.ravel(), rows.ravel(), np.ones(cols.size)])
+            x, y = q[0] / q[2], q[1] / q[2]
+            total, cover = np.zeros(x.size), np.zeros(x.size)
+            for dx in (0, 1):
+                for dy in (0, 1):
+                    c, r = np.floor(x).astype(int) + dx, np.floor(y).astype(int) + dy
+                    inside = (c >= 0) & (c < 51) & (r >= 0) & (r < 37)
+                    share = np.abs(1 - dx - (x - np.floor(x))) * np.abs(1 - dy - (y - np.floor(y)))
+                    cm, rm = (np.abs((v + n - 1) % (2 * n - 2) - (n - 1)) for v, n in ((c, 51), (r, 37)))
+                    total += share * (img[rm, cm] if mirror else np.where(inside, img[np.clip(r, 0, 36), np.clip(c, 0, 50)], 0))
+                    cover += share * inside
+            assert np.array_equal(k.warp(img, h, (40, 45), mirror).ravel(), total)
+            if not mirror:
+                shown, covered = k.warp_covered(img, h, (40, 45))
+                assert np.array_equal(shown.ravel(), total) and np.array_equal(covered.ravel(), cover > 0.5)
+
+
+@pytest.mark.parametrize("levels", [3, 50, 10_000])
+def test_spaced_places_are_those_of_the_plain_fold(levels):
+    rng = np.random.default_rng(levels)
+    response = np.round(k.blur(rng.normal(size=(50, 41)), 1.5) * levels) / levels  # with equal neighbours
+    near, want = np.zeros(response.shape, bool), []
+    for at in np.argsort(-response.ravel(), kind="stable").tolist():
+        y, x = divmod(at, 41)
+        if response[y, x] > 0 and not near[y, x]:
+            want.append((x, y))
+            near[max(0, y - 4) : y + 5, max(0, x - 4) : x + 5] = True
+    for limit in (7, 5000):
+        assert list(map(tuple, k.spaced(response, limit, 4).tolist())) == want[:limit]
+
+
+def test_hull_of_many_points_is_that_of_its_corners():
+    rng = np.random.default_rng(9)
+    angle = np.linspace(0, 2 * np.pi, 40, endpoint=False)
+    ring = np.c_[np.cos(angle), np.sin(angle)] * 90 + 100
+    inner = rng.normal(size=(500, 2)) * 15 + 100
+    assert k.hull_area(np.concatenate([inner, ring])) == k.hull_area(ring)
+    grid = rng.integers(0, 9, (400, 2)).astype(float)
+    assert k.hull_area(grid) == 64.0 and k.hull_area(np.c_[np.arange(60.0), np.arange(60.0)]) == 0.0

@@ -107,7 +107,9 @@ _FIGURES = (
     "n_keypoints_a int, n_keypoints_b int, n_matches int, n_inliers int, h array<double>, rmse double, median double, p90 double, max double, degenerate boolean, "
     "detector string, note string, heldout_px double, unif_cells double, unif_hull double, ncc_before double, ncc_after double, pre_ms double, match_ms double, fit_ms double"
 )
-RUN_SCHEMA = f"{_FIGURES}, inliers array<struct<idx_a: int, xa: double, ya: double, idx_b: int, xb: double, yb: double, err: double>>"
+_INLIER = {"idx_a": "int", "xa": "double", "ya": "double", "idx_b": "int", "xb": "double", "yb": "double", "err": "double"}
+_INLIERS = f"array<struct<{', '.join(f'{c}: {t}' for c, t in _INLIER.items())}>>"
+RUN_SCHEMA = f"{_FIGURES}, inliers {_INLIERS}"
 
 
 @dataclass
@@ -135,8 +137,8 @@ def ready(a: np.ndarray, b: np.ndarray, s: Settings) -> Ready | None:
 
 
 def measured(pair: Ready | None, order: Sequence[str], s: Settings, registry: Mapping[str, Detector], seed: int = 0) -> dict:
-    """One pair from prepared pixels to figures: detect, match, fit, measure. Figures are None where there is no map."""
-    row: dict = {"n_keypoints_a": 0, "n_keypoints_b": 0, "n_matches": 0, "n_inliers": 0, "degenerate": True, "unif_cells": 0.0, "unif_hull": 0.0, "inliers": []}
+    """One pair from prepared pixels to figures: detect, match, fit, measure. Figures are None where there is no map; inliers are arrays by column."""
+    row: dict = {"n_keypoints_a": 0, "n_keypoints_b": 0, "n_matches": 0, "n_inliers": 0, "degenerate": True, "unif_cells": 0.0, "unif_hull": 0.0, "inliers": {c: np.zeros(0, np.int32 if t == "int" else float) for c, t in _INLIER.items()}}
     if pair is None:
         return row
     clock, a, b = [time.perf_counter()], pair.a, pair.b
@@ -158,14 +160,15 @@ def measured(pair: Ready | None, order: Sequence[str], s: Settings, registry: Ma
         if abs(np.linalg.det(h)) > 1e-12:
             shown, covered = k.warp_covered(a, h, b.shape)
             row["ncc_after"] = k.masked_correlation(np.round(shown), b, covered)
-        row["inliers"] = [dict(zip(("idx_a", "xa", "ya", "idx_b", "xb", "yb", "err"), x, strict=True)) for x in zip(ia[hit].tolist(), *p.T.tolist(), ib[hit].tolist(), *q.T.tolist(), e.tolist(), strict=True)]
+        row["inliers"] = dict(zip(_INLIER, (ia[hit].astype(np.int32), *p.T, ib[hit].astype(np.int32), *q.T, e), strict=True))
     return row
 
 
 def measured_rows(pairs: DataFrame, keep: list[str], s: Settings, registry: Mapping[str, Detector], order_col: str | None = None, order: Sequence[str] = ORDER, seed_col: str | None = None) -> DataFrame:
     """``keep`` and the figures of each pair, without a shuffle: the limit of keypoints bounds what a pair needs, so it never leaves its task."""
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    names = [*keep, *(x.split()[0] for x in _FIGURES.split(", ")), "inliers"]
+    figures = [x.split()[0] for x in _FIGURES.split(", ")]
+    names = [*keep, *figures, *(f"_i_{c}" for c in _INLIER)]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         last, pair = None, None
@@ -175,13 +178,16 @@ def measured_rows(pairs: DataFrame, keep: list[str], s: Settings, registry: Mapp
                 if last is None or shown != last:  # arms of a pair come one after the other and share what comes before detection
                     last, pair = shown, ready(image(p, "a"), image(p, "b"), s)
                 row = measured(pair, asked, s, registry, int(p[seed_col]) if seed_col and not pd.isna(p[seed_col]) else 0)
-                yield dict.fromkeys(names) | {c: p[c] for c in keep} | row
+                inliers = row.pop("inliers")
+                yield dict.fromkeys(names) | {c: p[c] for c in keep} | row | {f"_i_{c}": np.ascontiguousarray(v) for c, v in inliers.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from framed(rows(batches), names)
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + RUN_SCHEMA
-    return pairs.mapInPandas(run, schema)
+    # Inliers leave Python as plain arrays, which are copied as a whole, and become structs afterwards.
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), _FIGURES, *(f"_i_{c} array<{t}>" for c, t in _INLIER.items())])
+    inliers = F.arrays_zip(*(F.col(f"_i_{c}").alias(c) for c in _INLIER)).cast(_INLIERS)
+    return pairs.mapInPandas(run, schema).select(*(F.col(f"`{c}`") for c in keep), *figures, inliers.alias("inliers"))
 
 
 def match_pairs(pairs: DataFrame, detector: str | None = None, settings: Settings | None = None, registry: Mapping[str, Detector] = DETECTORS) -> DataFrame:

@@ -6,10 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows, and bytes of images and entries of lists in them, that leave a task together.
+#: Rows, and bytes of images and arrays in them, that leave a task together.
 ROWS, BYTES = 64, 1 << 24
 
 
@@ -37,7 +38,7 @@ def framed(rows: Iterable[dict], columns: Sequence[str], dtype: object = None) -
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(v) * (1 if isinstance(v, bytes) else 256) for v in row.values() if isinstance(v, (bytes, list)))
+        size += sum(v.nbytes if isinstance(v, np.ndarray) else len(v) for v in row.values() if isinstance(v, (bytes, np.ndarray)))
         if len(held) >= ROWS or size > BYTES:
             yield pd.DataFrame(held, columns=columns, dtype=dtype)
             held, size = [], 0
